@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from slideqa.llm.bpe import op6_bpe
+from slideqa.llm.decontaminate import OP1_SQL, op1_decontaminate
 from slideqa.llm.near_dup import OP2_SQL, op2_near_dup
+from slideqa.llm.quality import op4_quality
+from slideqa.llm.secrets import op5_secrets
+from slideqa.llm.token_file import op9_token_file
+from slideqa.llm.url_filter import OP3_SQL, op3_url_filter
+from slideqa.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_near_dup": op2_near_dup,
+    "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
+    "op5_secrets": op5_secrets,
+    "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
+    "op9_token_file": op9_token_file,
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": OP1_SQL,
     "op2_near_dup": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
+    "op7_warc": OP7_SQL,
 }

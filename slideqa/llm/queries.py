@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from slideqa.llm.bpe import op6_bpe
+from slideqa.llm.class_lm import op8_class_lm
 from slideqa.llm.decontaminate import OP1_SQL, op1_decontaminate
+from slideqa.llm.licenses import op10_licenses
 from slideqa.llm.near_dup import OP2_SQL, op2_near_dup
 from slideqa.llm.quality import op4_quality
 from slideqa.llm.secrets import op5_secrets
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op7_warc": op7_warc,
+    "op8_class_lm": op8_class_lm,
     "op9_token_file": op9_token_file,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL = {

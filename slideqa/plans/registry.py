@@ -2,5 +2,645 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slideqa.functions import llm_text, options
+from slideqa.operators import cases, corpus, geometry, regions, scoring, tasks, tokens
+from slideqa.plans import views as v
+from slideqa.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name. SQL may use {name} for the views of this module."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            out = sql
+            for name in ("CHOICE", "OPEN", "RAW_QA", "PATCHES", "TOKENS", "GEOMETRY", "SLIDES", "CASES", "LABELS", "LLM_TEXT", "STATUS"):
+                out = out.replace("{" + name + "}", v.inline(getattr(v, name)))
+            ORACLE_SQL[f.__name__] = out
+        return f
+
+    return keep
+
+
+#: Choice scoring in plain SQL: letters, match and grade of {CHOICE}.
+_SCORED = r"""
+l AS (SELECT *, list_filter(regexp_split_to_array(prediction, '[^a-zA-Z]+'), lambda x: regexp_full_match(x, '[A-Z]')) AS p,
+        list_filter(regexp_split_to_array(ground_truth, '[^a-zA-Z]+'), lambda x: regexp_full_match(x, '[A-Z]')) AS r0 FROM {CHOICE} c),
+m AS (SELECT *, CASE WHEN len(r0) > 0 THEN r0 ELSE regexp_extract_all(ground_truth, '[A-Z]') END AS r FROM l),
+s AS (SELECT *, len(list_filter(r, lambda x: len(list_filter(p, lambda y: y = x)) < len(list_filter(r, lambda y: y = x)))) = 0 AND list_sort(list_distinct(p)) = list_sort(list_distinct(r)) AS exact FROM m),
+scored AS (SELECT *, CASE WHEN format = 'multi' THEN CASE WHEN list_sort(list_distinct(p)) = list_sort(list_distinct(r)) THEN 1.0
+        WHEN len(p) > 0 AND list_has_all(r, p) THEN 0.5 ELSE 0.0 END ELSE CASE WHEN exact THEN 1.0 ELSE 0.0 END END AS score FROM s)
+"""
+
+
+@query("WITH " + _SCORED + "SELECT question_id, exact AS exact_match, array_to_string(p, ',') AS pred, array_to_string(r, ',') AS ref, cast(score AS double) AS score FROM scored")
+def choice_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = scoring.score_choices(v.view(spark, d, v.CHOICE))
+    return rows.select("question_id", "exact_match", F.array_join("pred_letters", ",").alias("pred"), F.array_join("ref_letters", ",").alias("ref"), "score")
+
+
+@query("WITH " + _SCORED + """, f AS (SELECT coalesce(subcategory, 'unknown') AS sub, coalesce(format, 'unknown') AS fmt, coalesce(belong_level, 'unknown') AS lev, split_part(coalesce(subcategory, 'unknown'), '.', 1) AS maj, score FROM scored),
+g AS (SELECT 'total' AS t, 'all' AS k, '' AS k2, score FROM f UNION ALL SELECT 'subcategory', sub, '', score FROM f UNION ALL SELECT 'format', fmt, '', score FROM f
+  UNION ALL SELECT 'major_category', maj, '', score FROM f UNION ALL SELECT 'major_level', maj, lev, score FROM f UNION ALL SELECT 'major_format', maj, fmt, score FROM f UNION ALL SELECT 'belong_level', lev, '', score FROM f)
+SELECT t AS group_type, k AS group_key, k2 AS group_key2, count(*) AS total, cast(sum(score) AS double) AS score, cast(100 * sum(score) AS double) / count(*) AS accuracy FROM g GROUP BY t, k, k2""")
+def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_breakdown(scoring.score_choices(v.view(spark, d, v.CHOICE)))
+
+
+@query("WITH " + _SCORED + "SELECT count(*) FILTER (exact) AS correct, count(*) AS total, avg(exact::int) AS accuracy FROM scored WHERE format IN ('single', 'multi')")
+def choice_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.CHOICE).withColumn("task_type", scoring.task_type(F.col("format"), F.lit(False)))
+    return scoring.choice_accuracy(scoring.score_choices(rows.where("task_type = 'choice'")))
+
+
+@query("SELECT question_id, CASE WHEN format IN ('single', 'multi') THEN 'choice' ELSE 'open_ended' END AS task_type FROM {CHOICE} c")
+def task_types(spark: SparkSession, d: str) -> DataFrame:
+    return v.view(spark, d, v.CHOICE).select("question_id", scoring.task_type(F.col("format"), F.lit(False)).alias("task_type"))
+
+
+_WORDS = r"""
+t AS (SELECT question_id, list_filter(regexp_split_to_array(lower(prediction), '[^\p{L}\p{N}''-]+'), lambda x: x <> '') AS p, list_filter(regexp_split_to_array(lower(ground_truth), '[^\p{L}\p{N}''-]+'), lambda x: x <> '') AS r FROM {OPEN} o),
+a AS (SELECT question_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM t), b AS (SELECT question_id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM t),
+ak AS (SELECT *, row_number() OVER (PARTITION BY question_id, w ORDER BY i) AS k FROM a), bk AS (SELECT *, row_number() OVER (PARTITION BY question_id, w ORDER BY i) AS k FROM b),
+j AS (SELECT ak.question_id, ak.i AS pi, bk.i AS ri FROM ak JOIN bk USING (question_id, w, k)),
+c AS (SELECT question_id, pi, CASE WHEN pi = lag(pi) OVER z + 1 AND ri = lag(ri) OVER z + 1 THEN 0 ELSE 1 END AS new FROM j WINDOW z AS (PARTITION BY question_id ORDER BY pi)),
+n AS (SELECT question_id, count(*) AS matches, sum(new) AS chunks FROM c GROUP BY question_id)
+"""
+
+
+@query("WITH " + _WORDS + """, x AS (SELECT t.question_id, len(p) AS lp, len(r) AS lr, coalesce(matches, 0) AS m, coalesce(chunks, 0) AS ch FROM t LEFT JOIN n USING (question_id)),
+y AS (SELECT *, CASE WHEN lp = 0 OR lr = 0 OR m = 0 THEN 0.0 ELSE (m / lp) * (m / lr) / (0.9 * m / lp + (1 - 0.9) * m / lr) END AS fm, CASE WHEN lp = 0 OR lr = 0 THEN 1.0 WHEN m = 0 THEN 0.0 ELSE 0.5 * pow(ch / m, 3.0) END AS pen FROM x)
+SELECT question_id, round(fm * (1 - pen), 8) AS meteor_score, round(cast(pen AS double), 8) AS penalty FROM y""")
+def meteor_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = scoring.score_texts(v.view(spark, d, v.OPEN))
+    return rows.select("question_id", F.round("meteor_score", 8).alias("meteor_score"), F.round("penalty", 8).alias("penalty"))
+
+
+@query("WITH " + _WORDS + "SELECT question_id, matches, cast(chunks AS bigint) AS chunks FROM n")
+def meteor_relational(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.relational_meteor(v.view(spark, d, v.OPEN))
+
+
+@query()
+def text_means(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.text_means(scoring.score_texts(v.view(spark, d, v.OPEN)))
+
+
+@query()
+def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.score_texts(v.view(spark, d, v.OPEN)).select("question_id", "rouge_l_precision", "rouge_l_recall", "rouge_l_fmeasure")
+
+
+@query()
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    both = v.view(spark, d, v.CHOICE).select("question_id", "prediction", "ground_truth", "format").unionByName(v.view(spark, d, v.OPEN).select("question_id", "prediction", "ground_truth", "format"))
+    return scoring.evaluate(both)[2]
+
+
+_JUDGED = "(SELECT question_id, focus, subcategory, prediction, ground_truth, (question_id % 97) / 96.0 AS precision, (question_id % 53) / 52.0 AS relevance FROM {CHOICE} c)"
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.CHOICE).selectExpr("question_id", "focus", "subcategory", "CASE WHEN question_id % 10 = 0 THEN '' ELSE prediction END AS prediction", "ground_truth", "cast(question_id % 97 as double) / 96 AS precision", "cast(question_id % 53 as double) / 52 AS relevance")
+    return scoring.judge_rows(rows)
+
+
+_JUDGE = "j AS (SELECT question_id, coalesce(focus, 'unknown') AS focus, coalesce(subcategory, 'unknown') AS sub, CASE WHEN question_id % 10 = 0 THEN 0 ELSE round(cast(question_id % 97 AS double) / 96, 4) END AS p, CASE WHEN question_id % 10 = 0 THEN 0 ELSE round(cast(question_id % 53 AS double) / 52, 4) END AS r FROM {CHOICE} c)"
+
+
+@query("WITH " + _JUDGE + "SELECT question_id, p AS wsi_precision, r AS wsi_relevance, CASE WHEN question_id % 10 = 0 THEN 'missing prediction or ground_truth' ELSE '' END AS wsi_eval_error FROM j")
+def judge_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).select("question_id", "wsi_precision", "wsi_relevance", "wsi_eval_error")
+
+
+@query("WITH " + _JUDGE + ", g AS (SELECT 'overall' AS t, 'all' AS k, p, r FROM j UNION ALL SELECT 'focus', focus, p, r FROM j UNION ALL SELECT 'subcategory', sub, p, r FROM j) SELECT t AS group_type, k AS group_key, count(*) AS count, round(avg(p), 4) AS wsi_precision_mean, round(avg(r), 4) AS wsi_relevance_mean FROM g GROUP BY t, k")
+def judge_summary(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.judge_summary(_judged(spark, d))
+
+
+@query("WITH " + _SCORED + ", m2 AS (SELECT belong_level AS model, coalesce(format, 'unknown') AS metric, round(cast(avg(score) AS double), 9) AS value FROM scored WHERE belong_level IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, dense_rank() OVER (PARTITION BY metric ORDER BY value DESC) AS rank FROM m2) SELECT model, metric, value, rank FROM k WHERE rank <= 2")
+def leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    rows = scoring.score_choices(v.view(spark, d, v.CHOICE)).where("belong_level is not null")
+    values = rows.groupBy(F.col("belong_level").alias("model"), F.coalesce("format", F.lit("unknown")).alias("metric")).agg(F.round(F.avg("score"), 9).alias("value"))
+    return scoring.leaderboard(values)
+
+
+@query("WITH f AS (SELECT CASE focus WHEN 'diagnosis' THEN 'Diagnosis' ELSE 'Morphological Analysis' END AS category, CASE focus WHEN 'architecture' THEN 'Regional Structure Description' WHEN 'stroma' THEN 'Regional Structure Description' WHEN 'cytology' THEN 'Specific Feature Description' ELSE 'Histological Typing' END AS subcategory FROM {CHOICE} c WHERE focus IS NOT NULL), n AS (SELECT category, subcategory, count(*) AS count FROM f GROUP BY 1, 2) SELECT *, cast(sum(count) OVER (PARTITION BY category) AS bigint) AS category_total, 100 * count / sum(count) OVER (PARTITION BY category) AS share FROM n")
+def category_shares(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.category_shares(tasks.focus_categories(v.view(spark, d, v.CHOICE).drop("subcategory")))
+
+
+@query("SELECT question_id FROM {CHOICE} c WHERE question_id % 4 <> 1")
+def resume_remaining(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.CHOICE)
+    return scoring.remaining(rows, rows.where("question_id % 4 = 1")).select("question_id")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.normalized(corpus.read_records(v.view(spark, d, v.RAW_QA)))
+
+
+#: What the encodings of {RAW_QA} mean, straight from the part rows.
+_RECORDS = r"""
+x AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'B. ' || p_name || chr(10) || 'A. ' || p_type WHEN 1 THEN 'A. ' || p_name || chr(10) || 'B. ' || p_type WHEN 2 THEN 'A. ' || p_name || chr(10) || 'C. ' || p_type
+   WHEN 3 THEN 'A. ' || p_name || chr(10) || 'B. ' || p_type WHEN 4 THEN 'A. ' || p_name || chr(10) || 'B. ' || p_type WHEN 5 THEN 'A. ' || p_name || chr(10) || 'B. ' || p_type WHEN 6 THEN '' ELSE 'A. ok' END AS options_text,
+  CASE p_partkey % 5 WHEN 0 THEN 'A, B' WHEN 1 THEN 'C' WHEN 2 THEN 'C' WHEN 3 THEN 'A, D' ELSE CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'B' END END AS answer_text,
+  CASE p_partkey % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'multi' ELSE 'open' END AS format, CASE WHEN p_partkey % 29 = 0 THEN '  ' ELSE 'What about ' || p_name || '?' END AS question FROM part),
+r AS (SELECT *, CASE WHEN p_partkey % 29 = 0 THEN 'empty question' WHEN answer_text = '' THEN 'empty answer' WHEN format <> 'open' AND length(options_text) < 10 THEN 'format=' || format || ' and options length<10 (actual=' || length(options_text) || ')' END AS reject_reason FROM x)
+"""
+
+
+@query("WITH " + _RECORDS + "SELECT p_partkey, options_text, answer_text, reject_reason FROM r")
+def qa_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("p_partkey", "options_text", "answer_text", "reject_reason")
+
+
+@query("WITH " + _RECORDS + "SELECT count(*) AS total, count(*) FILTER (reject_reason IS NULL) AS success, count(*) FILTER (reject_reason IS NOT NULL) AS filtered, 100 * count(*) FILTER (reject_reason IS NULL) / count(*) AS success_rate FROM r")
+def qa_stats(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.conversion_stats(_records(spark, d))
+
+
+@query("WITH " + _RECORDS + "SELECT 'session_' || (p_partkey % 20) || '_q' || p_partkey AS id, '<image>' || chr(10) || question || CASE WHEN options_text <> '' THEN chr(10) || options_text ELSE '' END AS human, answer_text AS gpt FROM r WHERE reject_reason IS NULL")
+def qa_conversations(spark: SparkSession, d: str) -> DataFrame:
+    out = corpus.conversations(_records(spark, d))
+    return out.select("id", F.get("conversations", 0)["value"].alias("human"), F.get("conversations", 1)["value"].alias("gpt"))
+
+
+@query("WITH " + _RECORDS + "SELECT 'session_' || (p_partkey % 20) || '_q' || p_partkey AS question_id, trim(question || CASE WHEN options_text <> '' THEN chr(10) || options_text ELSE '' END) AS question, answer_text AS answer FROM r WHERE reject_reason IS NULL")
+def qa_inference_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = corpus.to_inference(corpus.conversations(_records(spark, d)))
+    return out.select("question_id", F.regexp_replace("question", r"^\s+|\s+$", "").alias("question"), "answer")
+
+
+@query("WITH " + _RECORDS + "SELECT p_partkey, coalesce(reject_reason, CASE WHEN p_partkey % 37 >= 30 THEN 'feature file not found: feat/' || (p_partkey % 37) || '.pt' END) AS reject_reason, 'features/session_' || (p_partkey % 20) || '_' || (p_partkey % 37) || '.pt' AS new_path FROM r")
+def qa_with_features(spark: SparkSession, d: str) -> DataFrame:
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 37 < 30")
+    features = part.selectExpr("'session_' || cast(p_partkey % 20 as string) as session", "'feat/' || cast(p_partkey % 37 as string) || '.pt' as image_path")
+    return corpus.with_features(_records(spark, d), features, ["session"]).select("p_partkey", "reject_reason", "new_path")
+
+
+@query("SELECT DISTINCT 'feat/' || (p_partkey % 37) || '.pt' AS image FROM part")
+def referenced_images(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.referenced_images(corpus.read_records(v.view(spark, d, v.RAW_QA)).select(F.col("image_path").alias("image")))
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    pair = lambda k, x: f"'{k}', {x}"
+    fields = ", ".join([pair("wsi_id", "c_name"), pair("wsi_summary", "'whole ' || c_mktsegment"), pair("wsi_thumbnail_path", "'t/' || c_name"), pair("cluster_0_summary", "CASE WHEN c_custkey % 2 = 0 THEN 'part' END"), pair("cluster_0_image_path", "'c/0'"), pair("cluster_1_roi_10x_summary", "'near'"), pair("cluster_1_roi_10x_image_path", "CASE WHEN c_custkey % 3 = 0 THEN 'r/1' END")])
+    return rows.selectExpr("'session_' || cast(c_custkey as string) as session", f"map({fields}) as fields")
+
+
+@query("""SELECT 'session_' || c_custkey || '_' || c_name AS id, 't/' || c_name AS image, 'whole ' || c_mktsegment AS caption FROM customer
+UNION ALL SELECT 'session_' || c_custkey || '_' || c_name || '_cluster_0', 'c/0', 'part' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'session_' || c_custkey || '_' || c_name || '_cluster_1_10x', 'r/1', 'near' FROM customer WHERE c_custkey % 3 = 0""")
+def caption_conversations(spark: SparkSession, d: str) -> DataFrame:
+    out = corpus.caption_conversations(_sessions(spark, d))
+    return out.select("id", "image", F.get("conversations", 1)["value"].alias("caption"))
+
+
+@query("""SELECT 'session_' || c_custkey AS session, 'feat/' || c_name AS thumbnail, CASE WHEN c_custkey % 3 = 0 THEN 'feat/r1' END AS roi FROM customer""")
+def session_paths(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.read.parquet(f"{d}/customer.parquet").selectExpr("'t/' || c_name as image_path", "'feat/' || c_name as feature_path")
+    paths = names.unionByName(names.limit(1).selectExpr("'r/1' as image_path", "'feat/r1' as feature_path"))
+    out = corpus.replace_in_session(_sessions(spark, d), paths)
+    return out.select("session", F.col("fields")["wsi_thumbnail_path"].alias("thumbnail"), F.col("fields")["cluster_1_roi_10x_image_path"].alias("roi"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN props WHEN 4 THEN '[' || props || ',' || props || ']' END AS json, event_id % 6 IN (3, 5) AS parse_error FROM events""")
+def json_from_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.LLM_TEXT).withColumn("p", llm_text.parsed_json(F.col("text")))
+    # the outermost object of two in a list isn't JSON, so the list is taken
+    return rows.select("event_id", "p.json", "p.parse_error")
+
+
+@query("SELECT event_id % 3 AS kind, count(*) AS good FROM events WHERE event_id % 5 IN (3, 4) GROUP BY 1")
+def jsonl_objects(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'not json' WHEN 2 THEN '[1]' ELSE props END as value")
+    return readers.split_lines(lines)[0].groupBy(F.expr("event_id % 3").alias("kind")).agg(F.count("*").alias("good"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'not JSON' ELSE 'not an object' END AS reason FROM events WHERE event_id % 5 IN (1, 2)")
+def jsonl_rejects(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'not json' WHEN 2 THEN '[1]' ELSE props END as value")
+    return readers.split_lines(lines)[1].select("event_id", "reason")
+
+
+@query(r"""SELECT doc_id, len(c) AS claims, coalesce(list_max(list_transform(c, lambda x: length(x))), 0) AS longest FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n'), lambda x: regexp_replace(regexp_replace(x, '^\s*(?:[-*]|\d+[.)])\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: length(x) > 5) AS c FROM documents)""")
+def claim_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", llm_text.claims(F.col("text")).alias("c"))
+    return rows.select("doc_id", F.size("c").cast("long").alias("claims"), F.coalesce(F.array_max(F.transform("c", F.length)), F.lit(0)).cast("long").alias("longest"))
+
+
+@query("SELECT event_id, value AS mean FROM events")
+def judge_means(spark: SparkSession, d: str) -> DataFrame:
+    text = "'```python\n[{''score'': ' || cast(value as string) || '}, {''score'': ''x''}, 3]\n```'"
+    rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{text} as text")
+    return rows.select("event_id", llm_text.mean_score(llm_text.judge_items(F.col("text"))).alias("mean"))
+
+
+@query("""SELECT s_suppkey, CASE k WHEN 'a' THEN 'morphology' ELSE 'clinicopathological' END AS subtype, CASE k WHEN 'a' THEN 'one ' || s_name ELSE 'two' END AS caption FROM supplier, (VALUES ('a'), ('c')) t(k) WHERE s_suppkey % 2 = 0 OR k = 'a'""")
+def caption_parts(spark: SparkSession, d: str) -> DataFrame:
+    text = "'Caption A:\n one ' || s_name || '\n' || CASE WHEN s_suppkey % 2 = 0 THEN 'Caption C: two ' ELSE '' END"
+    rows = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey", f"{text} as text")
+    return rows.select("s_suppkey", F.inline(llm_text.caption_rows(F.col("text"))))
+
+
+@query("""SELECT event_id, 'q' || (event_id % 3) AS question FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'second' FROM events WHERE event_id % 4 = 0""")
+def qa_payload_rows(spark: SparkSession, d: str) -> DataFrame:
+    one = "'{\"question\":\"q' || cast(event_id % 3 as string) || '\"}'"
+    text = f"CASE event_id % 4 WHEN 0 THEN '[' || {one} || ',{{\"question\":\"second\"}},3,{{\"x\":1}}]' WHEN 2 THEN {one} WHEN 1 THEN 'none' ELSE '{{\"x\":1}}' END"
+    rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{text} as text")
+    items = llm_text.qa_items(llm_text.parsed_json(F.col("text"))["json"])
+    return rows.select("event_id", F.explode(items).alias("item")).select("event_id", F.get_json_object("item", "$.question").alias("question"))
+
+
+@query("""SELECT s.slide_id, c.diagnosis, c.img IS NULL AS case_missing FROM {SLIDES} s LEFT JOIN {CASES} c ON regexp_replace(c.img, '\\.[^.]*$', '') = s.slide_id""".replace("\\\\", "\\"))
+def cases_by_stem(spark: SparkSession, d: str) -> DataFrame:
+    return cases.by_stem(v.view(spark, d, v.SLIDES), v.view(spark, d, v.CASES)).select("slide_id", "diagnosis", "case_missing")
+
+
+@query("""SELECT s.slide_id, coalesce(c.diagnosis, 'N/A') AS diagnosis FROM {SLIDES} s LEFT JOIN {CASES} c ON c.img = s.slide_id || '.svs' OR c.img = s.slide_id""")
+def cases_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return cases.by_name_or_stem(v.view(spark, d, v.SLIDES), v.view(spark, d, v.CASES)).select("slide_id", "diagnosis")
+
+
+@query(r"""WITH m AS (SELECT s.slide_id, min(c.position) AS position FROM {SLIDES} s JOIN {CASES} c ON contains(s.slide_id || '.svs', regexp_replace(c.img, '\.[^.]*$', '')) GROUP BY 1)
+SELECT s.slide_id, coalesce(c.diagnosis, 'N/A') AS diagnosis, CASE WHEN c.diagnosis IS NULL THEN 'N/A' ELSE trim(split_part(split_part(c.diagnosis, 'IHC:', 2), '.', 1)) END AS ihc, CASE WHEN regexp_extract(coalesce(c.diagnosis, ''), 'pT[0-4]N[0-3x][a-z0-9]*') = '' THEN 'N/A' ELSE regexp_extract(c.diagnosis, 'pT[0-4]N[0-3x][a-z0-9]*') END AS ptnm
+FROM {SLIDES} s LEFT JOIN m USING (slide_id) LEFT JOIN {CASES} c ON c.position = m.position""")
+def cases_by_substring(spark: SparkSession, d: str) -> DataFrame:
+    return cases.by_substring(v.view(spark, d, v.SLIDES), v.view(spark, d, v.CASES))
+
+
+@query("""WITH g AS (SELECT * FROM {GEOMETRY} x WHERE length(slide_id) < 8), n AS (SELECT DISTINCT slide_id FROM g),
+e AS (SELECT s.slide_id, s.slide_id AS o FROM {SLIDES} s WHERE s.slide_id IN (SELECT slide_id FROM n) UNION ALL SELECT s.slide_id, min(n.slide_id) FROM {SLIDES} s JOIN n ON contains(s.slide_id, n.slide_id) WHERE s.slide_id NOT IN (SELECT slide_id FROM n) GROUP BY 1)
+SELECT e.slide_id, g.cluster_id, g.count FROM e JOIN g ON g.slide_id = e.o""")
+def geometry_lookup(spark: SparkSession, d: str) -> DataFrame:
+    known = v.view(spark, d, v.GEOMETRY).where("length(slide_id) < 8")
+    return cases.geometry_with_fallback(v.view(spark, d, v.SLIDES).select("slide_id"), known).select("slide_id", "cluster_id", "count")
+
+
+@query("SELECT slide_id FROM {SLIDES} s WHERE slide_id IN (SELECT slide_id FROM {GEOMETRY} g)")
+def slides_with_geometry(spark: SparkSession, d: str) -> DataFrame:
+    return cases.in_all(v.view(spark, d, v.SLIDES), v.view(spark, d, v.GEOMETRY)).select("slide_id")
+
+
+@query("SELECT DISTINCT slide_id FROM {GEOMETRY} g WHERE slide_id NOT IN (SELECT slide_id FROM {SLIDES} s)")
+def listed_without_slide(spark: SparkSession, d: str) -> DataFrame:
+    return cases.restricted(v.view(spark, d, v.SLIDES), v.view(spark, d, v.GEOMETRY))[1].select("slide_id")
+
+
+_GRID = "g AS (SELECT slide_id, width, height, greatest(1, width // 1536) AS px, greatest(1, height // 1536) AS py FROM {SLIDES} s), h AS (SELECT *, width // (px * 3) AS pw, height // (py * 3) AS ph FROM g)"
+
+
+@query("WITH " + _GRID + "SELECT slide_id, px AS packs_x, py AS packs_y, pw AS patch_w, ph AS patch_h FROM h")
+def tile_grid(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.tile_grid(v.view(spark, d, v.SLIDES)).select("slide_id", "packs_x", "packs_y", "patch_w", "patch_h")
+
+
+@query("WITH " + _GRID + "SELECT slide_id, y.i * px + x.i AS pack_idx, r.i AS row, c.i AS col, x.i * pw * 3 + c.i * pw AS patch_x, y.i * ph * 3 + r.i * ph AS patch_y FROM h, LATERAL (SELECT unnest(range(px)) AS i) x, LATERAL (SELECT unnest(range(py)) AS i) y, (SELECT unnest(range(3)) AS i) r, (SELECT unnest(range(3)) AS i) c")
+def tile_patches(spark: SparkSession, d: str) -> DataFrame:
+    rows = geometry.pack_patches(geometry.packs(geometry.tile_grid(v.view(spark, d, v.SLIDES))))
+    return rows.select("slide_id", F.col("pack_idx").cast("long").alias("pack_idx"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "patch_x", "patch_y")
+
+
+@query("SELECT slide_id, x AS pack_x_idx, y AS pack_y_idx FROM (SELECT 'slide_' || (l_suppkey % 50) AS slide_id, l_orderkey % 6 AS x, l_partkey % 5 AS y, count(*) FILTER (l_quantity * 6 > 240) AS w, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) WHERE w <= n / 2")
+def tissue_packs(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("'slide_' || cast(l_suppkey % 50 as string) as slide_id", "l_orderkey % 6 as pack_x_idx", "l_partkey % 5 as pack_y_idx", "l_quantity * 6 as mean_grey")
+    return geometry.tissue_packs(rows).select("slide_id", "pack_x_idx", "pack_y_idx")
+
+
+@query("SELECT o_orderkey, (o_custkey % 100) / ((o_custkey % 100) + 50) AS tissue_ratio, (o_custkey % 100) / ((o_custkey % 100) + 50) >= 0.2 AS is_tissue FROM orders")
+def tissue_share(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", "concat(array_repeat(0L, 100), array(o_custkey % 100), array_repeat(0L, 120), array(50L), array_repeat(0L, 34)) as histogram")
+    return geometry.tissue_share(rows).select("o_orderkey", "tissue_ratio", "is_tissue")
+
+
+@query("""SELECT slide_id, variant, CASE WHEN variant = 'original' OR variant LIKE '%l' OR variant LIKE '%l\\_flip' ESCAPE '\\' THEN 0 ELSE width // 2 END AS crop_x, CASE WHEN variant = 'original' OR variant LIKE 't%' THEN 0 ELSE height // 2 END AS crop_y,
+CASE WHEN variant = 'original' THEN width ELSE width // 2 END AS crop_w, variant IN ('tl_flip', 'tr_flip', 'br_flip') AS flip_v, variant IN ('tl_flip', 'bl_flip', 'br_flip') AS flip_h
+FROM {SLIDES} s, (SELECT unnest(['original', 'tl', 'tr', 'bl', 'br', 'tl_flip', 'tr_flip', 'bl_flip', 'br_flip']) AS variant) x""")
+def virtual_variants(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.virtual_variants(v.view(spark, d, v.SLIDES)).select("slide_id", "variant", "crop_x", "crop_y", "crop_w", "flip_v", "flip_h")
+
+
+_BOXES = """
+c AS (SELECT s.slide_id, s.width, s.height, g.cluster_id, trunc(g.center_x)::bigint AS cx, trunc(g.center_y)::bigint AS cy, trunc(coalesce(nullif(g.radius, 0), 1024))::bigint AS r FROM {GEOMETRY} g JOIN {SLIDES} s ON s.slide_id = g.slide_id WHERE g.count > 100),
+w AS (SELECT *, greatest(0, cx - r) AS x0, greatest(0, cy - r) AS y0, least(width, cx + r) AS x1, least(height, cy + r) AS y1 FROM c), k AS (SELECT * FROM w WHERE x1 > x0 AND y1 > y0),
+q AS (SELECT k.slide_id, width, height, cluster_id, m, greatest(0, cx - z // 2) AS x0, greatest(0, cy - z // 2) AS y0, z FROM k, (VALUES ('10x', 2048), ('20x', 1024)) t(m, z)),
+b AS (SELECT slide_id || '.png' AS image_name, 'wsi' AS type, 0 AS x0, 0 AS y0, width AS x1, height AS y1 FROM {SLIDES} s
+ UNION ALL SELECT slide_id || '_' || cluster_id || '.png', 'cluster', x0, y0, x1, y1 FROM k
+ UNION ALL SELECT slide_id || '_' || cluster_id || '_' || m || '.png', 'roi', x0, y0, least(width, x0 + z), least(height, y0 + z) FROM q WHERE least(width, x0 + z) > x0 AND least(height, y0 + z) > y0)
+"""
+
+
+@query("WITH " + _BOXES + "SELECT image_name, type, x0::bigint AS x0, y0::bigint AS y0, x1::bigint AS x1, y1::bigint AS y1 FROM b")
+def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.boxes(v.view(spark, d, v.SLIDES), v.view(spark, d, v.GEOMETRY)).select("image_name", "type", "x0", "y0", "x1", "y1")
+
+
+@query("WITH " + _BOXES + ", " + _GRID + "SELECT k.slide_id, k.cluster_id AS region_id, y.i * px + x.i AS pack_idx FROM k JOIN h USING (slide_id), LATERAL (SELECT unnest(range(px)) AS i) x, LATERAL (SELECT unnest(range(py)) AS i) y WHERE NOT ((x.i + 1) * pw * 3 <= k.x0 OR x.i * pw * 3 >= k.x1 OR (y.i + 1) * ph * 3 <= k.y0 OR y.i * ph * 3 >= k.y1)")
+def covering_packs(spark: SparkSession, d: str) -> DataFrame:
+    slides = v.view(spark, d, v.SLIDES)
+    windows = geometry.cluster_windows(slides, geometry.selected_clusters(v.view(spark, d, v.GEOMETRY))).withColumnRenamed("cluster_id", "region_id")
+    return geometry.covering_packs(windows.select("slide_id", "region_id", "x0", "y0", "x1", "y1"), geometry.tile_grid(slides)).select("slide_id", "region_id", F.col("pack_idx").cast("long").alias("pack_idx"))
+
+
+@query("SELECT a.slide_id, a.patch_idx AS a, b.patch_idx AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM {PATCHES} a JOIN {PATCHES} b ON a.slide_id = b.slide_id AND a.patch_idx <> b.patch_idx AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1.42 * 512")
+def patch_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.near_pairs(v.view(spark, d, v.PATCHES), 1.42 * 512)
+
+
+@query("WITH p AS (SELECT * FROM {PATCHES} p), c AS (SELECT slide_id, (min(x) + max(x)) / 2 AS px, (min(y) + max(y)) / 2 AS py FROM p GROUP BY 1), r AS (SELECT p.slide_id, patch_idx, row_number() OVER (PARTITION BY p.slide_id ORDER BY (x - px) ** 2 + (y - py) ** 2, patch_idx) AS n FROM p JOIN c USING (slide_id)) SELECT slide_id, 'centre' AS point_id, patch_idx FROM r WHERE n = 1")
+def central_patch(spark: SparkSession, d: str) -> DataFrame:
+    patches = v.view(spark, d, v.PATCHES)
+    centre = patches.groupBy("slide_id").agg(((F.min("x") + F.max("x")) / 2).alias("px"), ((F.min("y") + F.max("y")) / 2).alias("py")).withColumn("point_id", F.lit("centre"))
+    return geometry.nearest_patch(patches, centre)
+
+
+@query("SELECT slide_id, cluster_id, center_x, count FROM {GEOMETRY} g")
+def geometry_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.GEOMETRY).select("slide_id", F.to_json(F.create_map("cluster_id", F.struct("center_x", "count"))).alias("c"))
+    deep = F.expr("pmod(hash(slide_id), 2) = 0")
+    inner = F.when(deep, F.concat(F.lit('{"x":'), "c", F.lit("}"))).otherwise(F.col("c"))
+    return geometry.flattened_geometry(rows.select(F.concat(F.lit('{"'), "slide_id", F.lit('":'), inner, F.lit("}")).alias("value"))).select("slide_id", "cluster_id", "center_x", "count")
+
+
+@query()
+def region_growing(spark: SparkSession, d: str) -> DataFrame:
+    return regions.grow_regions(v.view(spark, d, v.PATCHES))
+
+
+@query()
+def region_circles(spark: SparkSession, d: str) -> DataFrame:
+    patches = v.view(spark, d, v.PATCHES)
+    return regions.circles(patches, regions.grow_regions(patches))
+
+
+@query()
+def region_means(spark: SparkSession, d: str) -> DataFrame:
+    patches = v.view(spark, d, v.PATCHES)
+    return regions.cluster_means(patches, regions.grow_regions(patches)).withColumn("feature", F.transform("feature", lambda x: F.round(x, 6)))
+
+
+_ROLES = "t AS (SELECT *, count(*) OVER (PARTITION BY slide_id) AS seq_len FROM {TOKENS} t), r AS (SELECT *, CASE WHEN token_idx = 0 THEN 'global' WHEN (token_idx - 1) % 10 = 9 OR token_idx = seq_len - 1 THEN 'summary' ELSE 'patch' END AS token_type, CASE WHEN token_idx = 0 THEN -1 ELSE (token_idx - 1) // 10 END AS pack_idx FROM t)"
+
+
+@query("WITH " + _ROLES + "SELECT slide_id, token_idx, token_type, pack_idx FROM r")
+def token_roles(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.with_roles(v.view(spark, d, v.TOKENS)).select("slide_id", "token_idx", "token_type", "pack_idx")
+
+
+@query("WITH " + _ROLES + "SELECT slide_id, pack_idx, min(token_idx) AS start, max(token_idx) AS summary_idx, count(*) FILTER (token_type = 'patch') AS patches FROM r WHERE pack_idx >= 0 GROUP BY 1, 2")
+def pack_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.pack_ranges(tokens.with_roles(v.view(spark, d, v.TOKENS)))
+
+
+@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(DISTINCT pack_idx) AS packs FROM r WHERE pack_idx >= 0 GROUP BY 1) SELECT slide_id, CASE WHEN packs <= 1 THEN packs ELSE least(greatest(1, trunc(packs * (1 - 0.2::double))::bigint), 5) END AS kept FROM n")
+def dropped_packs(spark: SparkSession, d: str) -> DataFrame:
+    kept = tokens.with_roles(tokens.drop_packs(v.view(spark, d, v.TOKENS), 0.2, 5).withColumnRenamed("token_idx", "old").withColumn("token_idx", F.col("old")))
+    return kept.where("pack_idx >= 0").groupBy("slide_id").agg(F.count_distinct("pack_idx").alias("kept"))
+
+
+@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(*) FILTER (token_type = 'patch') AS p FROM r GROUP BY 1) SELECT slide_id, p - greatest(1, trunc(p * (1 - 0.75::double))::bigint) AS masked FROM n")
+def masked_patches(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.mask_patches(v.view(spark, d, v.TOKENS)).groupBy("slide_id").agg(F.count_if("masked").alias("masked"))
+
+
+@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(DISTINCT pack_idx) FILTER (pack_idx >= 0) AS p FROM r GROUP BY 1) SELECT slide_id, p - greatest(1, trunc(p * (1 - 0.75::double))::bigint) AS masked FROM n")
+def masked_packs(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.mask_packs(v.view(spark, d, v.TOKENS)).where("masked")
+    every = v.view(spark, d, v.TOKENS).select("slide_id").distinct()
+    return every.join(out.groupBy("slide_id").agg(F.count_distinct("pack_idx").alias("m")), "slide_id", "left").select("slide_id", F.coalesce("m", F.lit(0)).alias("masked"))
+
+
+def _summaries(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.with_roles(v.view(spark, d, v.TOKENS)).where("token_type = 'summary'").groupBy("slide_id").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(*) AS n FROM r WHERE token_type = 'summary' GROUP BY 1), p AS (SELECT slide_id, unnest(range(n - 1)) AS i FROM n WHERE n >= 2) SELECT slide_id, i::int AS a, (i + 1)::int AS b FROM p UNION ALL SELECT slide_id, (i + 1)::int, i::int FROM p")
+def adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.adjacent_pairs(_summaries(spark, d))
+
+
+@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(*) AS n FROM r WHERE token_type = 'summary' GROUP BY 1) SELECT slide_id, least(n, 3) AS pairs FROM n WHERE n >= 2")
+def capped_self_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.self_pairs(_summaries(spark, d), 3).groupBy("slide_id").agg(F.count("*").alias("pairs"))
+
+
+@query()
+def noisy_tokens(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.add_noise(v.view(spark, d, v.TOKENS))
+    return out.select("slide_id", "token_idx", F.size("embedding").alias("dim"))
+
+
+@query("SELECT count(*) AS slides, count(*) AS far FROM customer")
+def distant_partners(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_name as slide_id", "c_custkey - min(c_custkey) over () as idx")
+    out = tokens.distant_partner(rows, 20).join(rows.selectExpr("slide_id as partner", "idx as other"), "partner")
+    return out.agg(F.count("*").alias("slides"), F.count_if(F.abs(F.col("idx") - F.col("other")) >= 20).alias("far"))
+
+
+_POOL = "WITH " + _ROLES + ", e AS (SELECT slide_id, token_type, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM r WHERE token_type <> 'patch'), m AS (SELECT slide_id, i, avg(x::double) FILTER (token_type = 'summary') AS s, max(x::double) FILTER (token_type = 'global') AS g FROM e GROUP BY 1, 2)"
+
+
+@query(_POOL + "SELECT slide_id, 'global' AS half, i::int AS position, round(g, 6) AS value FROM m UNION ALL SELECT slide_id, 'summary', i::int, round(s, 6) FROM m")
+def pooled_slides(spark: SparkSession, d: str) -> DataFrame:
+    rows = tokens.pooled(v.view(spark, d, v.TOKENS))
+    dim = F.expr("size(representation) div 2")
+    flat = rows.select("slide_id", dim.alias("dim"), F.posexplode("representation").alias("i", "x"))
+    return flat.select("slide_id", F.when(F.col("i") < F.col("dim"), "global").otherwise("summary").alias("half"), F.expr("cast(i % dim + 1 as int)").alias("position"), F.round("x", 6).alias("value"))
+
+
+@query("WITH " + _ROLES + ", s AS (SELECT slide_id, embedding, exp((token_idx % 7 / 70.0 - max(token_idx % 7 / 70.0) OVER (PARTITION BY slide_id)) / 0.05) AS w FROM r WHERE token_type = 'summary'), e AS (SELECT slide_id, w, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM s) SELECT slide_id, i::int AS position, round(sum(w * x) / sum(w), 5) AS value FROM e GROUP BY 1, 2")
+def weighted_slides(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.TOKENS)
+    out = tokens.weighted_pooled(rows, rows.selectExpr("slide_id", "token_idx", "cast(token_idx % 7 as double) / 70 as score"))
+    flat = out.select("slide_id", F.expr("size(representation) div 2").alias("dim"), F.posexplode("representation").alias("i", "x")).where("i >= dim")
+    return flat.select("slide_id", F.expr("cast(i - dim + 1 as int)").alias("position"), F.round("x", 5).alias("value"))
+
+
+@query("WITH e AS (SELECT slide_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM {TOKENS} t) SELECT slide_id, i::int AS position, round(avg(x), 6) AS value FROM e GROUP BY 1, 2")
+def mean_tokens(spark: SparkSession, d: str) -> DataFrame:
+    out = tokens.vector_mean(v.view(spark, d, v.TOKENS), ["slide_id"]).select("slide_id", F.posexplode("mean").alias("i", "x"))
+    return out.select("slide_id", (F.col("i") + 1).alias("position"), F.round("x", 6).alias("value"))
+
+
+@query("SELECT slide_id, token_idx, CASE WHEN token_idx % 5 = 0 THEN NULL ELSE 128 END AS dim, CASE WHEN token_idx % 5 = 0 THEN 'unexpected dimension: 60' END AS reject_reason FROM {TOKENS} t")
+def padded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.TOKENS).withColumn("embedding", F.when(F.col("token_idx") % 5 == 0, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")))
+    return tokens.padded(rows, short=64, full=128).select("slide_id", "token_idx", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), "reject_reason")
+
+
+@query("WITH " + _GRID + ", p AS (SELECT slide_id, y.i * px + x.i AS pack_idx, (x.i * pw * 3)::double AS x, (y.i * ph * 3)::double AS y FROM h, LATERAL (SELECT unnest(range(px)) AS i) x, LATERAL (SELECT unnest(range(py)) AS i) y), m AS (SELECT *, max(greatest(x, y)) OVER (PARTITION BY slide_id) AS top FROM p), n AS (SELECT slide_id, pack_idx, CASE WHEN top > 0 THEN x / top * 2 * pi() ELSE x END AS x, CASE WHEN top > 0 THEN y / top * 2 * pi() ELSE y END AS y FROM m) SELECT slide_id, pack_idx, round(sin(x), 5) AS s0, round(sin(x * 0.01), 5) AS s1, round(cos(x), 5) AS c0, round(sin(y), 5) AS t0, round(cos(y * 0.01), 5) AS d1 FROM n")
+def position_vectors(spark: SparkSession, d: str) -> DataFrame:
+    packs = geometry.packs(geometry.tile_grid(v.view(spark, d, v.SLIDES)))
+    out = tokens.position_vectors(packs.select("slide_id", F.col("pack_idx").cast("long").alias("pack_idx"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), 8)
+    part = lambda i, n: F.round(F.get("position", i), 5).alias(n)
+    return out.select("slide_id", "pack_idx", part(0, "s0"), part(1, "s1"), part(2, "c0"), part(4, "t0"), part(7, "d1"))
+
+
+@query("SELECT task, array_to_string(list_sort(list(DISTINCT value)), ',') AS classes, count(DISTINCT value) AS n_classes, CASE WHEN count(DISTINCT value) = 2 THEN 'binary' ELSE 'multi' END AS task_type, CASE WHEN count(DISTINCT value) = 2 THEN 1 ELSE count(DISTINCT value) END AS width FROM (SELECT 'quality' AS task, quality::varchar AS value FROM {LABELS} l UNION ALL SELECT 'toxic', toxic::varchar FROM {LABELS} l UNION ALL SELECT 'lang', lang FROM {LABELS} l) WHERE value IS NOT NULL GROUP BY task")
+def class_inventory(spark: SparkSession, d: str) -> DataFrame:
+    out = tasks.class_inventory(tasks.long_labels(v.view(spark, d, v.LABELS), ["quality", "toxic", "lang"]))
+    return out.withColumns({"classes": F.array_join("classes", ","), "n_classes": F.col("n_classes").cast("long"), "width": F.col("width").cast("long")})
+
+
+@query("SELECT id, lang AS value, dense_rank() OVER (ORDER BY lang) - 1 AS label FROM {LABELS} l WHERE lang IS NOT NULL")
+def label_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.label_ids(tasks.long_labels(v.view(spark, d, v.LABELS), ["lang"])).select("id", "value", F.col("label").cast("long").alias("label"))
+
+
+@query("SELECT id FROM {LABELS} l WHERE quality IS NOT NULL AND toxic IS NOT NULL AND lang IS NOT NULL")
+def labelled_in_all(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.labelled_in_all(v.view(spark, d, v.LABELS), ["quality", "toxic", "lang"]).select("id")
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'binary_task' ELSE 'multi_task' END AS task, count(*) AS total, avg(CASE WHEN event_id % 2 = 0 THEN (CASE WHEN value > 10 THEN 1 ELSE 0 END = user_id % 2)::int ELSE (CASE WHEN value >= 10 AND value >= 20 THEN 0 WHEN 10 >= 20 THEN 1 ELSE 2 END = user_id % 3)::int END) AS accuracy FROM events GROUP BY 1")
+def task_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("CASE WHEN event_id % 2 = 0 THEN 'binary_task' ELSE 'multi_task' END as task", "CASE WHEN event_id % 2 = 0 THEN 'binary' ELSE 'multi' END as task_type", "CASE WHEN event_id % 2 = 0 THEN array(value - 10) ELSE array(value, 10D, 20D) END as logits", "cast(CASE WHEN event_id % 2 = 0 THEN user_id % 2 ELSE user_id % 3 END as int) as label")
+    return tasks.task_accuracy(rows)
+
+
+_IMAGES = "(SELECT 'i' || p_partkey AS image, CASE p_partkey % 3 WHEN 0 THEN 'WSI' WHEN 1 THEN 'Cluster' ELSE 'ROI' END AS level FROM part)"
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").selectExpr("'i' || cast(p_partkey as string) as image", "CASE p_partkey % 3 WHEN 0 THEN 'WSI' WHEN 1 THEN 'Cluster' ELSE 'ROI' END as level")
+
+
+@query("SELECT level, code, format, count(*) AS tasks FROM (SELECT level, unnest(CASE level WHEN 'WSI' THEN ['1.1', '1.2', '2.1', '2.4'] WHEN 'Cluster' THEN ['1.2', '1.3', '2.1', '2.2'] ELSE ['1.3', '1.4', '2.1', '2.2', '2.3'] END) AS code FROM " + _IMAGES + ") i, (SELECT unnest(['single', 'single', 'multi', 'caption', 'caption']) AS format) f GROUP BY 1, 2, 3")
+def expanded_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.expand_tasks(_images(spark, d)).groupBy("level", "code", "format").agg(F.count("*").alias("tasks"))
+
+
+@query("SELECT image, difficulty, format FROM " + _IMAGES + " i, (VALUES ('easy', 'single'), ('easy', 'multi'), ('medium', 'single'), ('medium', 'multi'), ('hard', 'single'), ('hard', 'multi'), ('none', 'caption')) t(difficulty, format)")
+def expanded_difficulties(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.expand_difficulties(_images(spark, d)).select("image", "difficulty", "format")
+
+
+@query("SELECT image, format, 'Ask ' || level || ' about ' || image AS prompt FROM " + _IMAGES + " i, (SELECT unnest(['single', 'multi']) AS format) f WHERE level = 'WSI'")
+def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = tasks.expand_tasks(_images(spark, d).where("level = 'WSI'")).where("copy = 1 and format <> 'caption' and code = '1.1'")
+    templates = rows.select("code", "format").distinct().withColumn("template", F.lit("Ask {level} about {image}"))
+    return tasks.render_prompts(rows, templates, ["level", "image"]).select("image", "format", "prompt")
+
+
+@query("SELECT image, code, 'q of ' || image AS question FROM " + _IMAGES + " i, (SELECT unnest(['1.1', '1.2', '2.1', '2.4']) AS code) c WHERE level = 'WSI' AND length(image) % 2 = 0")
+def attached_outputs(spark: SparkSession, d: str) -> DataFrame:
+    rows = tasks.expand_tasks(_images(spark, d).where("level = 'WSI'")).where("copy = 1 and format = 'multi'")
+    outputs = rows.selectExpr("task_id", "CASE WHEN length(image) % 2 = 0 THEN 'Here: {\"question\":\"q of ' || image || '\"}' ELSE 'failed' END as text")
+    return tasks.attach_outputs(rows, outputs).select("image", "code", F.get_json_object("item", "$.question").alias("question"))
+
+
+def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = v.view(spark, d, v.GEOMETRY)
+    slides = rows.select("slide_id").distinct().withColumn("summary", F.concat(F.lit("slide "), "slide_id"))
+    clusters = rows.select("slide_id", "cluster_id", F.concat(F.lit("cluster "), F.col("count").cast("string")).alias("summary"))
+    rois = rows.select("slide_id", "cluster_id", F.explode(F.array(F.lit(20), F.lit(10))).alias("magnification")).withColumn("text", F.concat(F.lit("t"), F.col("magnification").cast("string")))
+    return slides, clusters, rois
+
+
+@query("SELECT slide_id, cluster_id, m AS magnification, 'cluster ' || count AS cluster_summary, 'slide ' || slide_id AS slide_summary FROM {GEOMETRY} g, (SELECT unnest([10, 20]) AS m) x")
+def region_context(spark: SparkSession, d: str) -> DataFrame:
+    slides, clusters, rois = _levels(spark, d)
+    return tasks.with_context(rois, clusters, slides).select("slide_id", "cluster_id", "magnification", "cluster_summary", "slide_summary")
+
+
+@query("SELECT slide_id, cluster_id, 'Mag 10x: t10' || chr(10) || chr(10) || 'Mag 20x: t20' AS texts FROM {GEOMETRY} g")
+def gathered_texts(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.gathered_texts(_levels(spark, d)[2])
+
+
+@query("SELECT slide_id, count(*) AS clusters, 2 * count(*) AS rois, string_agg(cluster_id, ',' ORDER BY cluster_id) AS names FROM {GEOMETRY} g GROUP BY 1")
+def nested_slides(spark: SparkSession, d: str) -> DataFrame:
+    out = tasks.nested(*_levels(spark, d))
+    rois = F.aggregate(F.transform("clusters", lambda c: F.size(c["rois"])), F.lit(0), lambda a, x: a + x)
+    return out.select("slide_id", F.size("clusters").cast("long").alias("clusters"), rois.cast("long").alias("rois"), F.array_join(F.transform("clusters", lambda c: c["cluster_id"]), ",").alias("names"))
+
+
+@query("SELECT kind, CASE kind WHEN 'qa_single_choice' THEN (SELECT count(*) FROM customer) WHEN 'caption_qa' THEN (SELECT count(*) FROM customer) ELSE (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) END AS count FROM (SELECT unnest(['qa_single_choice', 'qa_multiple_choice', 'caption_qa']) AS kind)")
+def qa_block_counts(spark: SparkSession, d: str) -> DataFrame:
+    one = "map('k', 'item')"
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr(f"map('qa_single_choice', {one}) as wsi_results", f"array(named_struct('qa', CASE WHEN c_custkey % 2 = 0 THEN map('cluster_qa_multiple_choice', {one}) END, 'rois', array(map('caption_qa', {one})))) as clusters")
+    return tasks.qa_counts(rows)
+
+
+@query("SELECT CASE o_orderkey % 3 WHEN 0 THEN 'thumbnail' WHEN 1 THEN 'cluster' ELSE 'roi' END AS kind, count(*) AS count FROM orders GROUP BY 1")
+def image_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("CASE o_orderkey % 3 WHEN 0 THEN 'a/thumbnail.png' WHEN 1 THEN 'a/clusters/x.png' ELSE 'a/rois/' || cast(o_orderkey as string) || '.png' END as path")
+    return tasks.image_counts(rows)
+
+
+@query("SELECT s AS session, CASE WHEN s % 3 = 1 THEN 'vqa.jsonl missing or too small' ELSE 'inference_results.json missing or too small' END AS reason FROM (SELECT c_custkey AS s FROM customer) WHERE s % 3 <> 0")
+def incomplete_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("session"), F.inline(F.expr("CASE c_custkey % 3 WHEN 0 THEN array(named_struct('path', 'a/inference_results.json', 'size', 100), named_struct('path', 'a/vqa.jsonl', 'size', 50)) WHEN 1 THEN array(named_struct('path', 'a/inference_results.json', 'size', 500), named_struct('path', 'a/vqa.jsonl', 'size', 49)) ELSE array(named_struct('path', 'a/x', 'size', 1), named_struct('path', 'a/vqa.jsonl', 'size', 60)) END")))
+    return tasks.incomplete_sessions(rows)
+
+
+@query("WITH s AS (SELECT * FROM {STATUS} s), c AS (SELECT DISTINCT 'slide_' || user_id AS slide_id FROM events UNION SELECT 'slide_x' || c_custkey FROM customer) SELECT slide_id FROM c WHERE slide_id NOT IN (SELECT slide_id FROM s WHERE status IN ('completed', 'skipped')) ORDER BY slide_id LIMIT (SELECT greatest(0, 75 - count(*)) FROM s WHERE status = 'completed')")
+def pending_slides(spark: SparkSession, d: str) -> DataFrame:
+    seen = spark.read.parquet(f"{d}/events.parquet").selectExpr("'slide_' || cast(user_id as string) as slide_id").distinct()
+    more = spark.read.parquet(f"{d}/customer.parquet").selectExpr("'slide_x' || cast(c_custkey as string) as slide_id")
+    return tasks.pending_slides(seen.union(more).distinct(), v.view(spark, d, v.STATUS), 75)
+
+
+@query("SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'completed') >= 10 AS target_reached, count(*) FILTER (status = 'failed') >= 3 AS failure_limit_hit FROM {STATUS} s")
+def status_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return tasks.status_rollup(v.view(spark, d, v.STATUS), 10, 3)
+
+
+@query("SELECT c_name AS slide_id, CASE WHEN c_custkey % 2 = 0 THEN 'tl' ELSE 'br,tl' END AS missing FROM customer WHERE c_custkey % 3 <> 0")
+def missing_variants(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    listing = rows.select(F.col("c_name").alias("base"), F.explode(F.expr("CASE WHEN c_custkey % 3 = 0 THEN array('original', 'tl', 'br') WHEN c_custkey % 2 = 0 THEN array('original', 'br', 'zz') ELSE array('original') END")).alias("suffix"))
+    return tasks.incomplete_variants(listing, rows.select(F.col("c_name").alias("slide_id")), ["original", "tl", "br"])
+
+
+@query("SELECT 'WSI' AS belong_level, c_name AS name, c_acctbal AS score FROM customer UNION ALL SELECT 'Cluster', s_name, NULL FROM supplier")
+def union_of_levels(spark: SparkSession, d: str) -> DataFrame:
+    a = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    b = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("name"))
+    return corpus.union_levels(("WSI", a), ("Cluster", b)).select("belong_level", "name", "score")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'WSI' WHEN 1 THEN 'Cluster' ELSE 'Patch' END AS level, CASE p_partkey % 4 WHEN 0 THEN 'Macro' WHEN 1 THEN 'Medium' WHEN 2 THEN '10x' ELSE '20x' END AS magnification, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'cluster_' || p_size END AS cluster_id FROM part")
+def file_levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "p_name as slide", "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'cluster_' || cast(p_size as string) WHEN 2 THEN 'cluster_' || cast(p_size as string) || '_10x' ELSE 'cluster_' || cast(p_size as string) || '_20x' END as base")
+    return rows.select("p_partkey", llm_text.level_of_file(F.col("base"), F.col("slide")).alias("l")).select("p_partkey", "l.*")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'A. ' || p_name WHEN 1 THEN 'B. ' || p_name ELSE p_name END AS option FROM part")
+def normalized_options(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "CASE p_partkey % 3 WHEN 0 THEN ' A: ' || p_name || ' ' WHEN 1 THEN 'B ' || p_name ELSE p_name END as text")
+    return rows.select("p_partkey", options.normalized_option(F.col("text")).alias("option"))
+
+
+@query("WITH c AS (SELECT slide_id, token_idx AS centre, embedding AS vector FROM {TOKENS} t WHERE token_idx < 3), s AS (SELECT t.slide_id, t.token_idx, c.centre, list_cosine_similarity(t.embedding::double[], c.vector::double[]) AS s FROM {TOKENS} t JOIN c USING (slide_id)), r AS (SELECT *, row_number() OVER (PARTITION BY slide_id, token_idx ORDER BY s DESC, centre) AS n FROM s) SELECT slide_id, token_idx, centre FROM r WHERE n = 1")
+def nearest_centres(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.TOKENS)
+    centres = rows.where("token_idx < 3").select("slide_id", F.col("token_idx").alias("centre"), F.col("embedding").alias("vector"))
+    return tokens.nearest_centre(rows, centres).select("slide_id", "token_idx", "centre")
+
+
+@query("WITH " + _GRID + ", v AS (SELECT slide_id, count(*) FILTER (i % 3 <> 0) AS n FROM (SELECT slide_id, unnest(range(px * py)) AS i FROM h) GROUP BY 1) SELECT slide_id, n AS num_packs, n * 3 AS num_patches, n * 9 AS n_patch_tokens, CASE WHEN n > 0 THEN 1 + n * 10 ELSE 0 END AS seq_len FROM v")
+def sequence_config(spark: SparkSession, d: str) -> DataFrame:
+    grid = geometry.tile_grid(v.view(spark, d, v.SLIDES))
+    return tokens.sequence_config(grid, geometry.packs(grid).where("pack_idx % 3 <> 0"))
+
+
+@query("WITH " + _ROLES + " SELECT slide_id, token_idx, md5(array_to_string(list_transform(embedding, lambda x: round(x * 100)::int), ',')) AS digest FROM r WHERE token_idx <= (seq_len - 1) // 10 * 10")
+def assembled_sequences(spark: SparkSession, d: str) -> DataFrame:
+    # the whole packs of sequences taken apart and put together again
+    roles = tokens.with_roles(v.view(spark, d, v.TOKENS)).where("token_idx <= (seq_len - 1) div 10 * 10")
+    part = lambda kind, *c: roles.where(F.col("token_type") == kind).select("slide_id", *c, "embedding")
+    out = tokens.assembled(part("global"), part("patch", "pack_idx", "position"), part("summary", "pack_idx"))
+    return out.select("slide_id", F.col("token_idx").cast("int").alias("token_idx"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x * 100).cast("int").cast("string")), ",").cast("binary")).alias("digest"))

@@ -6,8 +6,7 @@ per text: characters per token, share of byte-fallback tokens, and the entropy o
 what a text of as many tokens has. A text is kept if it passes the base rules and lies in the bands of its
 language, or of its script where the language is unknown. Entropy is judged from ``MIN_TOKENS`` on.
 
-Everything is one pass without a shuffle; words are encoded once per worker and remembered in a table of
-bounded size.
+Everything is one pass without a shuffle; a worker remembers the tokens of words in a table of bounded size.
 
 Defined results: null and empty texts have no words and fail the base rules. Rows are judged one by one,
 so repeated rows give repeated results. Columns of the same names as the measures are not read.
@@ -17,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slideqa.llm.tables import table
 from slideqa.llm.text import SPACED, Words, flat, slices, windows, words
+from slideqa.llm.word_cache import WordCache, ranges
 
 
 class Band(NamedTuple):
@@ -52,7 +51,6 @@ MIN_TOKENS = 60
 MARGIN, SPREAD = 0.28, 3.2
 MIN_WORDS, MAX_REPEAT = 10, 20
 WINDOW = 5
-REMEMBERED = 400_000
 #: Ids of the byte-fallback tokens of the vocabulary.
 BYTE_IDS = (3, 258)
 VOCABULARY = "piece_bpe_32k.model"
@@ -70,31 +68,17 @@ def _encoder(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-_known: dict[bytes, tuple[int, ...]] = {}
-
-
-def word_tokens(found: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of distinct words, one after another, and the count for each word. Words are remembered,
-    and forgotten all at once beyond REMEMBERED."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    new = [w for w in found if w not in _known]
-    if new:
-        _known.update(zip(new, map(tuple, _encoder(path).encode([w.decode() for w in new], num_threads=1)), strict=True))
-    got = [_known[w] for w in found]
-    sizes = np.fromiter(map(len, got), np.int64, len(got))
-    return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
+@cache
+def _remembered(path: str) -> WordCache:
+    return WordCache(lambda found: _encoder(path).encode([w.decode() for w in found], num_threads=1), np.uint16)
 
 
-def text_tokens(raw: bytes, w: Words, n_docs: int, path: str) -> tuple[np.ndarray, np.ndarray]:
+def text_tokens(raw: bytes, w: Words, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The token ids of every word of every text, and the text of each."""
-    _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    pool, sizes = word_tokens([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], path)
+    pool, sizes, which = _remembered(path).tokens(raw, w)
     starts = np.cumsum(sizes) - sizes
     sizes, starts = sizes[which], starts[which]
-    total = int(sizes.sum())
-    at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    return pool[at], np.repeat(w.doc, sizes)
+    return pool[ranges(starts, sizes)], np.repeat(w.doc, sizes)
 
 
 def entropies(ids: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
@@ -166,7 +150,7 @@ def _judged(path: str, bands: dict[str, Band]):
                 chars = sums[offsets[1:]] - sums[offsets[:-1]]
                 np.cumsum(_SYMBOL[data], out=sums[1:])
                 symbols = sums[offsets[1:]] - sums[offsets[:-1]]
-                ids, docs = text_tokens(raw, w, n_docs, path)
+                ids, docs = text_tokens(raw, w, path)
                 tokens = np.bincount(docs, minlength=n_docs)
                 in_bytes = np.bincount(docs, (ids >= BYTE_IDS[0]) & (ids <= BYTE_IDS[1]), n_docs)
                 per_token, share = chars / np.maximum(1, tokens), in_bytes / np.maximum(1, tokens)

@@ -18,11 +18,12 @@ the hash of their text, null doc_ids come first; rows stay rows. Other columns a
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 
 from slideqa.llm.tables import new_path, table
 from slideqa.llm.text import SPACED, flat, slices, words
+from slideqa.llm.word_cache import WordCache, ranges
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 1 << 18
 BLOCKS_PER_FILE = 32
-REMEMBERED = 400_000
 MAGIC = b"DACB"
 _HEAD = struct.Struct("<4sIIQIII")
 STRIDE = 512
@@ -48,51 +49,88 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    out = Tokenizer.from_file(path)
-    out.no_truncation()
-    out.no_padding()
-    return out
-
+#: Words of Latin letters and printed ASCII; in these lower() and the pre-tokeniser's classes are plain.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ɏ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\sa-zß-öø-ɏ0-9]+|\n")
+_END = "</w>"
+
+
+class WordCoder:
+    """Encodes distinct words with the tokenizers library. Plain words are lower-cased and cut into
+    pre-tokens here; the library then encodes the distinct pre-tokens of many words in few calls, each
+    giving one token with the word-end mark. All other words are given to it as they are."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        with open(path) as f:
+            parts = json.load(f)
+        parts |= {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
+        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.pieces = Tokenizer.from_str(json.dumps(parts))
+        self.ends = np.zeros(max(self.whole.get_vocab().values()) + 1, bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = token.endswith(_END)
+
+    def __call__(self, found: list[bytes]) -> list[list[int]]:
+        texts = [w.decode() for w in found]
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and _PLAIN.fullmatch(t)]
+        out: list = [None] * len(texts)
+        cut = _PIECES.findall("\n".join(texts[i] for i in plain).lower())
+        ids = self._piece_ids({p for p in cut if p != "\n"})
+        if ids is not None:
+            at, own = 0, []
+            for p in [*cut, "\n"] if plain else ():
+                if p == "\n":
+                    out[plain[at]] = own
+                    at, own = at + 1, []
+                else:
+                    own = own + ids[p] if own else ids[p]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(rest), 10_000):
+            part = rest[k : k + 10_000]
+            for i, e in zip(part, self.whole.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
-_known: dict[bytes, tuple[int, ...]] = {}
+    def _piece_ids(self, pieces: set[str]) -> dict[str, list[int]] | None:
+        """None if a piece doesn't end in just one end mark; the caller then gives up on pieces."""
+        every = list(pieces)
+        groups = [every[k : k + 2000] for k in range(0, len(every), 2000)]
+        out = {}
+        for group, e in zip(groups, self.pieces.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(group) or stops[-1] != len(ids):
+                return None
+            start = 0
+            for p, stop in zip(group, stops, strict=True):
+                out[p] = ids[start:stop]
+                start = stop
+        return out
 
 
-def _word_ids(found: list[bytes], path: str) -> list[tuple[int, ...]]:
-    """The vocabulary drops white space, so words between ASCII white space are encoded on their own; each
-    once, remembered, and forgotten all at once beyond REMEMBERED."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    new = [w for w in found if w not in _known]
-    if new:
-        encode = _tokenizer(path).encode_batch_fast
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            _known.update((w, tuple(e.ids)) for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True))
-    return [_known[w] for w in found]
+@cache
+def _remembered(path: str) -> WordCache:
+    return WordCache(WordCoder(path), np.uint16)
 
 
 def text_ids(texts: pa.Array, path: str, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each with the end id, one after another; and how many each has."""
+    """The ids of all texts, each with the end id, one after another; and how many each has. The vocabulary
+    drops white space, so words between ASCII white space are encoded on their own."""
     data, offsets = flat(texts)
     w = words(data, offsets, SPACED, lower=False)
-    raw = data.tobytes()
-    _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    got = _word_ids([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], path)
+    pool, sizes, which = _remembered(path).tokens(data.tobytes(), w)
     n = len(offsets) - 1
-    got.append((end,))
-    sizes = np.fromiter(map(len, got), np.int64, len(got))
-    pool = np.fromiter(chain.from_iterable(got), np.uint16, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
     # the end id is one more word behind the words of each text
-    which = np.insert(which.astype(np.int64), np.searchsorted(w.doc, np.arange(n), "right"), len(got) - 1)
-    docs = np.insert(w.doc, np.searchsorted(w.doc, np.arange(n), "right"), np.arange(n))
-    sizes, starts = sizes[which], starts[which]
-    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    return pool[at], np.bincount(docs, sizes, n).astype(np.int64)
+    at = np.searchsorted(w.doc, np.arange(n), "right")
+    which, docs = np.insert(which.astype(np.int64), at, len(sizes)), np.insert(w.doc, at, np.arange(n))
+    pool, sizes = np.append(pool, np.uint16(end)), np.append(sizes, 1)
+    starts = np.cumsum(sizes) - sizes
+    return pool[ranges(starts[which], sizes[which])], np.bincount(docs, sizes[which], n).astype(np.int64)
 
 
 def packed(ids: np.ndarray) -> bytes:

@@ -121,7 +121,7 @@ def _arrays(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
 
 def _labelled(rows: pd.DataFrame) -> pd.DataFrame:
     if len(rows) <= CLUSTERS:
-        return pd.DataFrame({"slide_id": [], "patch_idx": [], "cluster": []})
+        return pd.DataFrame({"slide_id": rows["slide_id"][:0], "patch_idx": rows["patch_idx"][:0], "cluster": rows["patch_idx"][:0]})
     rows, xy, features = _arrays(rows)
     label, _ = grow(xy, features)
     return pd.DataFrame({"slide_id": rows["slide_id"], "patch_idx": rows["patch_idx"], "cluster": label})

@@ -25,6 +25,6 @@ def write_split(rows: DataFrame, accepted: str, rejected: str) -> None:
 def write_summary(summary: DataFrame, path: str) -> None:
     """A small long table (group_type, group_key, metric, value) as one JSON document of nested objects."""
     inner = summary.groupBy("group_type", "group_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
-    outer = inner.groupBy("group_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_key", "m")))).alias("g"))
-    whole = outer.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_type", "g")))).alias("s"))
+    outer = inner.groupBy("group_type").agg(F.map_from_entries(F.collect_list(F.struct("group_key", "m"))).alias("g"))
+    whole = outer.agg(F.map_from_entries(F.collect_list(F.struct("group_type", "g"))).alias("s"))
     whole.select(F.to_json("s").alias("value")).coalesce(1).write.mode("overwrite").text(path)

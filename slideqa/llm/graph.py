@@ -22,11 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = ends.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
         hooks = Saved(hooks, "hooks")
         up = hooks.df.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        twice = Saved(hooks.df.join(up, "p").select("u", F.col("q").alias("p")), "twice")
-        up = twice.df.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        roots = Saved(twice.df.join(up, "p").select("u", F.col("q").alias("p")), "roots")
+        once = hooks.df.join(up, "p").select("u", F.col("q").alias("p"))
+        roots = Saved(once.join(up, "p").select("u", F.col("q").alias("p")), "roots")
         hooks.drop()
-        twice.drop()
         if labels is None:
             labels = Saved(roots.df.select(F.col("u").alias("node"), F.col("p").alias("label")), "labels")
         else:

@@ -6,11 +6,16 @@ Each text's set of distinct 5-word shingles (64-bit hashes) is sketched in one p
 compressed registers, empty buckets filled from others in a fixed order, bring candidates together; the
 collision-corrected Jaccard estimate of the sketches thins them and the full sets decide.
 
-Members of one band bucket are never all paired. The first round pairs each node with the best of its
-buckets' smallest members; near copies nearly all join there. Later rounds only look at buckets whose
-members still lie in several components, and there pair the members outside the bucket's largest component
-with members of other components. A pair is tried once. Buckets that would give too many such pairs are
-split by further registers, again in bands.
+A shingle that no other node of the search has can lie in no intersection. So each node's own shingles are
+counted over all nodes that share a bucket: a node of n shingles, u of them its own, meets another in at
+most n - u, which rules out most candidates for certain (all that merely share a passage).
+
+Members of one band bucket are never all paired. First each node is paired with the best of its buckets'
+pivots, the members with the least share of own shingles; near copies nearly all join there. What is left are
+buckets whose members lie in several components. Per bucket's largest component, the members outside it (the
+queries) are held against all that share such a bucket, in blocks of bounded weight: a task gets one block of
+queries and one of targets and intersects their full sets at once. It gives a link for each query and foreign
+component at most, so nothing is lost and no list of pairs arises.
 
 Defined results: null or word-less texts have an empty set and link with nothing. Rows with one doc_id are
 one document. Rows without a doc_id are kept and link with nothing. Other columns are not read.
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +44,14 @@ REST_BITS = 40
 EMPTY = 0xFFFF
 #: Standard errors that the estimate may fall below the threshold before a candidate is dropped.
 SLACK = 4.5
-#: Pairs a band row may cause on average before large buckets are split again, registers and bands of a split.
-PAIRS_PER_ROW = 8
-SPLIT_ROWS, SPLIT_BANDS = 4, 12
+#: Shingles of a block, on average; a single larger set is a block of its own.
+BLOCK = 100_000
+#: What a small set counts at least, so a block has at most BLOCK / LEAST_WEIGHT of them.
+LEAST_WEIGHT = 100
+#: Columns of the incidence matrices that are multiplied at a time.
+CHUNK = 4096
 
 _ORDER = np.random.Generator(np.random.PCG64(7)).permuted(np.tile(np.arange(BUCKETS), (BUCKETS, 1)), axis=1)
-_SPLITS = np.random.Generator(np.random.PCG64(11)).integers(0, BUCKETS, (3, SPLIT_BANDS, SPLIT_ROWS))
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -133,19 +141,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "id"])
 
 
-def _split(level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = band_keys(_codes(part.column(3)), _SPLITS[level], level + 1).view(np.uint64)
-                keys = mixed(keys + np.repeat(part.column(0).to_numpy().view(np.uint64)[:, None], SPLIT_BANDS, 1)).view(np.int64)
-                ids, labels = (np.repeat(part.column(i).to_numpy(), SPLIT_BANDS) for i in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids), pa.array(labels)], ["key", "id", "label"])
-
-    return run
-
-
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +148,9 @@ def _likely(percent: int):
                 t = percent / 100
                 n_a, n_b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
                 got, used = estimate(_codes(batch.column(3)), _codes(batch.column(5)), n_a, n_b)
-                keep = got >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(1, used))
+                union = (n_a + n_b) / (1 + t)
+                rest = np.maximum(0, 1 - used / np.maximum(1, union)) + 1 / np.maximum(1, used)
+                keep = got >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(1, used) * np.minimum(1, rest))
                 keep &= 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
                 keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -178,7 +175,7 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> Saved:
     """The pairs (a, b) whose full sets are similar enough."""
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -191,6 +188,20 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -
     return links
 
 
+def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            sets = list(shingles(words(*flat(part.column(1))), part.num_rows))
+            ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], ["h", "id"])
+
+
+def _possible(percent: int) -> str:
+    """Whether nodes (n_a, u_a) and (n_b, u_b) can be similar enough, by sizes and own shingles."""
+    both = "least(n_a - u_a, n_b - u_b)"
+    return f"100 * {both} >= {percent} * (n_a + n_b - {both})"
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is it): a row
     per row of docs. Links: 100 * intersection >= percent * union of the shingle sets."""
@@ -200,58 +211,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = Saved(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "sets")
     # rows that share a set, and rows that share a doc_id, are linked by what they share
     nodes = Saved(named.where("sketch is not null").join(sets.df, ["set_a", "set_b"]).where("doc_id = id").dropDuplicates(["set_a", "set_b"]).select("id", F.col("n_shingles").alias("n"), "sketch"), "nodes")
-    bands = Saved(nodes.df.select("id", "sketch").mapInArrow(_banded, "key long, id long"), "bands")
+    every = Saved(nodes.df.select("id", "sketch").mapInArrow(_banded, "key long, id long"), "bands")
+    shared = every.df.groupBy("key").count().where("count > 1").select("key")
+    bands = Saved(every.df.join(shared, "key"), "shared")
+    every.drop()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-
-    pivots = bands.df.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    met = bands.df.join(pivots, "key").where("a <> id").groupBy("id", "a").count()
-    first = met.groupBy("id").agg(F.max(F.struct("count", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("a"), F.col("id").alias("b"))
-    tried = Saved(first, "tried")
-    found = [_links(tried.df, nodes.df, texts, percent)]
-    done = [tried]
-    while True:
-        links = found[0].df
-        for f in found[1:]:
-            links = links.unionByName(f.df)
-        labels = components(links)
-        more = _untried(bands.df, labels, nodes.df, done)
-        if more.df.isEmpty():
-            break
-        done.append(more)
-        found.append(_links(more.df, nodes.df, texts, percent))
+    met = texts.join(bands.df.select("id").distinct(), "id", "left_semi").mapInArrow(_own_rows, "h long, id long")
+    own = met.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    active = nodes.df.join(bands.df.select("id").distinct(), "id", "left_semi").join(own, "id", "left")
+    active = Saved(active.select("id", "n", F.coalesce("u", F.lit(0)).alias("u"), "sketch").where(f"100 * (n - u) >= {percent} * n"), "active")
+    texts = Saved(texts.join(active.df.select("id"), "id", "left_semi"), "texts")
+    members = Saved(bands.df.join(active.df.select("id", "n", "u"), "id"), "members")
     bands.drop()
+
+    share = F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u")
+    pivots = members.df.groupBy("key").agg(F.min(share).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.u").alias("u_a"))
+    met = members.df.withColumnsRenamed({"n": "n_b", "u": "u_b"}).join(pivots, "key").where("a <> id").where(_possible(percent)).groupBy("id", "a").count()
+    first = met.groupBy("id").agg(F.max(F.struct("count", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("x"), F.col("id").alias("y"))
+    pairs = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = _links(pairs, active.df, texts.df, percent)
+    more = Saved(_open_links(members.df, components(links.df), active.df, texts.df, percent), "more")
+    labels = components(links.df.unionByName(more.df))
+    for x in (members, texts, active, nodes):
+        x.drop()
     # a component's smallest doc_id is that of a node, as each node is named by the smallest of its set
     of_set = sets.df.join(labels, F.col("id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component"))
     out = rows.df.drop("sketch").join(of_set, ["set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _untried(bands: DataFrame, labels: DataFrame, nodes: DataFrame, done: list[Saved]) -> Saved:
-    """Pairs (a, b) that share a band bucket, lie in different components and were not tried yet."""
-    marked = bands.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    for level in range(len(_SPLITS) + 1):
-        parts = marked.groupBy("key", "label").count()
-        whole = parts.groupBy("key").agg(F.sum("count").alias("m"), F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("parts"))
-        whole = Saved(whole.where("parts > 1").select("key", "m", F.col("most.label").alias("main"), (F.col("m") - F.col("most.count")).alias("others")), "open")
-        load, rows = whole.df.agg(F.sum(F.col("others") * F.col("m")), F.sum("m")).first()
-        open_rows = Saved(marked.join(whole.df, "key"), "members")
-        whole.drop()
-        if (load or 0) <= PAIRS_PER_ROW * (rows or 0) or level == len(_SPLITS):
-            break
-        # the buckets that cause more pairs than rows allow are split, the rest stay
-        large = F.col("others") > PAIRS_PER_ROW
-        split = open_rows.df.where(large).join(nodes.select("id", "sketch"), "id").select("key", "id", "label", "sketch").mapInArrow(_split(level), "key long, id long, label long")
-        marked = Saved(open_rows.df.where(~large).select("key", "id", "label").unionByName(split), "marked").df
-    other = open_rows.df.where("label <> main").select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
-    every = open_rows.df.select("key", F.col("id").alias("y"), F.col("label").alias("ly"))
-    pairs = other.join(every, "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    for d in done:
-        pairs = pairs.join(d.df, ["a", "b"], "left_anti")
-    out = Saved(pairs, "pairs")
-    open_rows.drop()
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            sets = list(shingles(words(*flat(part.column(1))), part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, by chunks of shared members."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(flat_a, flat_b)
+    places = []
+    for every, sets in ((flat_a, a), (flat_b, b)):
+        at = np.searchsorted(common, every)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == every[hit]
+        places.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]))
+    for low in range(0, len(common), CHUNK):
+        x, y = (np.zeros((len(sets), min(CHUNK, len(common) - low)), np.float32) for sets in (a, b))
+        for m, (row, col) in zip((x, y), places, strict=True):
+            own = (col >= low) & (col < low + CHUNK)
+            m[row[own], col[own] - low] = 1
+        out += x @ y.T
     return out
 
 
+def _block_links(percent: int):
+    """Rows of one (main, query block, target block): links (a, b), one for each query and foreign label."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        query = rows["query"].to_numpy()
+        links = []
+        if query.any() and not query.all():
+            sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+            ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
+            q, t = np.flatnonzero(query), np.flatnonzero(~query)
+            sizes = np.array([len(x) for x in sets])
+            for i in range(0, len(q), 1024):
+                part = q[i : i + 1024]
+                both = intersections([sets[k] for k in part], [sets[k] for k in t])
+                union = sizes[part][:, None] + sizes[t][None, :] - both
+                x, y = np.nonzero((100 * both >= percent * union) & (labels[part][:, None] != labels[t][None, :]))
+                links.append(pd.DataFrame({"a": ids[part[x]], "b": ids[t[y]], "label": labels[t[y]]}).drop_duplicates(["a", "label"]))
+        return pd.concat(links)[["a", "b"]] if links else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    return run
+
+
+def _open_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between components whose members share a band bucket."""
+    marked = members.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    marked = Saved(marked, "marked")
+    parts = marked.df.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("parts"))
+    parts = parts.where("parts > 1").select("key", F.col("most.label").alias("main"))
+    there = Saved(marked.df.join(parts, "key").select("main", "id", "label").distinct(), "open")
+    marked.drop()
+    rows = there.df.join(nodes.select("id", F.greatest("n", F.lit(LEAST_WEIGHT)).alias("n")), "id").withColumn("query", F.col("label") != F.col("main"))
+    weight = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK)).cast("int")
+    blocks = rows.groupBy("main").agg(weight(F.when(F.col("query"), F.col("n")).otherwise(0)).alias("n_q"), weight("n").alias("n_t"))
+    rows = rows.join(blocks, "main")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    queries = rows.where("query").withColumn("i", block("n_q")).withColumn("j", every("n_t")).select("main", "i", "j", "id", "label", "query")
+    targets = rows.withColumn("j", block("n_t")).withColumn("i", every("n_q")).select("main", "i", "j", "id", "label", F.lit(False).alias("query"))
+    sets = texts.join(there.df.select("id").distinct(), "id", "left_semi").mapInArrow(_with_sets, "id long, shingles binary")
+    both = queries.unionByName(targets).join(sets, "id")
+    return both.groupBy("main", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

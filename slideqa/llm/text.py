@@ -98,8 +98,8 @@ def _section_end(data: np.ndarray, at: int, word: np.ndarray) -> int:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = True) -> Words:
-    """Every word: 64-bit hash, index of its text, first byte and end byte in ``data``."""
-    values = _BYTES[LOWER] if lower else _BYTES
+    """Every word (of the text in lower case, if wanted): 64-bit hash, index of its text, first byte and end byte in ``data``."""
+    values, word = (_BYTES[LOWER], word[LOWER]) if lower else (_BYTES, word)
     hashes, starts, ends = [], [], []
     at = 0
     cuts = np.unique(offsets)

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Answer fields in order of priority.
 INDEX_FIELDS = ("answer_index", "answer_indices", "answer_idx")
 ANSWER_FIELDS = ("answer_key", "answer_keys", "correct_answers", "correct_answer", "answer_choice", "answer_options", "answer")
-SHORTEST_OPTIONS = 10
+SHORTEST_OPTIONS = 10  # fixed value
 
 
 def shape(raw: Column) -> Column:

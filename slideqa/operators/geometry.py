@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: name, column half, row half, flipped vertically, flipped horizontally.
+#: Name, column half, row half, flipped vertically, flipped horizontally.
 VARIANTS = [
     ("original", None, None, False, False),
     ("tl", 0, 0, False, False), ("tr", 1, 0, False, False), ("bl", 0, 1, False, False), ("br", 1, 1, False, False),
     ("tl_flip", 0, 0, True, True), ("tr_flip", 1, 0, True, False), ("bl_flip", 0, 1, False, True), ("br_flip", 1, 1, True, True),
 ]
+#: Pixels of a region by magnification.
 REGION_PIXELS = {10: 2048, 20: 1024}
 
 

@@ -95,6 +95,11 @@ def leaderboard(values: DataFrame, top: int = 2) -> DataFrame:
     return values.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= top)
 
 
+def named_subcategories(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds the name of each subcategory code and its major category. names: subcategory, name; a code list."""
+    return rows.join(names, "subcategory", "left").withColumn("major", major_category(F.col("subcategory")))
+
+
 def category_shares(rows: DataFrame) -> DataFrame:
     """(category, subcategory) -> count, total of the category, share in percent."""
     w = Window.partitionBy("category")

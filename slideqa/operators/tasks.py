@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from slideqa.functions.llm_text import parsed_json, qa_items, stable_id
 
-#: Task codes by level, and prompts per code by format.
+#: Task codes by level, and prompts per code by format.
 LEVEL_CODES = {"WSI": ["1.1", "1.2", "2.1", "2.4"], "Cluster": ["1.2", "1.3", "2.1", "2.2"], "ROI": ["1.3", "1.4", "2.1", "2.2", "2.3"]}
 RATIO = {"single": 2, "multi": 1, "caption": 2}
 DIFFICULTIES, QUESTION_FORMATS = ["easy", "medium", "hard"], ["single", "multi"]
-#: Category and subcategory by focus.
+#: Category and subcategory by focus.
 FOCUS = {
     "architecture": ("Morphological Analysis", "Regional Structure Description"),
     "stroma": ("Morphological Analysis", "Regional Structure Description"),
@@ -23,6 +23,7 @@ FOCUS = {
     "global_context": ("Morphological Analysis", "Global Morphology Description"),
     "diagnosis": ("Diagnosis", "Histological Typing"),
 }
+#: Least sizes of a session's outputs, kinds of question blocks.
 LEAST_BYTES = {"inference_results.json": 100, "vqa.jsonl": 50}
 QA_KINDS = ["qa_single_choice", "qa_multiple_choice", "caption_qa"]
 

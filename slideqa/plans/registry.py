@@ -211,7 +211,7 @@ def caption_conversations(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'session_' || c_custkey AS session, 'feat/' || c_name AS thumbnail, CASE WHEN c_custkey % 3 = 0 THEN 'feat/r1' END AS roi FROM customer""")
 def session_paths(spark: SparkSession, d: str) -> DataFrame:
     names = spark.read.parquet(f"{d}/customer.parquet").selectExpr("'t/' || c_name as image_path", "'feat/' || c_name as feature_path")
-    paths = names.unionByName(names.limit(1).selectExpr("'r/1' as image_path", "'feat/r1' as feature_path"))
+    paths = names.unionByName(names.selectExpr("'r/1' as image_path", "'feat/r1' as feature_path").distinct())
     out = corpus.replace_in_session(_sessions(spark, d), paths)
     return out.select("session", F.col("fields")["wsi_thumbnail_path"].alias("thumbnail"), F.col("fields")["cluster_1_roi_10x_image_path"].alias("roi"))
 
@@ -527,18 +527,22 @@ def expanded_difficulties(spark: SparkSession, d: str) -> DataFrame:
     return tasks.expand_difficulties(_images(spark, d)).select("image", "difficulty", "format")
 
 
-@query("SELECT image, format, 'Ask ' || level || ' about ' || image AS prompt FROM " + _IMAGES + " i, (SELECT unnest(['single', 'multi']) AS format) f WHERE level = 'WSI'")
+_TASKS = "(SELECT image, level, unnest(CASE level WHEN 'WSI' THEN ['1.1', '1.2', '2.1', '2.4'] WHEN 'Cluster' THEN ['1.2', '1.3', '2.1', '2.2'] ELSE ['1.3', '1.4', '2.1', '2.2', '2.3'] END) AS code FROM " + _IMAGES + ") i, (VALUES ('single', 1), ('single', 2), ('multi', 1), ('caption', 1), ('caption', 2)) f(format, copy)"
+
+
+@query("SELECT image, code, format, copy, 'Ask ' || level || ' for ' || format || ' ' || code || ' about ' || image AS prompt FROM " + _TASKS)
 def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
-    rows = tasks.expand_tasks(_images(spark, d).where("level = 'WSI'")).where("copy = 1 and format <> 'caption' and code = '1.1'")
-    templates = rows.select("code", "format").distinct().withColumn("template", F.lit("Ask {level} about {image}"))
-    return tasks.render_prompts(rows, templates, ["level", "image"]).select("image", "format", "prompt")
+    rows = tasks.expand_tasks(_images(spark, d))
+    templates = rows.select("code", "format").distinct().withColumn("template", F.concat(F.lit("Ask {level} for "), "format", F.lit(" "), "code", F.lit(" about {image}")))
+    return tasks.render_prompts(rows, templates, ["level", "image"]).select("image", "code", "format", "copy", "prompt")
 
 
-@query("SELECT image, code, 'q of ' || image AS question FROM " + _IMAGES + " i, (SELECT unnest(['1.1', '1.2', '2.1', '2.4']) AS code) c WHERE level = 'WSI' AND length(image) % 2 = 0")
+@query("SELECT image, code, format, copy, 'q of ' || image AS question FROM " + _TASKS + " WHERE length(image) % 2 = 0 UNION ALL SELECT image, code, format, copy, 'second' FROM " + _TASKS + " WHERE length(image) % 3 = 0 AND length(image) % 2 = 0")
 def attached_outputs(spark: SparkSession, d: str) -> DataFrame:
-    rows = tasks.expand_tasks(_images(spark, d).where("level = 'WSI'")).where("copy = 1 and format = 'multi'")
-    outputs = rows.selectExpr("task_id", "CASE WHEN length(image) % 2 = 0 THEN 'Here: {\"question\":\"q of ' || image || '\"}' ELSE 'failed' END as text")
-    return tasks.attach_outputs(rows, outputs).select("image", "code", F.get_json_object("item", "$.question").alias("question"))
+    rows = tasks.expand_tasks(_images(spark, d))
+    one = "'{\"question\":\"q of ' || image || '\"}'"
+    outputs = rows.selectExpr("task_id", f"CASE WHEN length(image) % 6 = 0 THEN 'Here: [' || {one} || ',{{\"question\":\"second\"}}]' WHEN length(image) % 2 = 0 THEN 'Here: ' || {one} ELSE 'failed' END as text")
+    return tasks.attach_outputs(rows, outputs).select("image", "code", "format", "copy", F.get_json_object("item", "$.question").alias("question"))
 
 
 def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -644,3 +648,60 @@ def assembled_sequences(spark: SparkSession, d: str) -> DataFrame:
     part = lambda kind, *c: roles.where(F.col("token_type") == kind).select("slide_id", *c, "embedding")
     out = tokens.assembled(part("global"), part("patch", "pack_idx", "position"), part("summary", "pack_idx"))
     return out.select("slide_id", F.col("token_idx").cast("int").alias("token_idx"), F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x * 100).cast("int").cast("string")), ",").cast("binary")).alias("digest"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 3 THEN NULL WHEN 5 THEN NULL WHEN 4 THEN '[' || props || ',' || props || ']' ELSE props END AS json FROM events""")
+def json_from_text_simple(spark: SparkSession, d: str) -> DataFrame:
+    return v.view(spark, d, v.LLM_TEXT).select("event_id", llm_text.parsed_json_simple(F.col("text"))["json"].alias("json"))
+
+
+@query("WITH " + _ROLES + "SELECT slide_id, token_idx, CASE WHEN token_idx = 0 THEN 0.0 ELSE round(cos(CASE WHEN top > 0 THEN x / top * 2 * pi() ELSE x END), 5) END AS c FROM (SELECT r.slide_id, r.token_idx, 100.0::double * pack_idx AS x, max(100.0::double * pack_idx) OVER (PARTITION BY r.slide_id) AS top FROM r) t")
+def token_positions(spark: SparkSession, d: str) -> DataFrame:
+    roles = tokens.with_roles(v.view(spark, d, v.TOKENS))
+    packs = roles.where("pack_idx >= 0").select("slide_id", "pack_idx").distinct().selectExpr("slide_id", "pack_idx", "100D * pack_idx as x", "0D as y")
+    return tokens.token_positions(roles, tokens.position_vectors(packs, 4), 4).select("slide_id", "token_idx", F.round(F.get("vector", 1), 5).alias("c"))
+
+
+@query("WITH " + _ROLES + "SELECT r.slide_id, r.slide_id || '_' || k AS region_id, pack_idx, len(embedding) AS dim FROM r, (VALUES (0), (1)) t(k) WHERE token_type = 'summary' AND pack_idx % 2 = k")
+def region_tokens(spark: SparkSession, d: str) -> DataFrame:
+    roles = tokens.with_roles(v.view(spark, d, v.TOKENS))
+    summaries = roles.where("token_type = 'summary'").select("slide_id", "pack_idx", "embedding")
+    covered = roles.where("pack_idx >= 0").select("slide_id", F.expr("slide_id || '_' || cast(pack_idx % 2 as string)").alias("region_id"), "pack_idx").distinct()
+    return tokens.region_tokens(covered, summaries).select("slide_id", "region_id", "pack_idx", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("SELECT slide_id, cluster_id, greatest(0, cx - q) AS x0, least(width, cx + q) AS x1 FROM (SELECT s.slide_id, s.width, s.height, g.cluster_id, trunc(g.center_x)::bigint AS cx, trunc(g.center_y)::bigint AS cy, trunc(coalesce(nullif(g.radius, 0), 256) * 1.5)::bigint AS q FROM {GEOMETRY} g JOIN {SLIDES} s ON s.slide_id = g.slide_id WHERE g.count >= 100) WHERE least(width, cx + q) > greatest(0, cx - q) AND least(height, cy + q) > greatest(0, cy - q)")
+def observation_windows(spark: SparkSession, d: str) -> DataFrame:
+    chosen = geometry.selected_clusters(v.view(spark, d, v.GEOMETRY), inclusive=True, radius=256.0)
+    return geometry.cluster_windows(v.view(spark, d, v.SLIDES), chosen, 1.5).select("slide_id", "cluster_id", "x0", "x1")
+
+
+@query("SELECT slide_id, variant, CASE WHEN variant IN ('tl_flip', 'bl_flip', 'br_flip') THEN w - 100 - 64 ELSE 100 END + cx AS source_x FROM (SELECT slide_id, variant, CASE WHEN variant = 'original' THEN width ELSE width // 2 END AS w, CASE WHEN variant = 'original' OR variant[2] = 'l' THEN 0 ELSE width // 2 END AS cx FROM {SLIDES} s, (SELECT unnest(['original', 'tl', 'tr', 'bl', 'br', 'tl_flip', 'tr_flip', 'bl_flip', 'br_flip']) AS variant) x)")
+def variant_points(spark: SparkSession, d: str) -> DataFrame:
+    points = geometry.virtual_variants(v.view(spark, d, v.SLIDES)).withColumns({"x": F.lit(100), "y": F.lit(50), "w": F.lit(64), "h": F.lit(64)})
+    return geometry.source_point(points).select("slide_id", "variant", "source_x")
+
+
+@query("SELECT slide_id, min(distance) AS patch_size FROM (SELECT a.slide_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM {PATCHES} a JOIN {PATCHES} b ON a.slide_id = b.slide_id AND a.patch_idx <> b.patch_idx) GROUP BY 1")
+def patch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.near_pairs(v.view(spark, d, v.PATCHES), 1024.0).groupBy("slide_id").agg(F.min("distance").alias("patch_size"))
+
+
+@query("SELECT question_id, CASE subcategory WHEN '1.1' THEN 'first' WHEN '2.2' THEN 'second' END AS name, split_part(subcategory, '.', 1) AS major FROM {CHOICE} c")
+def named_subcategories(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.createDataFrame([("1.1", "first"), ("2.2", "second")], "subcategory string, name string")
+    return scoring.named_subcategories(v.view(spark, d, v.CHOICE), names).select("question_id", "name", "major")
+
+
+@query("WITH " + _SCORED + "SELECT count(*) AS rows, count(DISTINCT question_id) AS questions, count(*) FILTER (exact) AS correct FROM scored")
+def resumed_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.view(spark, d, v.CHOICE)
+    out = scoring.resumed(rows, scoring.score_choices(rows.where("belong_level = 'WSI'")), scoring.score_choices)
+    return out.agg(F.count("*").alias("rows"), F.count_distinct("question_id").alias("questions"), F.count_if("exact_match").alias("correct"))
+
+
+@query("SELECT kind, count(*) AS rows FROM (SELECT CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS kind FROM events UNION ALL SELECT 'b' FROM events WHERE event_id % 2 = 1) GROUP BY 1")
+def session_items(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/events.parquet").selectExpr("CASE event_id % 2 WHEN 0 THEN '{\"wsi_id\": \"a\"}' ELSE '[{\"wsi_id\": \"b\"}, 3, {\"wsi_id\": \"b\"}]' END as value")
+    items = readers.document_items(docs)
+    return items.groupBy(F.get_json_object("item", "$.wsi_id").alias("kind")).agg(F.count("*").alias("rows"))

@@ -190,3 +190,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_labels(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumns(joined)
+
+
+def _values(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in pairs)
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+p(q, label) AS (VALUES {_values(PHRASES)}), tpl(q, label) AS (VALUES {_values(TEMPLATES)}),
+x AS (SELECT list_distinct(q) AS q, label FROM tpl),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+hits AS (SELECT doc_id, i - 1 AS place, label FROM i, p WHERE w[i] = q[1] AND w[i:i + len(q) - 1] = q),
+h AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high FROM hits GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+own AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS own FROM lines),
+m AS (SELECT doc_id, label, len(list_intersect(own, q)) / len(q) AS s FROM own, x WHERE len(list_intersect(own, q)) >= ceil({THRESHOLD} * len(q) - 1e-9)),
+b AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base FROM hits GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS every FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+s AS (SELECT doc_id, max(s) AS s FROM m GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(base, '') AS base_labels, coalesce(every, '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(s, 0) END::double AS score
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""

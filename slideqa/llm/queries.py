@@ -5,7 +5,7 @@ from __future__ import annotations
 from slideqa.llm.bpe import op6_bpe
 from slideqa.llm.class_lm import op8_class_lm
 from slideqa.llm.decontaminate import OP1_SQL, op1_decontaminate
-from slideqa.llm.licenses import op10_licenses
+from slideqa.llm.licenses import OP10_SQL, op10_licenses
 from slideqa.llm.near_dup import OP2_SQL, op2_near_dup
 from slideqa.llm.quality import op4_quality
 from slideqa.llm.secrets import op5_secrets
@@ -31,4 +31,5 @@ ORACLE_SQL = {
     "op2_near_dup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op7_warc": OP7_SQL,
+    "op10_licenses": OP10_SQL,
 }

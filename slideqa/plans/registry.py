@@ -106,9 +106,6 @@ def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     return scoring.evaluate(both)[2]
 
 
-_JUDGED = "(SELECT question_id, focus, subcategory, prediction, ground_truth, (question_id % 97) / 96.0 AS precision, (question_id % 53) / 52.0 AS relevance FROM {CHOICE} c)"
-
-
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     rows = v.view(spark, d, v.CHOICE).selectExpr("question_id", "focus", "subcategory", "CASE WHEN question_id % 10 = 0 THEN '' ELSE prediction END AS prediction", "ground_truth", "cast(question_id % 97 as double) / 96 AS precision", "cast(question_id % 53 as double) / 52 AS relevance")
     return scoring.judge_rows(rows)

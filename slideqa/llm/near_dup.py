@@ -48,6 +48,8 @@ SLACK = 4.5
 BLOCK = 100_000
 #: What a small set counts at least, so a block has at most BLOCK / LEAST_WEIGHT of them.
 LEAST_WEIGHT = 100
+#: Ids up to which a list of them is broadcast: about 30 MB.
+BROADCAST_IDS = 1_000_000
 #: Columns of the incidence matrices that are multiplied at a time.
 CHUNK = 4096
 
@@ -196,6 +198,11 @@ def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], ["h", "id"])
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Ids for a semi-join: broadcast only if counted to be few, so that texts needn't move."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _possible(percent: int) -> str:
     """Whether nodes (n_a, u_a) and (n_b, u_b) can be similar enough, by sizes and own shingles."""
     both = "least(n_a - u_a, n_b - u_b)"
@@ -206,23 +213,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is it): a row
     per row of docs. Links: 100 * intersection >= percent * union of the shingle sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = Saved(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"), "rows")
-    named = rows.df.where("doc_id is not null and n_shingles > 0")
+    sketched = Saved(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"), "sketched")
+    rows = Saved(sketched.df.drop("sketch"), "rows")
+    named = sketched.df.where("doc_id is not null and n_shingles > 0")
     sets = Saved(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "sets")
     # rows that share a set, and rows that share a doc_id, are linked by what they share
     nodes = Saved(named.where("sketch is not null").join(sets.df, ["set_a", "set_b"]).where("doc_id = id").dropDuplicates(["set_a", "set_b"]).select("id", F.col("n_shingles").alias("n"), "sketch"), "nodes")
+    sketched.drop()
     every = Saved(nodes.df.select("id", "sketch").mapInArrow(_banded, "key long, id long"), "bands")
     shared = every.df.groupBy("key").count().where("count > 1").select("key")
     bands = Saved(every.df.join(shared, "key"), "shared")
     every.drop()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    met = texts.join(bands.df.select("id").distinct(), "id", "left_semi").mapInArrow(_own_rows, "h long, id long")
+    ids = Saved(bands.df.select("id").distinct(), "ids")
+    met = texts.join(_small(ids.df), "id", "left_semi").mapInArrow(_own_rows, "h long, id long")
     own = met.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    active = nodes.df.join(bands.df.select("id").distinct(), "id", "left_semi").join(own, "id", "left")
+    active = nodes.df.join(_small(ids.df), "id", "left_semi").join(own, "id", "left")
     active = Saved(active.select("id", "n", F.coalesce("u", F.lit(0)).alias("u"), "sketch").where(f"100 * (n - u) >= {percent} * n"), "active")
-    texts = Saved(texts.join(active.df.select("id"), "id", "left_semi"), "texts")
+    texts = Saved(texts.join(_small(active.df.select("id").distinct()), "id", "left_semi"), "texts")
     members = Saved(bands.df.join(active.df.select("id", "n", "u"), "id"), "members")
     bands.drop()
+    ids.drop()
+    nodes.drop()
 
     share = F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u")
     pivots = members.df.groupBy("key").agg(F.min(share).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.u").alias("u_a"))
@@ -232,11 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(pairs, active.df, texts.df, percent)
     more = Saved(_open_links(members.df, components(links.df), active.df, texts.df, percent), "more")
     labels = components(links.df.unionByName(more.df))
-    for x in (members, texts, active, nodes):
+    for x in (members, texts, active):
         x.drop()
     # a component's smallest doc_id is that of a node, as each node is named by the smallest of its set
     of_set = sets.df.join(labels, F.col("id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component"))
-    out = rows.df.drop("sketch").join(of_set, ["set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id")))
+    out = rows.df.join(of_set, ["set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

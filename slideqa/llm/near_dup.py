@@ -217,7 +217,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = Saved(sketched.df.drop("sketch"), "rows")
     named = sketched.df.where("doc_id is not null and n_shingles > 0")
     sets = Saved(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "sets")
-    # rows that share a set, and rows that share a doc_id, are linked by what they share
     nodes = Saved(named.where("sketch is not null").join(sets.df, ["set_a", "set_b"]).where("doc_id = id").dropDuplicates(["set_a", "set_b"]).select("id", F.col("n_shingles").alias("n"), "sketch"), "nodes")
     sketched.drop()
     every = Saved(nodes.df.select("id", "sketch").mapInArrow(_banded, "key long, id long"), "bands")
@@ -242,8 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = met.groupBy("id").agg(F.max(F.struct("count", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("x"), F.col("id").alias("y"))
     pairs = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = _links(pairs, active.df, texts.df, percent)
-    more = Saved(_open_links(members.df, components(links.df), active.df, texts.df, percent), "more")
-    labels = components(links.df.unionByName(more.df))
+    links = links.df.unionByName(_same_documents(rows.df, sets.df))
+    more = Saved(_open_links(members.df, components(links), active.df, texts.df, percent), "more")
+    labels = components(links.unionByName(more.df))
     for x in (members, texts, active):
         x.drop()
     # a component's smallest doc_id is that of a node, as each node is named by the smallest of its set
@@ -252,6 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _same_documents(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between a doc_id that has several texts and the nodes of their sets."""
+    held = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_a", "set_b").distinct()
+    several = held.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return held.join(several, "doc_id").join(sets, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):

@@ -64,6 +64,14 @@ def test_hot_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_document_with_several_texts(spark, edge_rows):
+    """A doc_id with two texts links what either is like."""
+    texts = {d: t for d, t, *_ in edge_rows if d is not None}
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (2, texts[1]), (9, texts[2]), (7, texts[2]), (7, texts[8]), (8, texts[9])]
+    got = {r.doc_id: r.component_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 2, 5: 2, 2: 2, 9: 7, 7: 7, 8: 8}
+
+
 def test_empty(no_docs):
     assert n.near_duplicates(no_docs).count() == 0
 

@@ -14,13 +14,23 @@ from slideqa.llm import bpe, decontaminate, near_dup, quality, secrets
 from slideqa.llm.tables import Saved, table
 
 
+#: Bytes of text that go to a Python worker at a time: executors run several workers beside a full heap.
+BATCH = 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    _small_batches(spark)
     return quality.good_documents(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies, one row of it. Rows without doc_id stay."""
+    _small_batches(spark)
     ids = near_dup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*docs.columns)
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -35,12 +45,14 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a placeholder; n_chars follows the text."""
+    _small_batches(spark)
     out = secrets.redacted_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the text they decode to, and the ids."""
+    _small_batches(spark)
     both = bpe.decoded(bpe.encoded(docs))
     return both.select("doc_id", *bpe.digests(F.col("ids"), F.col("text")), "ids")
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +53,25 @@ class Coder:
     def __init__(self, vocabulary: str, ranks: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.vocabulary = vocabulary
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}  # noqa: SIM115
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={END: END_ID})
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.no_truncation()
-        self.slow.no_padding()
         self.lengths = np.zeros(END_ID + 1, np.int64)
         for token, rank in table.items():
             self.lengths[rank] = len(token)
         self.lengths[END_ID] = len(END)
 
+    @cached_property
+    def slow(self):
+        """The library's own encoder; loaded where a text needs it, as it is large."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.vocabulary)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def leaf(self, text: str) -> np.ndarray:
         if _UNUSUAL.search(text):
             ids = self.slow.encode(text, add_special_tokens=False).ids

@@ -51,6 +51,8 @@ MIN_TOKENS = 60
 MARGIN, SPREAD = 0.28, 3.2
 MIN_WORDS, MAX_REPEAT = 10, 20
 WINDOW = 5
+#: Words that a worker remembers: later stages share its memory.
+REMEMBERED = 400_000
 #: Ids of the byte-fallback tokens of the vocabulary.
 BYTE_IDS = (3, 258)
 VOCABULARY = "piece_bpe_32k.model"
@@ -70,7 +72,7 @@ def _encoder(path: str):
 
 @cache
 def _remembered(path: str) -> WordCache:
-    return WordCache(lambda found: _encoder(path).encode([w.decode() for w in found], num_threads=1), np.uint16)
+    return WordCache(lambda found: _encoder(path).encode([w.decode() for w in found], num_threads=1), np.uint16, REMEMBERED)
 
 
 def text_tokens(raw: bytes, w: Words, path: str) -> tuple[np.ndarray, np.ndarray]:

@@ -1,13 +1,16 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines. A template matches a block that contains at least ``THRESHOLD`` of the template's distinct
-words. Words are ordered globally, rarest first, by how many blocks of the whole corpus hold them (counted over
+Blocks are lines and, if wanted, also all runs of as many words of a text as a template has, divided by the
+threshold, wherever lines end: so notices that are wrapped are found. A template matches a block that contains
+at least ``THRESHOLD`` of the template's distinct words. Words are ordered globally, rarest first, by how many blocks of the whole corpus hold them (counted over
 all documents in a first pass; only template words matter). Then
 - prefix: a match must hold one of a template's |T| - need + 1 first words in that order,
 - length: a block of fewer than ``need`` distinct words can't match,
 - position: after the first common word at place i of the template and j of the block's ordered words, at most
   1 + min(|T| - i - 1, |B| - j - 1) words can be common,
-and what passes all three is verified by intersection. No match is lost. Fixed phrases are found by their
+and what passes all three is verified by intersection. Runs of words are counted at once: only template words
+near a prefix word matter, and each counts for the runs that end from its place on until the same word comes
+again or it is left behind. No match is lost. Fixed phrases are found by their
 words' places. Both passes need no shuffle beyond a few counts.
 
 Defined results: null counts as empty; a template in several blocks counts once; repeated rows give repeated
@@ -53,6 +56,7 @@ class Template(NamedTuple):
     words: np.ndarray  # places in the global order, ascending
     need: int
     label: str
+    run: int  # words of a run that is a block of its own
 
 
 def hashes(text: str) -> np.ndarray:
@@ -99,7 +103,7 @@ def prepared(templates: list[tuple[str, str]], order: np.ndarray, threshold: flo
     out = []
     for text, label in templates:
         own = np.array(sorted({place[h] for h in hashes(text).tolist()}), np.int64)
-        out.append(Template(own, ceil(threshold * len(own) - 1e-9), label))
+        out.append(Template(own, ceil(threshold * len(own) - 1e-9), label, ceil(len(hashes(text)) / threshold - 1e-9)))
     return out
 
 
@@ -120,6 +124,29 @@ def matches(block: np.ndarray, size: int, templates: list[Template], by_prefix:
     return found
 
 
+def run_matches(at: np.ndarray, place: np.ndarray, bounds: np.ndarray, own: Template) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of runs of ``own.run`` words of a text that match, and their numbers of common words. at: ascending
+    places of the template words in all texts; place: their places in the global order; bounds: first words of texts."""
+    first = np.isin(place, own.words[: len(own.words) - own.need + 1])
+    near = np.zeros(bounds[-1] + 1, np.int64)
+    near[at[first] + 1] = 1
+    near = np.cumsum(near)
+    mine = np.isin(place, own.words)
+    at, place = at[mine], place[mine]
+    mine = near[np.minimum(at + own.run, bounds[-1])] > near[np.maximum(at - own.run + 1, 0)]
+    at, place = at[mine], place[mine]
+    if not len(at):
+        return at, at
+    until = np.minimum(at + own.run, bounds[np.searchsorted(bounds, at, "right")])
+    order = np.lexsort((at, place))
+    again = np.flatnonzero(place[order[1:]] == place[order[:-1]])
+    until[order[again]] = np.minimum(until[order[again]], at[order[again + 1]])
+    # runs that end at a template word: those between them hold no more
+    common = np.arange(1, len(at) + 1) - np.searchsorted(np.sort(until), at, "right")
+    good = common >= own.need
+    return at[good], common[good]
+
+
 def phrase_places(w: Words, phrase: np.ndarray) -> np.ndarray:
     """Places of words where the phrase begins, inside one text."""
     n = len(w.hash) - len(phrase) + 1
@@ -131,7 +158,7 @@ def phrase_places(w: Words, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def _scanned(order: np.ndarray, templates: list[tuple[str, str]], phrases: list[tuple[str, str]], threshold: float):
+def _scanned(order: np.ndarray, templates: list[tuple[str, str]], phrases: list[tuple[str, str]], threshold: float, wrapped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = prepared(templates, order, threshold)
         by_prefix: dict[int, list[tuple[int, int]]] = {}
@@ -166,6 +193,13 @@ def _scanned(order: np.ndarray, templates: list[tuple[str, str]], phrases: list[
                         for label, score in found.items():
                             at = labels[int(w.doc[first])]
                             at[label] = max(at.get(label, 0.0), score)
+                if wrapped and len(hits):
+                    at = np.flatnonzero(np.isin(w.hash, known))
+                    place = place_of[np.searchsorted(known, w.hash[at])]
+                    for own in ready:
+                        ends, common = run_matches(at, place, bounds, own)
+                        for d, n in zip(w.doc[ends].tolist(), common.tolist(), strict=True):
+                            labels[d][own.label] = max(labels[d].get(own.label, 0.0), n / len(own.words))
                 out = []
                 for d in range(n_docs):
                     p = places[d]
@@ -177,17 +211,17 @@ def _scanned(order: np.ndarray, templates: list[tuple[str, str]], phrases: list[
     return run
 
 
-def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """doc_id, n_words, n_base (places of phrases), first_word, last_word, base_labels, labels, score: a row per
-    row of docs. The templates are a parameter and travel with the tasks."""
+    row of docs. The templates are a parameter and travel with the tasks. wrapped: blocks are not only lines."""
     templates = TEMPLATES if templates is None else templates
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = word_order(rows, "text", templates)
-    return rows.mapInArrow(_scanned(order, templates, PHRASES if phrases is None else phrases, threshold), _FIELDS)
+    return rows.mapInArrow(_scanned(order, templates, PHRASES if phrases is None else phrases, threshold, wrapped), _FIELDS)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_labels(table(spark, sf_dir, "documents"))
+    found = license_labels(table(spark, sf_dir, "documents"), wrapped=True)
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumns(joined)
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -319,6 +320,33 @@ def test_licenses(spark, edge_docs, edge_rows, no_docs):
     assert licenses.license_labels(no_docs).count() == 0
 
 
+def test_wrapped_licenses(spark, tmp_path):
+    """Notices that lines are wrapped in: every run of words is a block, wherever lines end."""
+    r = random.Random(9)
+    vocabulary = sorted({w for t, _ in licenses.TEMPLATES for w in t.split(" ")})
+    rows = [(i, "x " * i + "\n# ".join(textwrap.wrap(t, 30)) + " y" * i) for i, (t, _) in enumerate(licenses.TEMPLATES)]
+    for i in range(300):
+        t = [w for _ in range(2) for w in r.choice(licenses.TEMPLATES)[0].split(" ")]
+        for _ in range(r.randint(0, 8)):
+            t[r.randrange(len(t))] = r.choice([*vocabulary, "other"])
+            t.insert(r.randrange(len(t)), r.choice(["other", "the", "of"]))
+        rows.append((100 + i, "".join(w + r.choice(" \n") for w in t)))
+    rows += [(500, "released under the"), (501, "mit license"), (502, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(licenses.op10_licenses(spark, str(tmp_path)).collect())
+    for d, text in rows:
+        *plain, labels, score = brute_licenses(text)
+        w, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)), set(labels)
+        for t, label in licenses.TEMPLATES:
+            words, size = set(t.split(" ")), math.ceil(len(t.split(" ")) / licenses.THRESHOLD - 1e-9)
+            best = max((len(words & set(w[i : i + size])) for i in range(len(w))), default=0)
+            if best >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
+                labels.add(label)
+                score = max(score, best / len(words))
+        assert tuple(got[d][0])[1:] == (*plain[:-1], ",".join(plain[-1]), ",".join(sorted(labels)), score)
+        assert d >= 100 or licenses.TEMPLATES[d][1] in labels
+
+
 def test_pipeline_stages(spark, edge_docs, edge_rows, tmp_path):
     """Each stage against its plain version on its own input, and the whole."""
     import corpus_pipeline as p

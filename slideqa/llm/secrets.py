@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of 12 or more characters of `[A-Za-z0-9+/_=-]` with two digits or more. The network sees
+A candidate is a run of 12 or more characters of `[A-Za-z0-9+/_=-]`. The network sees
 the candidate and its surroundings as bytes (an embedding, a convolution, rectified, pooled by maximum and
 mean, one logistic output). It is trained in numpy on labelled findings: made ones of common shapes, and a
-bounded sample of the corpus' candidates, labelled by whether a pattern found them. A held-out part
-calibrates the output (Platt) and sets the highest threshold that keeps the wanted recall. The text is read
-once; candidates and pattern spans are kept in a table, and the trained network judges those.
+bounded sample of the corpus' candidates that a pattern found. What no pattern found has no label and isn't
+learned from. A held-out part calibrates the output (Platt) and sets the highest threshold that keeps the
+wanted recall; made secrets without a candidate count as missed. The text is read once; candidates and pattern spans are kept in a table, and the trained network judges those.
 
 Defined results: null counts as empty; spans are code points, end exclusive; rows are scanned one by one, so
 repeated rows give repeated results. Other columns are not read.
@@ -30,11 +30,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = ("passw", "secret", "token", "api")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-LEAST_RUN, LEAST_DIGITS = 12, 2
+LEAST_RUN = 12
 #: Bytes before a candidate, of it (its first ones) and after it that the network sees.
 BEFORE, INSIDE, AFTER = 28, 36, 16
 WIDTH = BEFORE + INSIDE + AFTER
-#: Most corpus candidates of each label, and made findings of each label, that the network is fitted on.
+#: Most corpus candidates that a pattern found, and made findings of each label, that the network is fitted on.
 SAMPLE, MADE = 1500, 1500
 RECALL = 0.98
 SEED = 5
@@ -43,8 +43,6 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 PLACEHOLDER = "[secret]"
 _FOUND = "doc_id long, base array<struct<start:int,end:int,kind:int>>, candidates array<struct<start:int,end:int,window:binary,known:boolean>>"
 
@@ -97,10 +95,6 @@ def scanned(texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], list[
         return
     hex_s, hex_e = _runs(_HEX[data], offsets, LEAST["hex"])
     run_s, run_e = _runs(_RUN[data], offsets, LEAST_RUN)
-    digits = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_DIGIT[data], out=digits[1:])
-    keep = digits[run_e] - digits[run_s] >= LEAST_DIGITS
-    run_s, run_e = run_s[keep], run_e[keep]
     hex_of, run_of = np.searchsorted(hex_s, offsets), np.searchsorted(run_s, offsets)
     for i in range(n):
         a, b = int(offsets[i]), int(offsets[i + 1])
@@ -145,11 +139,23 @@ def _forward(net: Network, x: np.ndarray):
     return cols, z, top, pooled, pooled @ net.weights + net.offset
 
 
+def _logits(net: Network, x: np.ndarray) -> np.ndarray:
+    """Outputs alone: what a byte adds at each place of a filter is looked up."""
+    filters = net.filters.reshape(CHANNELS + 1, SPAN, FILTERS)
+    size = WIDTH - SPAN + 1
+    z = np.einsum("pj,jf->pf", np.lib.stride_tricks.sliding_window_view(_FLAG[:, 0], SPAN), filters[CHANNELS]) + net.bias
+    z = np.repeat(z[None], len(x), axis=0)
+    for j in range(SPAN):
+        z += (net.embedding @ filters[:CHANNELS, j])[x[:, j : j + size]]
+    np.maximum(0, z, out=z)
+    return np.concatenate([z.max(axis=1), z.mean(axis=1)], axis=1) @ net.weights + net.offset
+
+
 def probabilities(net: Network, windows: list[bytes]) -> np.ndarray:
     """Calibrated probabilities, in blocks of bounded size."""
     out = [np.zeros(0)]
     for i in range(0, len(windows), 512):
-        logit = _forward(net, _inputs(windows[i : i + 512]))[-1]
+        logit = _logits(net, _inputs(windows[i : i + 512]))
         out.append(1 / (1 + np.exp(-np.clip(net.slope * logit + net.shift, -30, 30))))
     return np.concatenate(out)
 
@@ -170,8 +176,9 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [d_embedding, np.einsum("npc,npf->cf", cols, d_z), d_z.sum((0, 1)), pooled.T @ d, d.sum(keepdims=True)[0:1]]
 
 
-def trained(windows: list[bytes], labels: list[bool], recall: float = RECALL, epochs: int = 12) -> Network:
-    """Fits the network on four fifths and calibrates it and its threshold on the last."""
+def trained(windows: list[bytes], labels: list[bool], recall: float = RECALL, epochs: int = 12, missed: int = 0) -> Network:
+    """Fits the network on four fifths and calibrates it and its threshold on the last. missed: secrets without
+    a window, of which as large a part counts for the threshold."""
     r = np.random.Generator(np.random.PCG64(SEED))
     x, y = _inputs(windows), np.array(labels, float)
     order = r.permutation(len(y))
@@ -194,12 +201,28 @@ def trained(windows: list[bytes], labels: list[bool], recall: float = RECALL, ep
         a, b = a - 0.1 * float((e * logit).mean() if len(e) else 0), b - 0.1 * float(e.mean() if len(e) else 0)
     fitted = Network(*net, slope=a, shift=b)
     good = np.sort(1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))[held == 1])
+    good = np.concatenate([np.zeros(round(missed * len(good) / max(1, int(y.sum())))), good])
     return fitted._replace(threshold=float(good[int((1 - recall) * len(good))]) if len(good) else 1.1)
 
 
-def made_findings(n: int = MADE, seed: int = SEED) -> tuple[list[bytes], list[bool]]:
-    """Findings of common shapes: n secrets (keys, tokens, passwords) and n harmless runs (dates, versions,
-    numbers, names with digits)."""
+STEMS = "inter trans over under contra multi auto electro photo micro hydro geo psycho respons possib character commun govern environ develop present represent organ admin temper constitu instru inform circum philo techno verant gesell wissen schaft bundes haupt arbeit geschwind versicher unter zusammen recht staat verwalt entwick gouverne etabl develop conse particul carac recono respons desarr conoc estable".split()
+ENDS = "ation ations ing ings ly ability ibility ment ments ness ically ional ionally ization isch ische lich lichkeit keit ung ungen schaft schaften heit iert ement ements iques ique euse amiento amente aciones idad idades ando iendo ography ological istically".split()
+
+
+def _word(r: np.random.Generator) -> str:
+    """A made long word of letters, as languages build them, in one of three cases."""
+    any_of = lambda xs: xs[r.integers(len(xs))]
+    starts, middles, closes = "b c d f g h l m n p r s t v w st th sch ch tr pr br gr bl fl sp".split() + [""] * 3, "a e i o u a e i o ou ea au ei ie io".split(), [""] * 6 + "n r s t l nd ng st th ch rs ns tion".split()
+    out = any_of(STEMS) + any_of(STEMS) * int(r.integers(2)) if r.integers(2) else ""
+    while len(out) < LEAST_RUN - 2 or (len(out) < 22 and r.integers(3) == 0):
+        out += any_of(starts) + any_of(middles) + any_of(closes)
+    if r.integers(2) or len(out) < LEAST_RUN:
+        out += any_of(ENDS)
+    return any_of([str, str, str, str.capitalize, str.upper])(out)
+
+
+def _made(n: int, seed: int) -> tuple[list[bytes], list[bool], int]:
+    """Windows of n made secrets and n harmless runs, their labels, and how many secrets have no candidate."""
     r = np.random.Generator(np.random.PCG64(seed))
     pick = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), k))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -211,30 +234,34 @@ def made_findings(n: int = MADE, seed: int = SEED) -> tuple[list[bytes], list[bo
         if secret:
             name = ("password", "secret", "api_key", "token", "auth", "key", "pwd", "credential")[r.integers(8)]
             front = ("", "", pick(lower, 3) + "_", pick(lower, 2) + "_" + pick(lower, 4) + "_", pick(lower, 4) + "-")[r.integers(5)]
-            value = (pick("0123456789abcdef", 32), front + pick(lower + upper + digits, int(r.integers(20, 41))), "AKIA" + pick(upper + digits, 16), pick(lower + upper + digits + "+/", 40))[r.integers(4)]
+            value = (pick("0123456789abcdef", 32), front + pick(lower + upper + digits, int(r.integers(20, 41))), "AKIA" + pick(upper + digits, 16), pick(lower + upper + digits + "+/", 40), front + pick(lower + upper, int(r.integers(16, 41))), pick(lower + upper + digits, int(r.integers(12, 21))))[r.integers(6)]
             body = (f"{name}={value}", f'{name} = "{value}"', f"{name}: {value}", value, value)[r.integers(5)]
         else:
-            body = (f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{pick(digits, 2)}", pick(lower, 9) + "-" + pick(digits, 4), pick(lower, 6) + "/" + pick(lower, 7) + pick(digits, 2), "x" * 11 + pick(digits, 2), pick(upper, 6) + "-" + pick(digits, 6), "-".join(pick(lower, int(r.integers(3, 8))) for _ in range(3)) + f"-v{r.integers(10)}.{r.integers(10)}-" + pick(digits, 2), pick(lower, 8) + "_" + pick(lower, 7) + "_" + pick(digits, 3))[r.integers(7)]
+            body = (f"{r.integers(1990, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{pick(digits, 2)}", pick(lower, 9) + "-" + pick(digits, 4), pick(lower, 6) + "/" + pick(lower, 7) + pick(digits, 2), "x" * 11 + pick(digits, 2), pick(upper, 6) + "-" + pick(digits, 6), "-".join(pick(lower, int(r.integers(3, 8))) for _ in range(3)) + f"-v{r.integers(10)}.{r.integers(10)}-" + pick(digits, 2), pick(lower, 8) + "_" + pick(lower, 7) + "_" + pick(digits, 3), "/".join(_word(r)[: int(r.integers(3, 12))] for _ in range(4)), "_".join(_word(r)[: int(r.integers(3, 12))] for _ in range(3)), "-=_"[r.integers(3)] * int(r.integers(12, 40)), *(_word(r) for _ in range(7)))[r.integers(17)]
         texts.append(around() + body + " " + around())
         labels.append(secret)
-    windows, known = [], []
+    windows, known, missed = [], [], 0
     for (_, candidates), label in zip(scanned(pa.array(texts)), labels, strict=True):
         for c in candidates[:1]:
             windows.append(c[2])
             known.append(label)
-    return windows, known
+        missed += label and not candidates
+    return windows, known, missed
+
+
+def made_findings(n: int = MADE, seed: int = SEED) -> tuple[list[bytes], list[bool]]:
+    """Findings of common shapes: n secrets (keys, tokens, passwords, with digits or without) and n harmless runs
+    (dates, versions, numbers, names, paths, rulers, long words)."""
+    return _made(n, seed)[:2]
 
 
 def fitted_network(candidates: DataFrame, sample: int = SAMPLE) -> Network:
-    """candidates: window, known. At most ``sample`` distinct windows of each label join the made findings:
-    those of the smallest hashes, so the choice doesn't depend on how rows are dealt out."""
-    windows, labels = made_findings()
-    for known in (True, False):
-        rows = candidates.where(F.col("known") == known).select("window").distinct()
-        rows = rows.orderBy(F.xxhash64("window"), "window").limit(sample).collect()
-        windows += [bytes(r.window) for r in rows]
-        labels += [known] * len(rows)
-    return trained(windows, labels)
+    """candidates: window, known. At most ``sample`` distinct windows that a pattern found join the made
+    findings: those of the smallest hashes, so the choice doesn't depend on how rows are dealt out."""
+    windows, labels, missed = _made(MADE, SEED)
+    rows = candidates.where("known").select("window").distinct()
+    rows = rows.orderBy(F.xxhash64("window"), "window").limit(sample).collect()
+    return trained(windows + [bytes(r.window) for r in rows], labels + [True] * len(rows), missed=missed)
 
 
 def _joined_spans(net: Network, spans: list, candidates: list) -> list[tuple[int, int, int]]:

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import string
 import textwrap
 import zlib
 
@@ -146,6 +147,24 @@ def test_network_learns():
     assert taken[known].mean() > 0.9 and taken[~known].mean() < 0.1
 
 
+def test_secrets_that_patterns_lack(spark):
+    """Secrets with few digits are judged, and what no pattern found isn't taught as harmless."""
+    r = random.Random(12)
+    letters = string.ascii_letters
+    made = ["".join(r.choice(letters) for _ in range(24)) for _ in range(100)] + ["ghp_" + "".join(r.choice(letters + string.digits) for _ in range(36)) for _ in range(1600)]
+    words = ["responsibilities", "Verantwortlichkeit", "internationalization", "gouvernementales", "INCOMPREHENSIBLE", "establecimiento"]
+    docs = spark.createDataFrame([(i, f"the key is {x} of it") for i, x in enumerate(made)] + [(9000 + i, f"on the {x} of it") for i, x in enumerate(words)], "doc_id long, text string")
+    got = {d: rs[0].spans for d, rs in by_id(secrets.secret_spans(docs).collect()).items()}
+    found = [any((s.start, s.end) == (11, 11 + len(x)) for s in got[i]) for i, x in enumerate(made)]
+    assert sum(found[:100]) >= 90 and sum(found[100:]) >= 1440
+    assert sum(bool(got[9000 + i]) for i in range(len(words))) <= 1
+
+
+def test_missed_secrets_lower_the_threshold():
+    windows, labels = secrets.made_findings(200, 1)
+    assert secrets.trained(windows, labels, epochs=2, missed=20).threshold < secrets.trained(windows, labels, epochs=2).threshold
+
+
 @pytest.fixture(scope="module")
 def coder():
     return bpe.coder(*bpe.paths())

@@ -160,6 +160,25 @@ def test_secrets_that_patterns_lack(spark):
     assert sum(bool(got[9000 + i]) for i in range(len(words))) <= 1
 
 
+def test_secrets_behind_long_names(spark):
+    """A secret at the end of a long run is seen, with what stands around it; a long run without one is left alone."""
+    r = random.Random(14)
+    fronts = ["some/long/directory/name/of/configuration/", "EXPORTED_DATABASE_CONNECTION_CREDENTIAL_OF_PRODUCTION="]
+    value = lambda: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32))
+    rows = [(i, f"on é {fronts[i % 2]}{value()} of") for i in range(100)]
+    rows += [(1000 + i, f"on é {f[:-1]} of") for i, f in enumerate(fronts)]
+    got = {d: rs[0].spans for d, rs in by_id(secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()).items()}
+    assert sum(any(s.start == 5 and s.end == len(t) - 3 for s in got[d]) for d, t in rows[:100]) >= 90
+    assert not got[1000] and not got[1001]
+    for size in (12, 36, 37, 54, 55, 500):
+        run = value() * 20
+        (_, [(start, end, every, known, within)]) = next(secrets.scanned(pa.array(["é " + run[:size] + " end"])))
+        parts = [every[i : i + secrets.WIDTH] for i in range(0, len(every), secrets.WIDTH)]
+        assert (start, end, known, len(within)) == (2, 2 + size, False, len(parts))
+        assert parts[0].lstrip(b"\0").startswith("é ".encode()) and parts[-1].rstrip(b"\0").endswith(b" end")
+        assert all(any(run[i : min(size, i + 18)].encode() in p[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] for p in parts) for i in range(size))
+
+
 def test_missed_secrets_lower_the_threshold():
     windows, labels = secrets.made_findings(200, 1)
     assert secrets.trained(windows, labels, epochs=2, missed=20).threshold < secrets.trained(windows, labels, epochs=2).threshold

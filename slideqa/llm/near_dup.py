@@ -2,9 +2,10 @@
 
 Each text's set of distinct 5-word shingles (64-bit hashes) is sketched in one pass: a hash picks one of
 ``BUCKETS`` buckets, each bucket keeps its smallest remainder, compressed to the count of leading zeros and
-``MANTISSA`` bits after them. Texts with equal sets (by a 128-bit digest) become one node. Bands of ROWS
-compressed registers, empty buckets filled from others in a fixed order, bring candidates together; the
-collision-corrected Jaccard estimate of the sketches thins them and the full sets decide.
+``MANTISSA`` bits after them. Texts with equal sets (by a 128-bit digest) become one node, named by a number of its
+own; a document may hold several nodes. Bands of ROWS compressed registers, empty buckets filled from others in a
+fixed order, bring candidates together; the collision-corrected Jaccard estimate of the sketches thins them and the
+full sets decide: shingles of the words themselves, not of hashes.
 
 A shingle that no other node of the search has can lie in no intersection. So each node's own shingles are
 counted over all nodes that share a bucket: a node of n shingles, u of them its own, meets another in at
@@ -18,7 +19,9 @@ queries and one of targets and intersects their full sets at once. It gives a li
 component at most, so nothing is lost and no list of pairs arises.
 
 Defined results: null or word-less texts have an empty set and link with nothing. Rows with one doc_id are
-one document. Rows without a doc_id are kept and link with nothing. Other columns are not read.
+one document, which links with what any of its texts is like. Rows without a doc_id are kept and link with nothing.
+An empty table gives an empty one. Texts are never cut; a very long one is a block of its own. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from slideqa.llm.graph import components
 from slideqa.llm.tables import Saved, table
-from slideqa.llm.text import flat, mixed, shingle_set, shingles, slices, words
+from slideqa.llm.text import LOWER, SHINGLE, flat, lean, mixed, shingles, slices, words
 
 BUCKETS = 240
 ROWS = 5
@@ -44,15 +47,16 @@ REST_BITS = 40
 EMPTY = 0xFFFF
 #: Standard errors that the estimate may fall below the threshold before a candidate is dropped.
 SLACK = 4.5
-#: Shingles of a block, on average; a single larger set is a block of its own.
-BLOCK = 100_000
-#: What a small set counts at least, so a block has at most BLOCK / LEAST_WEIGHT of them.
+#: Shingles of a block, on average; a single larger set is a block of its own. Small blocks keep tasks alike.
+BLOCK = 20_000
+#: What a small set counts at least, so a block has BLOCK / LEAST_WEIGHT of them on average.
 LEAST_WEIGHT = 100
 #: Ids up to which a list of them is broadcast: about 30 MB.
 BROADCAST_IDS = 1_000_000
 #: Columns of the incidence matrices that are multiplied at a time.
 CHUNK = 4096
 
+_LOWER = LOWER.tobytes()
 _ORDER = np.random.Generator(np.random.PCG64(7)).permuted(np.tile(np.arange(BUCKETS), (BUCKETS, 1)), axis=1)
 
 
@@ -107,14 +111,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(0, equal - chance) / np.maximum(1, used), used
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
-    """100 * intersection >= percent * union of two sorted distinct arrays, both with members."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+def word_shingles(text: str) -> set[tuple[bytes, ...]]:
+    """The distinct 5-word shingles, as words; of fewer words the whole sequence."""
+    w = text.encode().translate(_LOWER).split()
+    return set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+
+
+def similar(a: set, b: set, percent: int = 75) -> bool:
+    """100 * intersection >= percent * union, both with members."""
+    if not a or not b or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (len(both) - common)
+    common = len(a & b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +135,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = registers(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
             sketch = pa.array([codes[i].tobytes() if sizes[i] > 2 else None for i in range(len(sets))], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(np.ascontiguousarray(whole[:, 0])), pa.array(np.ascontiguousarray(whole[:, 1])), sketch], ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), pa.array(np.ascontiguousarray(whole[:, 0])), pa.array(np.ascontiguousarray(whole[:, 1])), sketch], ["doc_id", "tie", "n_shingles", "set_a", "set_b", "sketch"])
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -162,14 +170,14 @@ def _likely(percent: int):
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, np.zeros(0, np.uint64)
+        last, one = None, set()
         for batch in batches:
             good = []
             for i in range(batch.num_rows):
                 a = batch.column(0)[i].as_py()
                 if a != last:
-                    last, one = a, shingle_set(batch.column(2)[i].as_py())
-                if similar(one, shingle_set(batch.column(3)[i].as_py()), percent):
+                    last, one = a, word_shingles(batch.column(2)[i].as_py())
+                if similar(one, word_shingles(batch.column(3)[i].as_py()), percent):
                     good.append(i)
             keep = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
@@ -181,15 +189,20 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -
     """The pairs (a, b) whose full sets are similar enough."""
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    near = pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_likely(percent), "a long, b long")
+    near = pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(lean(_likely(percent)), "a long, b long")
     near = Saved(near, "near")
-    both = near.df.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = Saved(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(percent), "a long, b long"), "links")
+    links = Saved(_confirmed(near.df, texts, percent), "links")
     near.drop()
     return links
 
 
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough by their texts' words."""
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lean(_verified(percent)), "a long, b long")
+
+
 def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -212,28 +225,32 @@ def _possible(percent: int) -> str:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is it): a row
     per row of docs. Links: 100 * intersection >= percent * union of the shingle sets."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = Saved(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"), "sketched")
-    rows = Saved(sketched.df.drop("sketch"), "rows")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    sketched = Saved(docs.select("doc_id", "text", "tie").mapInArrow(lean(_sketched), "doc_id long, tie long, n_shingles long, set_a long, set_b long, sketch binary"), "sketched")
+    rows = Saved(sketched.df.drop("tie", "sketch"), "rows")
     named = sketched.df.where("doc_id is not null and n_shingles > 0")
-    sets = Saved(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "sets")
-    nodes = Saved(named.where("sketch is not null").join(sets.df, ["set_a", "set_b"]).where("doc_id = id").dropDuplicates(["set_a", "set_b"]).select("id", F.col("n_shingles").alias("n"), "sketch"), "nodes")
+    # a node is a set; `low` is the smallest doc_id that has it, (low, tie) finds its text
+    sets = Saved(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()), "sets")
+    nodes = named.where("sketch is not null").join(sets.df, ["set_a", "set_b"]).where("doc_id = low").dropDuplicates(["set_a", "set_b"])
+    nodes = Saved(nodes.select("id", "low", "tie", F.col("n_shingles").alias("n"), "sketch"), "nodes")
     sketched.drop()
-    every = Saved(nodes.df.select("id", "sketch").mapInArrow(_banded, "key long, id long"), "bands")
+    every = Saved(nodes.df.select("id", "sketch").mapInArrow(lean(_banded), "key long, id long"), "bands")
     shared = every.df.groupBy("key").count().where("count > 1").select("key")
     bands = Saved(every.df.join(shared, "key"), "shared")
     every.drop()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    ids = Saved(bands.df.select("id").distinct(), "ids")
-    met = texts.join(_small(ids.df), "id", "left_semi").mapInArrow(_own_rows, "h long, id long")
-    own = met.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    active = nodes.df.join(_small(ids.df), "id", "left_semi").join(own, "id", "left")
-    active = Saved(active.select("id", "n", F.coalesce("u", F.lit(0)).alias("u"), "sketch").where(f"100 * (n - u) >= {percent} * n"), "active")
-    texts = Saved(texts.join(_small(active.df.select("id").distinct()), "id", "left_semi"), "texts")
+    met = Saved(nodes.df.join(_small(bands.df.select("id").distinct()), "id", "left_semi"), "met")
+    nodes.drop()
+    own = _texts(docs, met.df).mapInArrow(lean(_own_rows), "h long, id long")
+    own = own.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    active = met.df.join(own, "id", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(f"100 * (n - u) >= {percent} * n")
+    active = Saved(active, "active")
+    met.drop()
+    texts = Saved(_texts(docs, active.df), "texts")
+    if texts.df.count() > active.df.count():  # rows that occur more than once
+        texts, more = Saved(texts.df.dropDuplicates(["id"]), "once"), texts
+        more.drop()
     members = Saved(bands.df.join(active.df.select("id", "n", "u"), "id"), "members")
     bands.drop()
-    ids.drop()
-    nodes.drop()
 
     share = F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u")
     pivots = members.df.groupBy("key").agg(F.min(share).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"), F.col("p.u").alias("u_a"))
@@ -241,22 +258,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = met.groupBy("id").agg(F.max(F.struct("count", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("x"), F.col("id").alias("y"))
     pairs = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = _links(pairs, active.df, texts.df, percent)
-    links = links.df.unionByName(_same_documents(rows.df, sets.df))
-    more = Saved(_open_links(members.df, components(links), active.df, texts.df, percent), "more")
-    labels = components(links.unionByName(more.df))
-    for x in (members, texts, active):
+    edges = links.df.unionByName(_same_documents(rows.df, sets.df))
+    open_links = Saved(_open_links(members.df, components(edges), active.df, texts.df, percent), "open-links")
+    more = Saved(_confirmed(open_links.df, texts.df, percent), "more")
+    labels = components(edges.unionByName(more.df))
+    for x in (members, texts, active, open_links):
+        x.drop()
+    of_node = sets.df.join(labels, F.col("id") == F.col("node"), "left").select("set_a", "set_b", "low", F.coalesce("label", "id").alias("label"))
+    least = of_node.groupBy("label").agg(F.min("low").alias("component"))
+    of_set = Saved(of_node.join(least, "label").select("set_a", "set_b", "component"), "of-set")
+    out = Saved(_with_components(rows.df, of_set.df), "near-duplicates")
+    for x in (rows, sets, links, more, of_set):
         x.drop()
-    # a component's smallest doc_id is that of a node, as each node is named by the smallest of its set
-    of_set = sets.df.join(labels, F.col("id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component"))
-    out = rows.df.join(of_set, ["set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.df.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, text of each node, from the rows of docs that have its smallest doc_id and its text's hash."""
+    names = nodes.select(F.col("low").alias("doc_id"), "tie", "id")
+    few = names.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(names) if few else names, ["doc_id", "tie"]).select("id", "text")
+
+
+def _with_components(rows: DataFrame, of_set: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row. A row without words has its document's other texts' component."""
+    some = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    full = rows.where(some).join(of_set, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    empty = rows.where(~some).select("doc_id", "n_shingles")
+    both = rows.where(some).join(empty.select("doc_id").distinct(), "doc_id", "left_semi").join(of_set, ["set_a", "set_b"]).groupBy("doc_id").agg(F.min("component").alias("component"))
+    alone = empty.join(both, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return full.unionByName(alone)
 
 
 def _same_documents(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between a doc_id that has several texts and the nodes of their sets."""
+    """Links (a, b) between the nodes of a doc_id that has several: each with the smallest."""
     held = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_a", "set_b").distinct()
     several = held.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return held.join(several, "doc_id").join(sets, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    of = held.join(several, "doc_id").join(sets, ["set_a", "set_b"]).select("doc_id", "id")
+    return of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +363,7 @@ def _open_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts:
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     queries = rows.where("query").withColumn("i", block("n_q")).withColumn("j", every("n_t")).select("main", "i", "j", "id", "label", "query")
     targets = rows.withColumn("j", block("n_t")).withColumn("i", every("n_q")).select("main", "i", "j", "id", "label", F.lit(False).alias("query"))
-    sets = texts.join(there.df.select("id").distinct(), "id", "left_semi").mapInArrow(_with_sets, "id long, shingles binary")
+    sets = texts.join(there.df.select("id").distinct(), "id", "left_semi").mapInArrow(lean(_with_sets), "id long, shingles binary")
     both = queries.unionByName(targets).join(sets, "id")
     return both.groupBy("main", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 

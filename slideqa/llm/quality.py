@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from slideqa.llm.tables import table
-from slideqa.llm.text import SPACED, Words, flat, slices, windows, words
+from slideqa.llm.text import SPACED, Words, flat, lean, slices, windows, words
 from slideqa.llm.word_cache import WordCache, ranges
 
 
@@ -75,9 +75,9 @@ def _remembered(path: str) -> WordCache:
     return WordCache(lambda found: _encoder(path).encode([w.decode() for w in found], num_threads=1), np.uint16, REMEMBERED)
 
 
-def text_tokens(raw: bytes, w: Words, path: str) -> tuple[np.ndarray, np.ndarray]:
+def text_tokens(data: np.ndarray, w: Words, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The token ids of every word of every text, and the text of each."""
-    pool, sizes, which = _remembered(path).tokens(raw, w)
+    pool, sizes, which = _remembered(path).tokens(data, w)
     starts = np.cumsum(sizes) - sizes
     sizes, starts = sizes[which], starts[which]
     return pool[ranges(starts, sizes)], np.repeat(w.doc, sizes)
@@ -152,7 +152,7 @@ def _judged(path: str, bands: dict[str, Band]):
                 chars = sums[offsets[1:]] - sums[offsets[:-1]]
                 np.cumsum(_SYMBOL[data], out=sums[1:])
                 symbols = sums[offsets[1:]] - sums[offsets[:-1]]
-                ids, docs = text_tokens(raw, w, path)
+                ids, docs = text_tokens(data, w, path)
                 tokens = np.bincount(docs, minlength=n_docs)
                 in_bytes = np.bincount(docs, (ids >= BYTE_IDS[0]) & (ids <= BYTE_IDS[1]), n_docs)
                 per_token, share = chars / np.maximum(1, tokens), in_bytes / np.maximum(1, tokens)
@@ -183,7 +183,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """doc_id and the measures, base_failed and kept: a row per row of docs."""
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else docs[text_col].substr(1, 0)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), lang.alias("lang"))
-    return rows.mapInArrow(_judged(path or vocabulary_path(), bands or BANDS), f"doc_id long, {FIELDS}")
+    return rows.mapInArrow(lean(_judged(path or vocabulary_path(), bands or BANDS)), f"doc_id long, {FIELDS}")
 
 
 def _filtered(path: str, bands: dict, at: tuple[int, int, int]):
@@ -203,7 +203,7 @@ def _filtered(path: str, bands: dict, at: tuple[int, int, int]):
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, bands: dict | None = None) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     at = (docs.columns.index(text_col), docs.columns.index(lang_col), 0)
-    return docs.mapInArrow(_filtered(path or vocabulary_path(), bands or BANDS, at), docs.schema)
+    return docs.mapInArrow(lean(_filtered(path or vocabulary_path(), bands or BANDS, at)), docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

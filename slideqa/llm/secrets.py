@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slideqa.llm.tables import Saved, table
-from slideqa.llm.text import flat, points, slices
+from slideqa.llm.text import flat, lean, points, slices
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -327,14 +327,14 @@ def _judged(net: Network):
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, _FOUND)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_scan), _FOUND)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of start, end, kind; by start, then kind): a row per row of docs."""
     found = Saved(_found(docs, id_col, text_col), "found")
     net = fitted_network(found.df.select(F.explode("candidates").alias("c")).select("c.window", "c.known", "c.within"))
-    return found.df.mapInArrow(_judged(net), "doc_id long, spans array<struct<start:int,end:int,kind:string>>")
+    return found.df.mapInArrow(lean(_judged(net)), "doc_id long, spans array<struct<start:int,end:int,kind:string>>")
 
 
 def _redacted(net: Network, at: int):
@@ -362,7 +362,7 @@ def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     candidates = Saved(_found(docs, id_col, text_col).select(F.explode("candidates").alias("c")).select("c.window", "c.known", "c.within"), "candidates")
     net = fitted_network(candidates.df)
     candidates.drop()
-    return docs.mapInArrow(_redacted(net, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_redacted(net, docs.columns.index(text_col))), docs.schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

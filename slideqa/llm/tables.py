@@ -11,10 +11,18 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group.
+ROW_GROUP = 16 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests in one process) a new temporary folder serves."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or _own_folder()
+    """spark.checkpoint.dir. Where it is unset, a new temporary folder serves a session in one process (as tests
+    are); on a cluster that would be another folder on each machine, so it is an error there."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
@@ -28,11 +36,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class Saved:
-    """A table in the shared folder: ``df`` reads it, ``drop()`` removes it when no plan needs it any more."""
+    """A table in the shared folder: ``df`` reads it, ``drop()`` removes it when no plan needs it any more. Row
+    groups are small, as a writer holds one in memory."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

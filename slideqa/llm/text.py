@@ -3,16 +3,23 @@
 A word is a maximal run of bytes outside a separator set; all separators are ASCII, so bytes and code
 points agree on where words stand. Texts are never cut: a long text is hashed in sections that end at
 separators, so memory stays at a small multiple of the section and of the word count.
+
+A word's hash is mixed from its bytes eight at a time, not a polynomial, so it has no families of words that
+collide by construction. Where a word's identity decides alone, the second hash or the bytes are compared too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of a section of a text, and of the texts that are worked on at a time.
 SECTION = 1 << 19
 SLICE = 1 << 20
 SHINGLE = 5
@@ -29,10 +36,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _random = np.random.Generator(np.random.PCG64(20240501))
-_BYTES = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = _random.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+#: Keeps the first 0 to 8 bytes of a little-endian 64-bit integer.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes up to which words are hashed side by side, eight bytes a step.
+_LONG = 256
 
 
 class Words(NamedTuple):
@@ -40,6 +49,7 @@ class Words(NamedTuple):
     doc: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    check: np.ndarray  # a second hash, independent of the first
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -49,19 +59,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = np.uint64(_BASE if kind == "up" else pow(_BASE, -1, 2**64))
-        size = max(n, SECTION + 1)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 4 * SECTION:
-            _powers[kind] = have
-    return have[:n]
-
-
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the n+1 offsets of texts in them; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -97,10 +94,34 @@ def _section_end(data: np.ndarray, at: int, word: np.ndarray) -> int:
     return len(data)
 
 
+def _hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word: eight bytes a step are mixed in, so no form of words collides by rule."""
+    padded = np.concatenate([part, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(part) + 1,), np.dtype("<u8"), buffer=padded.data, strides=(1,))
+    left = end - start
+    one = left.astype(np.uint64) * _FIRST
+    two = one ^ _SECOND
+    at, own = start, np.arange(len(start))
+    long = np.flatnonzero(left > _LONG)
+    for i in long.tolist():
+        one[i], two[i] = np.frombuffer(blake2b(part[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    if len(long):
+        own = np.flatnonzero(left <= _LONG)
+        at, left = at[own], left[own]
+    while len(own):
+        c = eight[at] & _KEEP[np.minimum(left, 8)]
+        one[own], two[own] = mixed(one[own] ^ (c * _SECOND)), mixed(two[own] + c * _FIRST)
+        more = np.flatnonzero(left > 8)
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    return one, two
+
+
 def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = True) -> Words:
-    """Every word (of the text in lower case, if wanted): 64-bit hash, index of its text, first byte and end byte in ``data``."""
-    values, word = (_BYTES[LOWER], word[LOWER]) if lower else (_BYTES, word)
-    hashes, starts, ends = [], [], []
+    """Every word (of the text in lower case, if wanted): 64-bit hash, index of its text, first byte and end byte
+    in ``data``, and a second hash."""
+    if lower:
+        word = word[LOWER]
+    hashes, checks, starts, ends = [], [], [], []
     at = 0
     cuts = np.unique(offsets)
     while at < len(data):
@@ -116,18 +137,18 @@ def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lowe
         before[1:], after[:-1] = inside[:-1], inside[1:]
         s = np.flatnonzero(inside & (~before | edge[:-1]))
         e = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * _power("up", len(part)), out=sums[1:])
-        hashes.append(mixed((sums[e] - sums[s]) * _power("down", len(part))[s]))
+        one, two = _hashes(LOWER[part] if lower else part, s, e)
+        hashes.append(one)
+        checks.append(two)
         starts.append(s + at)
         ends.append(e + at)
         at = to
     if not hashes:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), none, none, none)
+        none, zero = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Words(zero, none, none, none, zero)
     start = np.concatenate(starts)
     doc = np.searchsorted(offsets, start, "right") - 1
-    return Words(np.concatenate(hashes), doc, start, np.concatenate(ends))
+    return Words(np.concatenate(hashes), doc, start, np.concatenate(ends), np.concatenate(checks))
 
 
 def windows(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -154,10 +175,19 @@ def shingles(w: Words, n_docs: int, size: int = SHINGLE) -> Iterator[np.ndarray]
             yield np.zeros(0, np.uint64)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    offsets = np.array([0, len(data)], np.int64)
-    return next(shingles(words(data, offsets), 1, size))
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The batch function, giving free memory back to the system when it ends: Python workers live on for later
+    stages, beside a full heap of the executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def points(data: np.ndarray) -> np.ndarray:

@@ -123,7 +123,7 @@ def text_ids(texts: pa.Array, path: str, end: int = END_ID) -> tuple[np.ndarray,
     drops white space, so words between ASCII white space are encoded on their own."""
     data, offsets = flat(texts)
     w = words(data, offsets, SPACED, lower=False)
-    pool, sizes, which = _remembered(path).tokens(data.tobytes(), w)
+    pool, sizes, which = _remembered(path).tokens(data, w)
     n = len(offsets) - 1
     # the end id is one more word behind the words of each text
     at = np.searchsorted(w.doc, np.arange(n), "right")

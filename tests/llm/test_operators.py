@@ -15,8 +15,10 @@ import pyarrow as pa
 import pytest
 
 from slideqa.llm import bpe, class_lm, decontaminate, licenses, near_dup, quality, secrets, token_file, url_filter, warc
-from slideqa.llm.tables import new_path
-from tests.llm.test_dedup import LOWER, shingle_tuples
+from slideqa.llm.tables import new_path, shared_folder
+from slideqa.llm.text import Words
+from slideqa.llm.word_cache import WordCache
+from tests.llm.test_dedup import LOWER, shingle_tuples, thue_morse
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,8 +46,10 @@ def test_decontaminate(spark, edge_docs, edge_rows, no_docs):
     got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contained_items(edge_docs, bench).collect()}
     assert got == want and len(got) > 5
     clean = decontaminate.clean_documents(edge_docs, bench)
-    hit = {d for d, _ in want}
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, *_ in edge_rows if d not in hit)
+    hit, nameless = {d for d, _ in want}, lambda t: any(s and 100 * len(shingle_tuples((t or "").lower()) & s) >= 75 * len(s) for s in sets.values())
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, t, *_ in edge_rows if d not in hit and (d is not None or not nameless(t)))
+    leak = spark.createDataFrame([(None, texts[0]), (None, None), (None, "nothing of that kind is in here")], "doc_id long, text string")
+    assert [r.text for r in decontaminate.clean_documents(leak, bench).orderBy("text").collect()] == [None, "nothing of that kind is in here"]
     assert clean.columns == edge_docs.columns
     assert decontaminate.contained_items(no_docs, bench).count() == 0 and decontaminate.contained_items(edge_docs, bench.where("false")).count() == 0
 
@@ -307,6 +311,25 @@ def test_token_file(spark, edge_docs, edge_rows, no_docs):
     assert token_file.read_tokens(spark, path).count() == 0
 
 
+def test_token_ids_of_words_that_hashes_confuse():
+    """Words of equal polynomial hashes get the library's ids, and so do words that share both of ours."""
+    pairs = [thue_morse(k) for k in (1024, 2048, 4096)]
+    texts = [f"{a} x {b} {a[:64]} {b[:64]}" for a, b in pairs]
+    slow = token_file._remembered(token_file.vocabulary_path()).encode.whole
+    for batch in (texts, [b for _, b in pairs], [a for a, _ in pairs]):
+        ids, sizes = token_file.text_ids(pa.array(batch), token_file.vocabulary_path())
+        assert ids.tolist() == [i for t in batch for i in [*slow.encode(t, add_special_tokens=False).ids, 2]] and sizes.sum() == len(ids)
+    cache = WordCache(lambda found: [[len(w), w[0]] for w in found], np.uint16)
+    for words_ in ([b"ab", b"c", b"ab", b"de"], [b"de", b"x", b"c"], [b"zz"]):
+        data = np.frombuffer(b" ".join(words_), np.uint8)
+        end = np.cumsum([len(w) + 1 for w in words_]) - 1
+        start = end - [len(w) for w in words_]
+        for h in (np.zeros(len(words_), np.uint64), np.frombuffer(b"".join(w.ljust(8) for w in words_), np.uint64)):
+            pool, sizes, which = cache.tokens(data, Words(h, np.zeros(len(h), np.int64), start, end, h))
+            first = np.cumsum(sizes) - sizes
+            assert [pool[first[k] : first[k] + sizes[k]].tolist() for k in which] == [[len(w), w[0]] for w in words_]
+
+
 def test_random_access():
     r = np.random.default_rng(1)
     ids = np.concatenate([r.integers(0, 300, 5000), r.integers(0, 2**20, 3000), [0, 255, 256, 2**31]]).astype(np.uint32)
@@ -385,6 +408,42 @@ def test_wrapped_licenses(spark, tmp_path):
         assert d >= 100 or licenses.TEMPLATES[d][1] in labels
 
 
+def test_shared_folder(spark):
+    """Without spark.checkpoint.dir a cluster has no folder that all machines see."""
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+    Context.master = "local[4]"
+    assert shared_folder(Session).startswith("file:")
+    Session.conf = {"spark.checkpoint.dir": "hdfs://there/"}
+    assert shared_folder(Session) == "hdfs://there"
+
+
+def test_pipeline_on_odd_tables(spark, edge_docs, edge_rows, tmp_path):
+    """Extra columns of clashing names stay up to the last stage; empty tables give empty ones; of the rows of a
+    doc_id the same one stays however they are dealt."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(0, edge_rows[8][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in p.STAGES:
+        out = stage(spark, edge_docs, str(tmp_path))
+        assert out.count() and (name == "bpe" or out.columns == edge_docs.columns)
+        none = stage(spark, edge_docs.where("false"), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns
+    several = spark.createDataFrame([(i % 5, f"{i} text of its own, number {i * i}", i) for i in range(40)], "doc_id long, text string, extra long")
+    kept = [sorted(map(tuple, p.keep_one_of_each(spark, several.repartition(k), "").collect())) for k in (1, 7)]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [0, 1, 2, 3, 4]
+    nameless = spark.createDataFrame([(None, edge_rows[8][1]), (None, None)], "doc_id long, text string")
+    assert [r.text for r in p.drop_benchmark(spark, nameless, str(tmp_path)).collect()] == [None]
+
+
 def test_pipeline_stages(spark, edge_docs, edge_rows, tmp_path):
     """Each stage against its plain version on its own input, and the whole."""
     import corpus_pipeline as p

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from slideqa.functions.llm_text import ihc_text, ptnm_code
 
-#: Rows up to which the side of a substring join is broadcast; a larger one is refused.
-LARGEST_SUBSTRING_SIDE = 100_000
-
-
 def stem(name: Column) -> Column:
     """A file name without its last extension."""
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
@@ -38,28 +34,38 @@ def by_name_or_stem(slides: DataFrame, cases: DataFrame, extension: str = ".svs"
     return slides.join(first, "slide_id", "left").select(*[c for c in slides.columns], F.coalesce("diagnosis", F.lit("N/A")).alias("diagnosis"))
 
 
-def _checked_broadcast(df: DataFrame) -> DataFrame:
-    if df.limit(LARGEST_SUBSTRING_SIDE + 1).count() > LARGEST_SUBSTRING_SIDE:
-        raise ValueError(f"substring matching takes at most {LARGEST_SUBSTRING_SIDE} rows on its small side")
-    return F.broadcast(df)
+def _parts_met(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of names (name) with each row of parts (part) that is contained in the name. Names are cut into
+    their substrings of the lengths that parts have, so it is a join by equality, whatever the number of parts."""
+    lengths = parts.where("part is not null").select(F.length("part").alias("n")).agg(F.sort_array(F.collect_set("n"))).first()[0]
+    if not lengths:
+        return names.withColumn("part", F.lit(None).cast("string")).join(parts.limit(0), "part")
 
+    def cut(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, F.lit(n)))
+        return F.when(F.length("name") >= n, every).otherwise(F.array().cast("array<string>"))
 
-def by_substring(slides: DataFrame, cases: DataFrame, extension: str = ".svs") -> DataFrame:
-    """slide_id, diagnosis, ihc, ptnm: the first case in order whose stem lies in the slide's file name."""
-    small = _checked_broadcast(cases.select("position", "diagnosis", stem(F.col("img")).alias("stem")))
-    met = slides.select("slide_id").join(small, F.contains(F.concat("slide_id", F.lit(extension)), F.col("stem")))
-    first = met.groupBy("slide_id").agg(F.min(F.struct("position", "diagnosis")).alias("m")).select("slide_id", "m.diagnosis")
-    out = slides.select("slide_id").join(first, "slide_id", "left")
-    n_a = F.lit("N/A")
-    return out.select("slide_id", F.coalesce("diagnosis", n_a).alias("diagnosis"), F.coalesce(ihc_text(F.col("diagnosis")), n_a).alias("ihc"), F.coalesce(ptnm_code(F.col("diagnosis")), n_a).alias("ptnm"))
+    return names.select("*", F.explode(F.array_distinct(F.concat(*map(cut, lengths)))).alias("part")).join(parts, "part")
 
 
-def geometry_with_fallback(slides: DataFrame, geometry: DataFrame) -> DataFrame:
-    """Clusters of each slide by exact id; slides without any take those of the first id that is part of theirs."""
+def by_substring(slides: DataFrame, cases: DataFrame, extension: str = ".svs") -> DataFrame:
+    """slide_id, the whole case row, ihc, ptnm: of the first case in order whose stem lies in the slide's file name."""
+    parts = cases.select(stem(F.col("img")).alias("part"), F.struct("position", F.struct(*cases.columns).alias("row")).alias("_case"))
+    met = _parts_met(slides.select("slide_id", F.concat("slide_id", F.lit(extension)).alias("name")), parts)
+    first = met.groupBy("slide_id").agg(F.min("_case").alias("m")).select("slide_id", "m.row.*")
+    out, n_a = slides.select("slide_id").join(first, "slide_id", "left"), F.lit("N/A")
+    kept = [F.coalesce(c, n_a).alias(c) if c == "diagnosis" else F.col(c) for c in cases.columns]
+    return out.select("slide_id", *kept, F.coalesce(ihc_text(F.col("diagnosis")), n_a).alias("ihc"), F.coalesce(ptnm_code(F.col("diagnosis")), n_a).alias("ptnm"))
+
+
+def geometry_with_fallback(slides: DataFrame, geometry: DataFrame, position: str = "position") -> DataFrame:
+    """Clusters of each slide by exact id; slides without any take those of the first id, by position, that is part
+    of theirs. Without a position column the smallest such id is the first."""
     exact = slides.select("slide_id").join(geometry, "slide_id")
     rest = slides.select("slide_id").join(geometry.select("slide_id").distinct(), "slide_id", "left_anti")
-    names = _checked_broadcast(geometry.select(F.col("slide_id").alias("other")).distinct())
-    first = rest.join(names, F.contains("slide_id", "other")).groupBy("slide_id").agg(F.min("other").alias("other"))
+    order = F.min(position) if position in geometry.columns else F.lit(0)
+    parts = geometry.groupBy(F.col("slide_id").alias("part")).agg(order.alias("_p"))
+    first = _parts_met(rest.select("slide_id", F.col("slide_id").alias("name")), parts).groupBy("slide_id").agg(F.min(F.struct("_p", F.col("part").alias("other"))).alias("m")).select("slide_id", "m.other")
     found = first.join(geometry.withColumnRenamed("slide_id", "other"), "other").drop("other")
     return exact.unionByName(found)
 

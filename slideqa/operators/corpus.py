@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from slideqa.functions.options import ANSWER_FIELDS, INDEX_FIELDS, answer_letters, answer_text, options_block, reject_reason
 
 #: What a record's info may hold.
-INFO_KEYS = ["belong_level", "belong_cluster_id", "belong_roi_mag", "focus", "subcategory", "format", "option_descriptions", "option_content", "choices", "explanation", *[f for f in ANSWER_FIELDS if f != "answer"], *INDEX_FIELDS]
+INFO_KEYS = [
+    "belong_level", "belong_cluster_id", "belong_roi_mag", "focus", "subcategory", "format", "option_descriptions", "option_content", "choices", "explanation",
+    "answer_key", "answer_keys", "correct_answers", "correct_answer", "answer_choice", "answer_options",
+    "answer_index", "answer_indices", "answer_idx",
+]
 RECORD_FIELDS = ["qa_id", "id", "image_path", "image", "question", "options", "answer", *INFO_KEYS]
 RECORD_SCHEMA = ", ".join(f"{f} string" for f in dict.fromkeys(RECORD_FIELDS))
 IMAGE_TAG = "<image>"

@@ -1,7 +1,7 @@
 """Regions grown from patch features: three clusters per slide, their circles and mean features.
 
-A slide is one group, as growth is sequential inside it; its patches must fit one task. Slides above
-``LARGEST`` patches are split off by ``too_large`` before, and reported.
+A slide is one group, as growth is sequential inside it; its patches must fit one task. Slides above a limit of
+patches (``LARGEST``, about 400 MB of 512 numbers a patch) are not grown: ``too_large`` reports them.
 """
 
 from __future__ import annotations
@@ -146,9 +146,11 @@ def too_large(patches: DataFrame, limit: int = LARGEST) -> DataFrame:
     return patches.groupBy("slide_id").agg(F.count("*").alias("patches")).where(F.col("patches") > limit)
 
 
-def grow_regions(patches: DataFrame) -> DataFrame:
-    """slide_id, patch_idx, cluster (0 to 2). Slides of three patches or fewer give nothing."""
-    return patches.select("slide_id", "patch_idx", "x", "y", "feature").groupBy("slide_id").applyInPandas(_labelled, _LABELS)
+def grow_regions(patches: DataFrame, limit: int = LARGEST) -> DataFrame:
+    """slide_id, patch_idx, cluster (0 to 2). Slides of three patches or fewer, and those that ``too_large``
+    reports, give nothing."""
+    rows = patches.select("slide_id", "patch_idx", "x", "y", "feature").join(too_large(patches, limit), "slide_id", "left_anti")
+    return rows.groupBy("slide_id").applyInPandas(_labelled, _LABELS)
 
 
 def circles(patches: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,16 @@ def text_means(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("total"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names])
 
 
+def has_options(results: DataFrame) -> Column:
+    """Whether a row carries options or choices; tables may lack either column."""
+    given = [F.col(c).isNotNull() for c in ("options", "choices") if c in results.columns]
+    return reduce(lambda a, b: a | b, given, F.lit(False))
+
+
 def evaluate(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Choice details, open-text details, and a long table (group_type, group_key, metric, value)."""
-    typed = results.withColumn("task_type", task_type(F.col("format"), F.lit(False)))
+    """Choice details, open-text details, and a long table (group_type, group_key, metric, value). Rows without a
+    known format are choices where they have options or choices."""
+    typed = results.withColumn("task_type", task_type(F.col("format"), has_options(results)))
     choices = score_choices(typed.where("task_type = 'choice'"))
     texts = score_texts(typed.where("task_type = 'open_ended'"))
     long = lambda df, kind: df.unpivot([], df.columns, "metric", "value").select(F.lit("task_type").alias("group_type"), F.lit(kind).alias("group_key"), "metric", F.col("value").cast("double").alias("value"))
@@ -73,6 +82,11 @@ def score_breakdown(scored: DataFrame) -> DataFrame:
     return out.select(kind.alias("group_type"), first.alias("group_key"), second.alias("group_key2"), "total", "score", (100 * F.col("score") / F.col("total")).alias("accuracy"))
 
 
+def ordered_report(report: DataFrame) -> DataFrame:
+    """A report by its group's type and keys: a few rows, in the order they are printed in."""
+    return report.orderBy(*[c for c in ("group_type", "group_key", "group_key2") if c in report.columns])
+
+
 def judge_rows(results: DataFrame, precision: str = "precision", relevance: str = "relevance") -> DataFrame:
     """Adds wsi_precision, wsi_relevance (rounded to 4; 0 where a text is missing) and wsi_eval_error."""
     given = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from slideqa.functions.llm_text import parsed_json, qa_items, stable_id
 
-#: Task codes by level, and prompts per code by format.
+#: Task codes by level.
 LEVEL_CODES = {"WSI": ["1.1", "1.2", "2.1", "2.4"], "Cluster": ["1.2", "1.3", "2.1", "2.2"], "ROI": ["1.3", "1.4", "2.1", "2.2", "2.3"]}
+#: Prompts per code by format; difficulties and question formats.
 RATIO = {"single": 2, "multi": 1, "caption": 2}
 DIFFICULTIES, QUESTION_FORMATS = ["easy", "medium", "hard"], ["single", "multi"]
 #: Category and subcategory by focus.
@@ -58,7 +59,9 @@ def render_prompts(tasks: DataFrame, templates: DataFrame, fields: list[str]) ->
 
 def attach_outputs(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     """A row per question or caption of each task's output (task_id, text); failed tasks give none."""
-    rows = tasks.join(outputs, "task_id").withColumn("_i", qa_items(parsed_json(F.col("text"))["json"]))
+    # generators keep the optimizer from repeating these large expressions wherever they are used
+    rows = tasks.join(outputs, "task_id").select(*tasks.columns, F.inline(F.array(parsed_json(F.col("text")))))
+    rows = rows.select(*tasks.columns, F.inline(F.array(F.struct(qa_items(F.col("json")).alias("_i")))))
     rows = rows.select(*tasks.columns, F.posexplode("_i").alias("position", "item"))
     return rows.withColumn("id", stable_id(F.col("task_id"), F.col("position").cast("string")))
 

@@ -21,8 +21,7 @@ def seeded(seed: int, *parts: str) -> Column:
 def with_roles(tokens: DataFrame, pack: int = PACK) -> DataFrame:
     """Adds seq_len, token_type (global, patch, summary), pack_idx (-1 for global), position. The last token
     of a short last pack is its summary."""
-    n = F.count("*").over(Window.partitionBy("slide_id"))
-    out = tokens.withColumn("seq_len", n)
+    out = tokens.join(tokens.groupBy("slide_id").agg(F.count("*").alias("seq_len")), "slide_id").select(*tokens.columns, "seq_len")
     rest = F.col("token_idx") - 1
     i, at = F.expr(f"(token_idx - 1) div {pack + 1}"), F.pmod(rest, F.lit(pack + 1))
     last = (at == pack) | (F.col("token_idx") == F.col("seq_len") - 1)

@@ -53,7 +53,7 @@ g AS (SELECT 'total' AS t, 'all' AS k, '' AS k2, score FROM f UNION ALL SELECT '
   UNION ALL SELECT 'major_category', maj, '', score FROM f UNION ALL SELECT 'major_level', maj, lev, score FROM f UNION ALL SELECT 'major_format', maj, fmt, score FROM f UNION ALL SELECT 'belong_level', lev, '', score FROM f)
 SELECT t AS group_type, k AS group_key, k2 AS group_key2, count(*) AS total, cast(sum(score) AS double) AS score, cast(100 * sum(score) AS double) / count(*) AS accuracy FROM g GROUP BY t, k, k2""")
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score_breakdown(scoring.score_choices(v.view(spark, d, v.CHOICE)))
+    return scoring.ordered_report(scoring.score_breakdown(scoring.score_choices(v.view(spark, d, v.CHOICE))))
 
 
 @query("WITH " + _SCORED + "SELECT count(*) FILTER (exact) AS correct, count(*) AS total, avg(exact::int) AS accuracy FROM scored WHERE format IN ('single', 'multi')")
@@ -62,9 +62,15 @@ def choice_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return scoring.choice_accuracy(scoring.score_choices(rows.where("task_type = 'choice'")))
 
 
-@query("SELECT question_id, CASE WHEN format IN ('single', 'multi') THEN 'choice' ELSE 'open_ended' END AS task_type FROM {CHOICE} c")
+#: Options or choices of some rows of {CHOICE}, whatever their format.
+_OPTIONS = ["CASE WHEN question_id % 4 = 0 THEN 'A. x' END AS options", "CASE WHEN question_id % 5 = 1 THEN '[]' END AS choices"]
+_IS_CHOICE = "(coalesce(format, '') IN ('single', 'multi') OR question_id % 4 = 0 OR question_id % 5 = 1)"
+
+
+@query("SELECT question_id, CASE WHEN " + _IS_CHOICE + " THEN 'choice' ELSE 'open_ended' END AS task_type FROM {CHOICE} c")
 def task_types(spark: SparkSession, d: str) -> DataFrame:
-    return v.view(spark, d, v.CHOICE).select("question_id", scoring.task_type(F.col("format"), F.lit(False)).alias("task_type"))
+    rows = v.view(spark, d, v.CHOICE).selectExpr("*", *_OPTIONS)
+    return rows.select("question_id", scoring.task_type(F.col("format"), scoring.has_options(rows)).alias("task_type"))
 
 
 _WORDS = r"""
@@ -90,20 +96,45 @@ def meteor_relational(spark: SparkSession, d: str) -> DataFrame:
     return scoring.relational_meteor(v.view(spark, d, v.OPEN))
 
 
-@query()
+#: METEOR's parts in plain SQL, from the words, matches and chunks of _WORDS.
+_METEOR_ROWS = """x AS (SELECT t.question_id, len(p) AS lp, len(r) AS lr, coalesce(matches, 0) AS m, coalesce(chunks, 0) AS ch FROM t LEFT JOIN n USING (question_id)),
+y AS (SELECT *, CASE WHEN lp = 0 OR lr = 0 OR m = 0 THEN 0.0 ELSE m / lp END AS mp, CASE WHEN lp = 0 OR lr = 0 OR m = 0 THEN 0.0 ELSE m / lr END AS mr, CASE WHEN lp = 0 OR lr = 0 OR m = 0 THEN 0.0 ELSE (m / lp) * (m / lr) / (0.9 * m / lp + (1 - 0.9) * m / lr) END AS fm,
+  CASE WHEN lp = 0 OR lr = 0 THEN 1.0 WHEN m = 0 THEN 0.0 ELSE 0.5 * pow(ch / m, 3.0) END AS pen FROM x)"""
+#: ROUGE-L in plain SQL: one row of the table of longest common subsequences after the other, each a running maximum.
+_ROUGE = r"""
+u AS (SELECT question_id, list_filter(list_transform(regexp_split_to_array(lower(prediction), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> '') AS a,
+             list_filter(list_transform(regexp_split_to_array(lower(ground_truth), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> '') AS b FROM {OPEN} o),
+k AS (SELECT question_id, len(a) AS la, len(b) AS lb, list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda x: list_transform(b, lambda y: (x = y)::int))),
+        lambda row, hit: list_transform(range(1, len(row) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], CASE WHEN hit[i] = 1 THEN coalesce(row[i - 1], 0) + 1 ELSE 0 END))))) AS row FROM u),
+c2 AS (SELECT question_id, la, lb, coalesce(row[-1], 0) AS c FROM k),
+rouge AS (SELECT question_id, CASE WHEN c = 0 THEN 0.0 ELSE c / la END AS rp, CASE WHEN c = 0 THEN 0.0 ELSE c / lb END AS rr, CASE WHEN c = 0 THEN 0.0 ELSE 2 * (c / la) * (c / lb) / (c / la + c / lb) END AS rf FROM c2)"""
+_MEANS = "SELECT count(*) AS total, avg(rp) AS rouge_l_precision, avg(rr) AS rouge_l_recall, avg(rf) AS rouge_l_fmeasure, avg(fm * (1 - pen)) AS meteor_score, avg(mp) AS precision, avg(mr) AS recall, avg(fm) AS fmean, avg(pen) AS penalty FROM y JOIN rouge USING (question_id)"
+_MEAN_NAMES = ["rouge_l_precision", "rouge_l_recall", "rouge_l_fmeasure", "meteor_score", "precision", "recall", "fmean", "penalty"]
+
+
+@query("WITH " + _WORDS + ", " + _METEOR_ROWS + ", " + _ROUGE + ", means AS (" + _MEANS + ") SELECT total, " + ", ".join(f"round(cast({c} AS double), 8) AS {c}" for c in _MEAN_NAMES) + " FROM means")
 def text_means(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.text_means(scoring.score_texts(v.view(spark, d, v.OPEN)))
+    means = scoring.text_means(scoring.score_texts(v.view(spark, d, v.OPEN)))
+    return means.select("total", *[F.round(c, 8).alias(c) for c in _MEAN_NAMES])
 
 
-@query()
+@query("WITH " + _ROUGE + " SELECT question_id, round(cast(rp AS double), 8) AS rouge_l_precision, round(cast(rr AS double), 8) AS rouge_l_recall, round(cast(rf AS double), 8) AS rouge_l_fmeasure FROM rouge")
 def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score_texts(v.view(spark, d, v.OPEN)).select("question_id", "rouge_l_precision", "rouge_l_recall", "rouge_l_fmeasure")
+    return scoring.score_texts(v.view(spark, d, v.OPEN)).select("question_id", *[F.round(c, 8).alias(c) for c in _MEAN_NAMES[:3]])
 
 
-@query()
+#: What is scored as open text: dialogues, and answers without a known format and without options.
+_TOLD = "(SELECT question_id, prediction, ground_truth FROM {OPEN} o UNION ALL SELECT -question_id, prediction, ground_truth FROM {CHOICE} c WHERE NOT " + _IS_CHOICE + ") o"
+
+
+@query("WITH " + _SCORED + ", " + _WORDS.replace("{OPEN} o", _TOLD) + ", " + _METEOR_ROWS + ", " + _ROUGE.replace("{OPEN} o", _TOLD) + ", means AS (" + _MEANS + "), chosen AS (SELECT count(*) FILTER (exact) AS correct, count(*) AS total, avg(exact::int) AS accuracy FROM scored WHERE " + _IS_CHOICE + """)
+SELECT 'task_type' AS group_type, 'choice' AS group_key, metric, round(cast(value AS double), 8) AS value FROM (UNPIVOT (SELECT correct::double AS correct, total::double AS total, accuracy::double AS accuracy FROM chosen) ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL SELECT 'task_type', 'open_ended', metric, round(cast(value AS double), 8) FROM (UNPIVOT (SELECT total::double AS total, """ + ", ".join(f"{c}::double AS {c}" for c in _MEAN_NAMES) + """ FROM means) ON COLUMNS(*) INTO NAME metric VALUE value)""")
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
-    both = v.view(spark, d, v.CHOICE).select("question_id", "prediction", "ground_truth", "format").unionByName(v.view(spark, d, v.OPEN).select("question_id", "prediction", "ground_truth", "format"))
-    return scoring.evaluate(both)[2]
+    fields = ["question_id", "prediction", "ground_truth", "format", "options", "choices"]
+    asked = v.view(spark, d, v.CHOICE).selectExpr("*", *_OPTIONS)
+    told = v.view(spark, d, v.OPEN).selectExpr("*", "cast(null as string) as options", "cast(null as string) as choices")
+    return scoring.evaluate(asked.select(*fields).unionByName(told.select(*fields)))[2].withColumn("value", F.round("value", 8))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -257,8 +288,8 @@ def qa_payload_rows(spark: SparkSession, d: str) -> DataFrame:
     one = "'{\"question\":\"q' || cast(event_id % 3 as string) || '\"}'"
     text = f"CASE event_id % 4 WHEN 0 THEN '[' || {one} || ',{{\"question\":\"second\"}},3,{{\"x\":1}}]' WHEN 2 THEN {one} WHEN 1 THEN 'none' ELSE '{{\"x\":1}}' END"
     rows = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{text} as text")
-    items = llm_text.qa_items(llm_text.parsed_json(F.col("text"))["json"])
-    return rows.select("event_id", F.explode(items).alias("item")).select("event_id", F.get_json_object("item", "$.question").alias("question"))
+    rows = rows.select("event_id", F.inline(F.array(llm_text.parsed_json(F.col("text")))))
+    return rows.select("event_id", F.explode(llm_text.qa_items(F.col("json"))).alias("item")).select("event_id", F.get_json_object("item", "$.question").alias("question"))
 
 
 @query("""SELECT s.slide_id, c.diagnosis, c.img IS NULL AS case_missing FROM {SLIDES} s LEFT JOIN {CASES} c ON regexp_replace(c.img, '\\.[^.]*$', '') = s.slide_id""".replace("\\\\", "\\"))
@@ -272,18 +303,22 @@ def cases_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH m AS (SELECT s.slide_id, min(c.position) AS position FROM {SLIDES} s JOIN {CASES} c ON contains(s.slide_id || '.svs', regexp_replace(c.img, '\.[^.]*$', '')) GROUP BY 1)
-SELECT s.slide_id, coalesce(c.diagnosis, 'N/A') AS diagnosis, CASE WHEN c.diagnosis IS NULL THEN 'N/A' ELSE trim(split_part(split_part(c.diagnosis, 'IHC:', 2), '.', 1)) END AS ihc, CASE WHEN regexp_extract(coalesce(c.diagnosis, ''), 'pT[0-4]N[0-3x][a-z0-9]*') = '' THEN 'N/A' ELSE regexp_extract(c.diagnosis, 'pT[0-4]N[0-3x][a-z0-9]*') END AS ptnm
+SELECT s.slide_id, c.position, c.img, coalesce(c.diagnosis, 'N/A') AS diagnosis, CASE WHEN c.diagnosis IS NULL THEN 'N/A' ELSE trim(split_part(split_part(c.diagnosis, 'IHC:', 2), '.', 1)) END AS ihc, CASE WHEN regexp_extract(coalesce(c.diagnosis, ''), 'pT[0-4]N[0-3x][a-z0-9]*') = '' THEN 'N/A' ELSE regexp_extract(c.diagnosis, 'pT[0-4]N[0-3x][a-z0-9]*') END AS ptnm
 FROM {SLIDES} s LEFT JOIN m USING (slide_id) LEFT JOIN {CASES} c ON c.position = m.position""")
 def cases_by_substring(spark: SparkSession, d: str) -> DataFrame:
     return cases.by_substring(v.view(spark, d, v.SLIDES), v.view(spark, d, v.CASES))
 
 
-@query("""WITH g AS (SELECT * FROM {GEOMETRY} x WHERE length(slide_id) < 8), n AS (SELECT DISTINCT slide_id FROM g),
-e AS (SELECT s.slide_id, s.slide_id AS o FROM {SLIDES} s WHERE s.slide_id IN (SELECT slide_id FROM n) UNION ALL SELECT s.slide_id, min(n.slide_id) FROM {SLIDES} s JOIN n ON contains(s.slide_id, n.slide_id) WHERE s.slide_id NOT IN (SELECT slide_id FROM n) GROUP BY 1)
+@query("""WITH g AS (SELECT slide_id, cluster_id, count, -position AS position FROM {GEOMETRY} x), n AS (SELECT slide_id, min(position) AS position FROM g GROUP BY 1),
+s AS (SELECT slide_id FROM {SLIDES} a UNION ALL SELECT 'x' || slide_id || '_b' FROM {SLIDES} b),
+e AS (SELECT s.slide_id, s.slide_id AS o FROM s WHERE s.slide_id IN (SELECT slide_id FROM n) UNION ALL SELECT s.slide_id, arg_min(n.slide_id, n.position) FROM s JOIN n ON contains(s.slide_id, n.slide_id) WHERE s.slide_id NOT IN (SELECT slide_id FROM n) GROUP BY 1)
 SELECT e.slide_id, g.cluster_id, g.count FROM e JOIN g ON g.slide_id = e.o""")
 def geometry_lookup(spark: SparkSession, d: str) -> DataFrame:
-    known = v.view(spark, d, v.GEOMETRY).where("length(slide_id) < 8")
-    return cases.geometry_with_fallback(v.view(spark, d, v.SLIDES).select("slide_id"), known).select("slide_id", "cluster_id", "count")
+    # file order is the reverse of the keys', and half of the slides have no geometry of their own
+    known = v.view(spark, d, v.GEOMETRY).withColumn("position", F.negative("position"))
+    slides = v.view(spark, d, v.SLIDES).select("slide_id")
+    slides = slides.unionByName(slides.select(F.concat(F.lit("x"), "slide_id", F.lit("_b")).alias("slide_id")))
+    return cases.geometry_with_fallback(slides, known).select("slide_id", "cluster_id", "count")
 
 
 @query("SELECT slide_id FROM {SLIDES} s WHERE slide_id IN (SELECT slide_id FROM {GEOMETRY} g)")
@@ -382,10 +417,13 @@ def region_circles(spark: SparkSession, d: str) -> DataFrame:
     return regions.circles(patches, regions.grow_regions(patches))
 
 
-@query()
+@query("""WITH e AS (SELECT slide_id, patch_idx % 3 AS cluster, patch_idx, unnest(feature)::double AS x, generate_subscripts(feature, 1) AS i FROM {PATCHES} p),
+m AS (SELECT slide_id, cluster, i, count(*) AS size, avg(x) AS x FROM e GROUP BY 1, 2, 3)
+SELECT slide_id, cluster, max(size) AS size, array_to_string(list(printf('%.4f', round(x, 4) + 0.0) ORDER BY i), ',') AS feature FROM m GROUP BY 1, 2""")
 def region_means(spark: SparkSession, d: str) -> DataFrame:
     patches = v.view(spark, d, v.PATCHES)
-    return regions.cluster_means(patches, regions.grow_regions(patches)).withColumn("feature", F.transform("feature", lambda x: F.round(x, 6)))
+    means = regions.cluster_means(patches, patches.selectExpr("slide_id", "patch_idx", "patch_idx % 3 as cluster"))
+    return means.withColumn("feature", F.array_join(F.transform("feature", lambda x: F.format_string("%.4f", F.round(x, 4) + 0.0)), ","))
 
 
 _ROLES = "t AS (SELECT *, count(*) OVER (PARTITION BY slide_id) AS seq_len FROM {TOKENS} t), r AS (SELECT *, CASE WHEN token_idx = 0 THEN 'global' WHEN (token_idx - 1) % 10 = 9 OR token_idx = seq_len - 1 THEN 'summary' ELSE 'patch' END AS token_type, CASE WHEN token_idx = 0 THEN -1 ELSE (token_idx - 1) // 10 END AS pack_idx FROM t)"
@@ -436,14 +474,16 @@ def capped_self_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def noisy_tokens(spark: SparkSession, d: str) -> DataFrame:
     out = tokens.add_noise(v.view(spark, d, v.TOKENS))
-    return out.select("slide_id", "token_idx", F.size("embedding").alias("dim"))
+    return out.select("slide_id", "token_idx", F.size("embedding").alias("dim"), "embedding")
 
 
-@query("SELECT count(*) AS slides, count(*) AS far FROM customer")
+@query("SELECT c_name AS slide_id, c_custkey - (SELECT min(c_custkey) FROM customer) AS idx, true AS far FROM customer")
 def distant_partners(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_name as slide_id", "c_custkey - min(c_custkey) over () as idx")
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    first = customers.agg(F.min("c_custkey")).first()[0]
+    rows = customers.select(F.col("c_name").alias("slide_id"), (F.col("c_custkey") - F.lit(first)).alias("idx"))
     out = tokens.distant_partner(rows, 20).join(rows.selectExpr("slide_id as partner", "idx as other"), "partner")
-    return out.agg(F.count("*").alias("slides"), F.count_if(F.abs(F.col("idx") - F.col("other")) >= 20).alias("far"))
+    return out.select("slide_id", "idx", (F.abs(F.col("idx") - F.col("other")) >= 20).alias("far"))
 
 
 _POOL = "WITH " + _ROLES + ", e AS (SELECT slide_id, token_type, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM r WHERE token_type <> 'patch'), m AS (SELECT slide_id, i, avg(x::double) FILTER (token_type = 'summary') AS s, max(x::double) FILTER (token_type = 'global') AS g FROM e GROUP BY 1, 2)"
@@ -587,11 +627,14 @@ def incomplete_sessions(spark: SparkSession, d: str) -> DataFrame:
     return tasks.incomplete_sessions(rows)
 
 
-@query("WITH s AS (SELECT * FROM {STATUS} s), c AS (SELECT DISTINCT 'slide_' || user_id AS slide_id FROM events UNION SELECT 'slide_x' || c_custkey FROM customer) SELECT slide_id FROM c WHERE slide_id NOT IN (SELECT slide_id FROM s WHERE status IN ('completed', 'skipped')) ORDER BY slide_id LIMIT (SELECT greatest(0, 75 - count(*)) FROM s WHERE status = 'completed')")
+@query("WITH s AS (SELECT * FROM {STATUS} s), c AS (SELECT DISTINCT 'slide_' || user_id AS slide_id FROM events UNION SELECT 'slide_x' || c_custkey FROM customer) SELECT slide_id FROM c WHERE slide_id NOT IN (SELECT slide_id FROM s WHERE status IN ('completed', 'skipped')) ORDER BY slide_id LIMIT (SELECT count(*) // 4 FROM c)")
 def pending_slides(spark: SparkSession, d: str) -> DataFrame:
     seen = spark.read.parquet(f"{d}/events.parquet").selectExpr("'slide_' || cast(user_id as string) as slide_id").distinct()
     more = spark.read.parquet(f"{d}/customer.parquet").selectExpr("'slide_x' || cast(c_custkey as string) as slide_id")
-    return tasks.pending_slides(seen.union(more).distinct(), v.view(spark, d, v.STATUS), 75)
+    every, status = seen.union(more).distinct(), v.view(spark, d, v.STATUS)
+    # as many more as a quarter of the candidates, whatever their number
+    done = status.where("status = 'completed'").select("slide_id").distinct().count()
+    return tasks.pending_slides(every, status, done + every.count() // 4)
 
 
 @query("SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'completed') >= 10 AS target_reached, count(*) FILTER (status = 'failed') >= 3 AS failure_limit_hit FROM {STATUS} s")

@@ -49,9 +49,10 @@ FROM {part}
 """
 
 PATCHES = """
-SELECT 'slide_' || cast(label AS varchar(20)) AS slide_id, cast(i AS int) AS patch_idx, cast(512 * (i % 8) AS double) AS x,
+SELECT 'slide_' || cast(label AS varchar(20)) || '_' || cast(block AS varchar(20)) AS slide_id, cast(i AS int) AS patch_idx, cast(512 * (i % 8) AS double) AS x,
   cast(512 * floor(i / 8) AS double) AS y, embedding AS feature
-FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM {embeddings}) t
+FROM (SELECT label, embedding, block, row_number() OVER (PARTITION BY label, block ORDER BY vec_id) - 1 AS i
+  FROM (SELECT label, embedding, vec_id, cast(floor(vec_id / 1000) AS bigint) AS block FROM {embeddings}) b) t
 """
 
 TOKENS = """
@@ -62,7 +63,7 @@ FROM {embeddings}
 GEOMETRY = """
 SELECT 'slide_' || cast(cast(floor(p_partkey / 3) AS bigint) AS varchar(20)) AS slide_id, 'cluster_' || cast(p_partkey % 3 AS varchar(20)) AS cluster_id,
   p_retailprice * 2.5 AS center_x, p_retailprice * 1.25 + p_size AS center_y,
-  CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 0.0 ELSE p_size * 12.5 END AS radius, cast(p_size * 5 AS int) AS count
+  CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 0.0 ELSE p_size * 12.5 END AS radius, cast(p_size * 5 AS int) AS count, p_partkey AS position
 FROM {part}
 """
 
@@ -72,9 +73,9 @@ FROM {supplier}
 """
 
 CASES = """
-SELECT s_suppkey AS position, 'slide_' || cast(s_suppkey AS varchar(20)) || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '.svs' END AS img,
+SELECT s_suppkey AS position, CASE WHEN s_suppkey % 4 = 3 THEN 'other_' ELSE 'slide_' END || cast(s_suppkey AS varchar(20)) || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '.svs' END AS img,
   s_name || ', IHC: CK' || cast(s_nationkey AS varchar(20)) || '(+), Ki67. pT' || cast(s_suppkey % 5 AS varchar(20)) || 'N' || cast(s_suppkey % 3 AS varchar(20)) || ' end' AS diagnosis
-FROM {supplier} WHERE s_suppkey % 4 <> 3
+FROM {supplier}
 """
 
 LABELS = """

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slideqa.functions import choices, llm_text, options, text_scores
-from slideqa.operators import corpus, geometry, regions, scoring, tasks, tokens
+from slideqa.operators import cases, corpus, geometry, regions, scoring, tasks, tokens
 from slideqa.sources import readers, writers
 
 
@@ -87,7 +87,7 @@ def test_model_text(spark):
     items = llm_text.judge_items(F.col("t"))
     assert one(spark, llm_text.mean_score(items), t="```python\n[{'score':1},{'score':'x'},{}]\n```") == 0.5
     assert one(spark, llm_text.mean_score(items), t="no list") == 0.0
-    for text, want in (('{"a":1}', '{"a":1}'), ('```json\n{"a":1}\n```', '{"a":1}'), ('text {"a":1} end', '{"a":1}'), ("nope", None), ('{"a":1},{"b":2}', None), ("", None)):
+    for text, want in (('{"a":1}', '{"a":1}'), ('```json\n{"a":1}\n```', '{"a":1}'), ('text {"a":1} end', '{"a":1}'), ("nope", None), ('{"a":1},{"b":2}', None), ("", None), ('{"a":1}] junk }', None), ("{'a':1}", None), ('[1,{"b":[2]}]', '[1,{"b":[2]}]'), ('"x"', '"x"'), ("12", "12"), ("1 2", None), ('{"a":1', None), ('{"a":01}', None)):
         got = one(spark, llm_text.parsed_json(F.col("t")), t=text)
         assert (got.json and got.json.strip()) == want and got.parse_error == (want is None)
     diagnosis = "HCC, IHC: CK19(+), Ki67. pT2N0"
@@ -101,6 +101,39 @@ def test_task_types(spark):
     assert [f("Multi", False), f("open", True), f(None, True), f(None, False)] == ["choice", "open_ended", "choice", "open_ended"]
 
 
+def test_options_decide_without_format(spark):
+    rows = spark.createDataFrame([(1, "A", "A", None, "A. x", None), (2, "B", "A", "", None, "[]"), (3, "one", "one", None, None, None)], "question_id long, prediction string, ground_truth string, format string, options string, choices string")
+    choices, texts, summary = scoring.evaluate(rows)
+    assert sorted(r.question_id for r in choices.collect()) == [1, 2] and [r.question_id for r in texts.collect()] == [3]
+    assert {r.metric: r.value for r in summary.where("group_key = 'choice'").collect()} == {"correct": 1.0, "total": 2.0, "accuracy": 0.5}
+    assert scoring.evaluate(rows.drop("options", "choices"))[0].count() == 0
+
+
+def test_reports_are_ordered(spark):
+    rows = spark.createDataFrame([(i, "single", f"{i % 3}.{i % 2}", ["WSI", None, "ROI"][i % 3], 1.0) for i in range(30)], "question_id long, format string, subcategory string, belong_level string, score double")
+    keys = [(r.group_type, r.group_key, r.group_key2) for r in scoring.ordered_report(scoring.score_breakdown(rows)).collect()]
+    assert keys == sorted(keys) and len(keys) > 10
+
+
+def test_cases_and_geometry_by_part(spark):
+    """The first in file order whose name is part of the slide's, with its whole row."""
+    slides = spark.createDataFrame([("S10",), ("S1",), ("none",)], "slide_id string")
+    known = spark.createDataFrame([(0, "S10.tif", "d0", 7), (1, "S1.svs", "d1", 8), (2, "S1", "d2", 9)], "position long, img string, diagnosis string, more long")
+    got = {r.slide_id: (r.position, r.img, r.diagnosis, r.more) for r in cases.by_substring(slides, known).collect()}
+    assert got == {"S10": (0, "S10.tif", "d0", 7), "S1": (1, "S1.svs", "d1", 8), "none": (None, None, "N/A", None)}
+    assert cases.by_substring(slides, known.where("false")).count() == 3
+    shapes = spark.createDataFrame([(5, "S1", "c0"), (3, "0", "c1"), (4, "S1", "c2")], "position long, slide_id string, cluster_id string")
+    found = {(r.slide_id, r.cluster_id) for r in cases.geometry_with_fallback(slides, shapes).collect()}
+    assert found == {("S1", "c0"), ("S1", "c2"), ("S10", "c1")}
+    assert {(r.slide_id, r.cluster_id) for r in cases.geometry_with_fallback(slides, shapes.drop("position")).collect()} == found
+
+
+def test_generated_ids_are_distinct(spark):
+    images = spark.range(22_000).selectExpr("concat('image_', id) as image", "'WSI' as level")
+    ids = tasks.expand_tasks(images).select("task_id")
+    assert ids.count() == ids.distinct().count() == 440_000
+
+
 def test_tiling(spark):
     slides = spark.createDataFrame([("s", 5000, 1000)], "slide_id string, width long, height long")
     g = geometry.tile_grid(slides).first()
@@ -133,6 +166,9 @@ def test_tokens(spark):
     assert [len(r.embedding) if r.embedding else r.reject_reason for r in got] == [1024, 1024, "unexpected dimension: 768"]
     noisy = tokens.add_noise(rows, 0.1)
     assert noisy.exceptAll(tokens.add_noise(rows.repartition(5), 0.1)).isEmpty()
+    wide = spark.createDataFrame([("s", i, [1.0] * 500) for i in range(20)], "slide_id string, token_idx int, embedding array<float>")
+    drawn = np.array([r.embedding for r in tokens.add_noise(wide, 0.1).collect()]) - 1
+    assert abs(drawn.mean()) < 0.01 and abs(drawn.std() - 0.1) < 0.01 and len({x.tobytes() for x in drawn}) == 20
     mixed = tokens.mixed_pairs(spark.createDataFrame([(f"s{i}", 4) for i in range(40)], "slide_id string, n long"), 2)
     assert {r.kind for r in mixed.collect()} == {"adjacent", "noise"} and mixed.count() == 80
 
@@ -155,7 +191,7 @@ def test_regions(spark):
     assert set(label) == {0, 1, 2}
     rows = spark.createDataFrame([("s", i, float(x), float(y), [float(v) for v in r.random(4)]) for i, (x, y) in enumerate(xy)] + [("few", 0, 0.0, 0.0, [1.0])], "slide_id string, patch_idx int, x double, y double, feature array<float>")
     labels = regions.grow_regions(rows)
-    assert labels.count() == 48 and regions.too_large(rows, 10).first().slide_id == "s"
+    assert labels.count() == 48 and regions.too_large(rows, 10).first().slide_id == "s" and regions.grow_regions(rows, 10).count() == 0
     circles = regions.circles(rows, labels).collect()
     assert sum(c["count"] for c in circles) == 48 and all(c.radius > 0 for c in circles)
 

@@ -2,7 +2,7 @@
 
 import re
 
-from slideqa.operators import geometry, scoring
+from slideqa.operators import geometry, scoring, tokens
 from slideqa.plans import registry
 from slideqa.plans import views as v
 from tests.conftest import SMALL
@@ -18,8 +18,17 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text, name
 
 
-def test_substring_join_is_the_only_nested_loop(spark):
-    assert "BroadcastNestedLoopJoin" in plan(registry.QUERIES["cases_by_substring"](spark, SMALL))
+def test_substring_joins_are_joins_by_equality(spark):
+    for name in ("cases_by_substring", "geometry_lookup"):
+        assert not re.search("CartesianProduct|NestedLoop", plan(registry.QUERIES[name](spark, SMALL))), name
+
+
+def test_counting_tokens_keeps_embeddings_out_of_windows(spark):
+    assert "Window" not in plan(tokens.with_roles(spark.read.parquet(f"{SMALL}/embeddings.parquet").selectExpr("label as slide_id", "vec_id as token_idx", "embedding")))
+
+
+def test_output_expressions_are_not_repeated(spark):
+    assert len(plan(registry.QUERIES["attached_outputs"](spark, SMALL))) < 40_000
 
 
 def test_columns_are_pruned(spark):

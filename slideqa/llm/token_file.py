@@ -13,7 +13,8 @@ per level the number of chunks (u32), the chunks, the bitmap (bytes, low bit fir
 leaves nothing behind, and files are cut by a fixed number of blocks, so each is read in one task.
 
 Defined results: null counts as empty, so a document has its end id at least; equal doc_ids are ordered by
-the hash of their text, null doc_ids come first; rows stay rows. Other columns are not read.
+the hash of their text, null doc_ids come first; rows stay rows. An empty table gives no rows; a text of any length
+is one run of ids in one block. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slideqa.llm.tables import new_path, table
-from slideqa.llm.text import SPACED, flat, slices, words
+from slideqa.llm.tables import Saved, new_path, remove, table
+from slideqa.llm.text import SPACED, flat, lean, slices, words
 from slideqa.llm.word_cache import WordCache, ranges
 
 VOCABULARY = "word_bpe_49k.json"
@@ -265,6 +266,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "offset", "n_tokens", "ids_crc32"])
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of each block, from its head alone."""
+    for batch in batches:
+        for content in batch.column(0):
+            view, at, found = memoryview(content.as_buffer()), 0, []
+            while at < len(view):
+                _, size, shard, _, _, n, _ = _HEAD.unpack_from(view, at)
+                found.append((shard, n))
+                at += size + 8 + 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.int32(), pa.int64()))], ["shard", "n"])
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = END_ID, block_ids: int = BLOCK) -> None:
     """Writes the ids of all documents to files under path, in ascending doc_id order."""
     spark = docs.sparkSession
@@ -272,15 +285,16 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     dealt = rows.withColumn("tie", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    data = dealt.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(_packed(vocabulary or vocabulary_path(), end, block_ids), "block binary")
+    data = dealt.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(lean(_packed(vocabulary or vocabulary_path(), end, block_ids)), "block binary")
     data.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", BLOCKS_PER_FILE).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 of the files under path."""
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, "doc_id long, shard int, offset long, n_tokens long, ids_crc32 long")
-    # one row for each shard, so the running sum over shards is short however many ids there are
-    sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = files.mapInArrow(lean(_read), "doc_id long, shard int, offset long, n_tokens long, ids_crc32 long")
+    # one row for each shard, so the running sum over shards is short however many ids there are; heads suffice
+    sizes = files.mapInArrow(lean(_sizes), "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
     firsts = sizes.selectExpr("shard", "sum(n) over (order by shard) - n as first")
     return rows.join(F.broadcast(firsts), "shard").select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -288,4 +302,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
-    return read_tokens(spark, path)
+    found = Saved(read_tokens(spark, path), "token-rows")
+    remove(spark, path)
+    return found.df

@@ -1,31 +1,37 @@
 """WARC archives: written from pages, read back, and assembled into one row per capture.
 
 Each page gives a request, a response (or a revisit, where a payload repeats) and a metadata record, tied to
-the response by WARC-Concurrent-To. Records are rows of Spark's text sink with the blank lines that end a
-record as line separator, so archives are plain WARC 1.1 in gzip, a failed task leaves nothing behind, and
-each file holds a fixed number of records, so one task reads it. Parsing goes by Content-Length.
+the response by WARC-Concurrent-To. Every record is a gzip member of its own, as WARC tools expect, so one can be
+read at its place without the others. Members are packed into files of ``ARCHIVE`` bytes at most; only a single
+larger record makes a larger one. Files are written by Spark's text sink, a row each, so a failed task leaves
+nothing behind; the sink's line end is one zero byte, which gzip readers skip as padding. Reading streams through
+the members of a file and holds one record at a time. Parsing goes by Content-Length.
 
 Of rows with equal payloads of at least LEAST bytes, that with the largest page_id is the response, the
 others revisit it. Only the digests that occur twice are looked up, and payloads stay out of that.
 
 Defined results: a null html is an empty payload, a null url an empty target; rows with a repeated page_id
 are captures of their own, numbered; rows without page_id are never preferred as response unless no other
-has the payload. Other columns are not read.
+has the payload. An empty table gives no archive and no capture. Payloads are never cut. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slideqa.llm.tables import new_path, table
+from slideqa.llm.tables import Saved, new_path, remove, table
+from slideqa.llm.text import lean
 
 LEAST = 1000
-RECORDS_PER_FILE = 6000
+#: Bytes of a file: it is read in one task, as one value.
+ARCHIVE = 16 << 20
+#: Bytes of payloads that leave a task at a time.
+BATCH = 1 << 23
 DATE = "2024-01-01T00:00:00Z"
 #: Rows up to which the repeated digests are broadcast: about 70 MB.
 BROADCAST_ROWS = 500_000
@@ -60,7 +66,27 @@ def _numbered(pages: DataFrame) -> DataFrame:
     return once.unionByName(twice)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> None:
+def _archives(limit: int):
+    """Records to archives: members of gzip one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                packer = zlib.compressobj(wbits=31)
+                member = packer.compress(record.as_buffer()) + packer.compress(b"\r\n\r\n") + packer.flush()
+                if members and size + len(member) > limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["archive"])
+                    members, size = [], 0
+                members.append(member)
+                size += len(member)
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["archive"])
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, archive: int = ARCHIVE) -> None:
     """Writes the pages as WARC files under path."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "[\r\n]", "%0A")
@@ -84,22 +110,41 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     request = _record("request", _urn("request", page, F.col("copy").cast("string")), [("WARC-Target-URI", target), concurrent, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")))
     about = F.concat(F.lit("page-id: "), page, F.lit("\r\npayload-bytes: "), F.octet_length("html").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", _urn("metadata", page, F.col("copy").cast("string")), [("WARC-Target-URI", target), concurrent, ("Content-Type", F.lit("application/warc-fields"))], about)
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = rows.select(F.explode(F.array(request, response, metadata)).alias("record")).select(F.col("record").cast("binary"))
+    files = records.mapInArrow(lean(_archives(archive)), "archive binary")
+    files.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and body of each record."""
+def members(data: memoryview) -> Iterator[bytes]:
+    """The contents of gzip members one after another; zero bytes between and behind them are padding."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        if data[at] == 0:
+            at += 1
+            continue
+        part, out = zlib.decompressobj(wbits=31), []
+        while not part.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            step = data[at : at + BATCH]
+            out.append(part.decompress(step))
+            at += len(step) - len(part.unused_data)
+        yield b"".join(out)
+
+
+def records(data: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and body of each record; a member may hold several."""
+    for member in members(data):
+        at = 0
+        while at < len(member):
+            end = member.index(b"\r\n\r\n", at)
+            lines = member[at:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("not a WARC record")
+            headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            size = int(headers["content-length"])
+            yield headers, member[end + 4 : end + 4 + size]
+            at = end + 4 + size + 4
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +153,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
-            for h, body in records(gzip.decompress(content.as_buffer())):
+            for h, body in records(memoryview(content.as_buffer())):
                 kind, payload, page = h["warc-type"], None, None
                 if kind == "response":
                     payload = body[body.index(b"\r\n\r\n") + 4 :]
@@ -117,7 +162,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     page = int(fields["page-id"]) if fields["page-id"] else None
                 rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, page, payload))
                 size += len(payload or b"")
-                if size > 1 << 23:
+                if size > BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, size = [], 0
             if rows:
@@ -126,7 +171,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record; payload: the body of a response behind its HTTP headers."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, _RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lean(_parsed), _RECORD)
 
 
 def captures(records: DataFrame, payload: bool = True) -> DataFrame:
@@ -134,7 +179,8 @@ def captures(records: DataFrame, payload: bool = True) -> DataFrame:
     wanted), payload_bytes, payload_digest (both of the full payload), record_type and refers_to (page_id)."""
     records = records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_sha1", F.sha1("payload"))
     if not payload:
-        records = records.drop("payload")
+        # three joins read the records: without payloads they are few bytes, and archives are read once
+        records = Saved(records.drop("payload"), "records").df
     main = records.where("kind in ('response', 'revisit')").select("record_id", "kind", "target", "refers_to", "digest", "payload_bytes", "payload_sha1", *["payload"][: int(payload)])
     request = records.where("kind = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "target").alias("request"))
     about = records.where("kind = 'metadata'").select(F.col("concurrent_to").alias("record_id"), "page_id", F.struct("record_id", "page_id").alias("metadata"))
@@ -152,7 +198,9 @@ def captures(records: DataFrame, payload: bool = True) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return captures(read_warc(spark, path), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = captures(read_warc(spark, path), payload=False)
+    remove(spark, path)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = r"""

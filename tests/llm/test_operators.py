@@ -1,6 +1,7 @@
 """Each operator against a plain version, on odd texts."""
 
 import collections
+import gzip
 import hashlib
 import json
 import math
@@ -237,10 +238,33 @@ def test_warc(spark):
         assert all((r.record_type, r.refers_to) == (kind, top if kind == "revisit" else None) for r in mine)
         assert all(r.request is not None and r.metadata is not None for r in mine)
     path = new_path(spark, "warc")
+    warc.write_warc(pages.coalesce(1), path, archive=1500)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    assert len(files) > 3
+    for f in files:  # plain gzip of whole records, each a member that can be read alone
+        every = list(warc.members(memoryview(f.content)))
+        assert gzip.decompress(f.content) == b"".join(every) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in every)
+        assert len(f.content) <= 1501 or len(every) == 1
+    again = warc.captures(warc.read_warc(spark, path), payload=False).drop("response")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    key = lambda r: str([r[c] for c in columns])
+    assert sorted(map(key, again.collect())) == sorted(map(key, got))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(memoryview(files[0].content[:100])))
+    path = new_path(spark, "warc")
     warc.write_warc(pages.where("false"), path)
     assert warc.captures(warc.read_warc(spark, path)).count() == 0
 
 
+def test_warc_of_very_long_pages(spark):
+    """Pages of tens of megabytes stay whole, each in a file of its own."""
+    pages = spark.range(3).selectExpr("id as page_id", "'http://h/' as url", "repeat(sha2(cast(id as string), 512), 160000) as html")
+    path = new_path(spark, "warc")
+    warc.write_warc(pages, path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.captures(warc.read_warc(spark, path), payload=False).collect()}
+    assert got == {i: (128 * 160_000, hashlib.sha1(hashlib.sha512(str(i).encode()).hexdigest().encode() * 160_000).hexdigest()) for i in range(3)}
+
+
 def test_class_model(edge_docs, edge_rows, no_docs):
     got = class_lm.scores(edge_docs, clustered_words=40, lookup=25, rounds=3).collect()
     assert len(got) == len(edge_rows)

@@ -9,13 +9,15 @@ token a text, which is also the context of the first word.
 - Bigrams of clustered words and rare classes are counted once over all training texts and gathered into one
   row for each clustered word, which holds a number for each left and right neighbour at most. Exchange
   rounds work on these rows: every word finds the class that raises the likelihood of the class bigrams most,
-  half of the words a round move, a round that doesn't help is undone. Rows are dealt to tasks; the driver
-  holds the classes and the class-by-class counts.
+  half of the words a round move; a round that doesn't help is undone, and fewer words move at once from then
+  on. It ends when a turn of all words raises the likelihood by less than ``SHARE``. Rows are dealt to tasks; the
+  driver holds the classes and the class-by-class counts.
 - Scoring looks words up in a table of the ``LOOKUP`` most frequent words, sent to the tasks, and joins all
   other words with the counts.
 
 Defined results: null counts as empty (one end token); null doc_ids count as empty text for the training
-split; repeated rows give repeated results. Other columns are not read.
+split; repeated rows give repeated results; words of equal counts at the border of the clustered ones are taken by
+their hashes; an empty table gives no rows; texts are counted and scored whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ from slideqa.llm.text import flat, slices, words
 CLUSTERED, CLASSES, RARE = 8192, 48, 16
 #: Words sent to the scoring tasks: 16 bytes each.
 LOOKUP = 400_000
-ROUNDS = 6
+#: Exchange ends when a turn of all words raises the likelihood by less than this share of it.
+SHARE = 0.001
+#: Parts that words are moved in at first, and at most: parts are halved where a move of one doesn't help.
+PARTS, MOST_PARTS = 2, 8
 #: Weight of class frequencies against class transitions.
 PRIOR = 1.0
 
@@ -50,16 +55,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (ascending) and counts of all words of at least some count, ``limit`` words at most; that count."""
+def most_frequent(counts: DataFrame, limit: int, ties: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes (ascending) and counts of all words of at least some count, ``limit`` words at most; that count. ties:
+    of the words of the next count those of the smallest hashes fill the limit up."""
     tops = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(limit + 1).toArrow()
     n, sizes = tops["n"].to_numpy(), tops["words"].to_numpy()
     fit = int(np.searchsorted(np.cumsum(sizes), limit, "right"))
     least = int(n[fit - 1]) if fit else (int(n[0]) + 1 if len(n) else 1)
     got = counts.where(F.col("n") >= least).toArrow()
-    h = got["h"].to_numpy().view(np.uint64)
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    if ties and fit < len(sizes) and len(h) < limit:
+        more = counts.where(F.col("n") == int(tops["n"][fit].as_py())).orderBy("h").limit(limit - len(h)).toArrow()
+        h, n = np.concatenate([h, more["h"].to_numpy().view(np.uint64)]), np.concatenate([n, more["n"].to_numpy()])
     order = np.argsort(h)
-    return h[order], got["n"].to_numpy()[order], least
+    return h[order], n[order], least
 
 
 class Vocabulary(NamedTuple):
@@ -137,7 +146,7 @@ def best_class(own: int, left: np.ndarray, right: np.ndarray, itself: float, m:
     return best, float(gain[best] - gain[own])
 
 
-def _exchange(classes: np.ndarray, m: np.ndarray, turn: int):
+def _exchange(classes: np.ndarray, m: np.ndarray, part: int, parts: int):
     """Rows (word, left ids and counts, right ids and counts) to (word, class) for the words whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +154,7 @@ def _exchange(classes: np.ndarray, m: np.ndarray, turn: int):
             out = []
             for row in batch.to_pylist():
                 w = row["word"]
-                if w % 2 == turn % 2:
+                if w % parts == part:
                     left = class_counts(np.array(row["left_n"], float), np.array(row["left"], np.int64), classes, len(m))
                     right = class_counts(np.array(row["right_n"], float), np.array(row["right"], np.int64), classes, len(m))
                     itself = float(dict(zip(row["right"], row["right_n"], strict=True)).get(w, 0))
@@ -196,7 +205,7 @@ class Model(NamedTuple):
     likelihoods: list[float]
 
 
-def clustered(bigrams: DataFrame, order: np.ndarray, n_words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def clustered(bigrams: DataFrame, order: np.ndarray, n_words: int, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Classes by exchange, from frequency ranks; the class bigram counts; the likelihood after each round."""
     k = CLASSES + RARE + 1
     classes = np.concatenate([np.zeros(n_words, np.int64), CLASSES + np.arange(RARE + 1)])
@@ -209,26 +218,33 @@ def clustered(bigrams: DataFrame, order: np.ndarray, n_words: int, rounds: int =
     both = left.join(right, "word").select("word", F.col("l.o").alias("left"), F.col("l.n").alias("left_n"), F.col("r.o").alias("right"), F.col("r.n").alias("right_n"))
     both = Saved(both, "neighbours")
     spread = both.df.repartition(int(bigrams.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    for turn in range(rounds):
-        moves = spread.mapInArrow(_exchange(classes, m, turn), "word long, class long").toArrow()
+    part, parts, rises = 0, PARTS, []
+    while len(rises) < parts or sum(rises[-parts:]) > share * abs(values[-1]):
+        moves = spread.mapInArrow(_exchange(classes, m, part, parts), "word long, class long").toArrow()
         new = classes.copy()
         new[moves["word"].to_numpy()] = moves["class"].to_numpy()
-        tried = class_matrix(bigrams, new, k)
-        if likelihood(tried) > values[-1]:
+        tried = class_matrix(bigrams, new, k) if moves.num_rows else m
+        rise = likelihood(tried) - values[-1]
+        if rise > 0:
             classes, m = new, tried
+        elif moves.num_rows and parts < MOST_PARTS:
+            # words that moved at once were in each other's way: fewer of them move in a turn from now on
+            part, parts, rises = part - 1, 2 * parts, []
+        rises.append(max(0.0, rise))
         values.append(likelihood(m))
+        part = (part + 1) % parts
     both.drop()
     return classes, m, values
 
 
-def trained(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, rounds: int = ROUNDS) -> Model:
+def trained(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, share: float = SHARE) -> Model:
     """docs: text of the training texts; counts: their words (h, n)."""
     n_docs = docs.count()
-    hashes, n, _ = most_frequent(counts, clustered_words)
+    hashes, n, _ = most_frequent(counts, clustered_words, ties=True)
     vocabulary = Vocabulary(hashes)
     bigrams = docs.mapInArrow(_bigrams(vocabulary), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
     bigrams = Saved(bigrams, "bigrams")
-    classes, m, values = clustered(bigrams.df, np.lexsort((hashes, -n)), len(hashes), rounds)
+    classes, m, values = clustered(bigrams.df, np.lexsort((hashes, -n)), len(hashes), share)
     bigrams.drop()
     k = len(m)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -280,7 +296,7 @@ def _scored(model: Model):
     return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs. The model
     learns from the texts that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -9,18 +9,21 @@ language, or of its script where the language is unknown. Entropy is judged from
 Everything is one pass without a shuffle; a worker remembers the tokens of words in a table of bounded size.
 
 Defined results: null and empty texts have no words and fail the base rules. Rows are judged one by one,
-so repeated rows give repeated results. Columns of the same names as the measures are not read.
+so repeated rows give repeated results; an empty table gives no rows; texts are measured whole. Columns of the same
+names as the measures are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slideqa.llm.tables import table
 from slideqa.llm.text import SPACED, Words, flat, lean, slices, windows, words
@@ -36,8 +39,9 @@ class Band(NamedTuple):
 
 
 #: Characters per token, byte-fallback share and entropy. The curves of the four languages were fitted by
-#: least squares to documents labelled as good; a text may fall short by MARGIN + SPREAD / sqrt(tokens)
-#: bits, more than any good one does. Scripts, for unknown languages, have wide bands.
+#: ``fitted_curves`` to documents labelled as good; a text may fall short by MARGIN + SPREAD / sqrt(tokens)
+#: bits, more than any good one does. Scripts, for unknown languages, have wide bands. Bands hold for VOCABULARY;
+#: another one needs bands fitted with it.
 BANDS: dict[str, Band] = {
     "en": Band(1.3, 7.0, 0.10, (-0.049, 1.149, 0.189)),
     "de": Band(1.3, 7.0, 0.10, (-0.043, 1.009, 0.833)),
@@ -53,8 +57,6 @@ MIN_WORDS, MAX_REPEAT = 10, 20
 WINDOW = 5
 #: Words that a worker remembers: later stages share its memory.
 REMEMBERED = 400_000
-#: Ids of the byte-fallback tokens of the vocabulary.
-BYTE_IDS = (3, 258)
 VOCABULARY = "piece_bpe_32k.model"
 
 _SYMBOL = np.zeros(256, bool)
@@ -64,15 +66,29 @@ _SPACE = " \t\n\r\x0b\x0c"
 
 
 @cache
-def _encoder(path: str):
+def _encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
+    """Words to ids by a sentencepiece model or a tiktoken rank file, and which ids stand for a byte of a character
+    that the vocabulary lacks."""
+    if path.endswith(".tiktoken"):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        coder = tiktoken.Encoding("quality", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        single = np.zeros(max(ranks.values()) + 1, bool)
+        single[[i for token, i in ranks.items() if len(token) == 1 and token[0] >= 0x80]] = True
+        return lambda found: coder.encode_ordinary_batch(found, num_threads=1), single
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    single = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+    return lambda found: model.encode(found, num_threads=1), single
 
 
 @cache
 def _remembered(path: str) -> WordCache:
-    return WordCache(lambda found: _encoder(path).encode([w.decode() for w in found], num_threads=1), np.uint16, REMEMBERED)
+    return WordCache(lambda found: _encoder(path)[0]([w.decode() for w in found]), np.uint16, REMEMBERED)
 
 
 def text_tokens(data: np.ndarray, w: Words, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +170,7 @@ def _judged(path: str, bands: dict[str, Band]):
                 symbols = sums[offsets[1:]] - sums[offsets[:-1]]
                 ids, docs = text_tokens(data, w, path)
                 tokens = np.bincount(docs, minlength=n_docs)
-                in_bytes = np.bincount(docs, (ids >= BYTE_IDS[0]) & (ids <= BYTE_IDS[1]), n_docs)
+                in_bytes = np.bincount(docs, _encoder(path)[1][ids], n_docs)
                 per_token, share = chars / np.maximum(1, tokens), in_bytes / np.maximum(1, tokens)
                 entropy = entropies(ids, docs, n_docs)
                 langs = part.column(2).to_pylist()
@@ -186,11 +202,34 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return rows.mapInArrow(lean(_judged(path or vocabulary_path(), bands or BANDS)), f"doc_id long, {FIELDS}")
 
 
-def _filtered(path: str, bands: dict, at: tuple[int, int, int]):
+def fitted_curves(labelled: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """The entropy curve of each language by least squares. labelled: lang, n_tokens, entropy of documents labelled
+    as good. Spark adds up the normal equations, nine sums a language; languages of fewer than three lengths are
+    left out."""
+    x = F.log2(F.col("n_tokens").cast("double"))
+    rows = labelled.where(F.col("n_tokens") >= MIN_TOKENS).withColumn("x", x)
+    sums = [F.sum(F.pow("x", F.lit(k))).alias(f"x{k}") for k in range(5)] + [F.sum(F.col("entropy") * F.pow("x", F.lit(k))).alias(f"y{k}") for k in range(3)]
+    out = {}
+    for r in rows.groupBy("lang").agg(F.count_distinct("n_tokens").alias("lengths"), *sums).where("lengths >= 3").collect():
+        a = np.array([[r[f"x{i + j}"] for j in (2, 1, 0)] for i in (2, 1, 0)])
+        out[r.lang] = tuple(np.linalg.solve(a, [r.y2, r.y1, r.y0]).tolist())
+    return out
+
+
+def band_report(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: of documents that pass the base rules, how many are labelled good and bad, and the shares of either
+    that the bands reject. rows: doc_id, base_failed, kept; labels: doc_id, quality (1 is good)."""
+    both = rows.where("not base_failed").join(labels, "doc_id")
+    good, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)
+    lost, caught = F.count_if((F.col("quality") == 1) & ~F.col("kept")), F.count_if((F.col("quality") == 0) & ~F.col("kept"))
+    return both.agg(good.alias("good"), bad.alias("bad"), F.try_divide(lost, good).alias("good_rejected"), F.try_divide(caught, bad).alias("bad_rejected"))
+
+
+def _filtered(path: str, bands: dict, at: tuple[int, int | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = _judged(path, bands)
         for batch in batches:
-            three = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at[0]).cast(pa.string()), batch.column(at[1]).cast(pa.string())], ["doc_id", "text", "lang"])
+            three = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at[0]).cast(pa.string()), pa.nulls(batch.num_rows, pa.string()) if at[1] is None else batch.column(at[1]).cast(pa.string())], ["doc_id", "text", "lang"])
             row = 0
             for got in measure(iter([three])):
                 keep = got.column(got.schema.get_field_index("kept"))
@@ -201,8 +240,8 @@ def _filtered(path: str, bands: dict, at: tuple[int, int, int]):
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, bands: dict | None = None) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    at = (docs.columns.index(text_col), docs.columns.index(lang_col), 0)
+    """The rows of docs that are kept, with all their columns. Without a language column scripts decide."""
+    at = (docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None)
     return docs.mapInArrow(lean(_filtered(path or vocabulary_path(), bands or BANDS, at)), docs.schema)
 
 

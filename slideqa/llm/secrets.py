@@ -5,11 +5,12 @@ the candidate and its surroundings as bytes (an embedding, a convolution, rectif
 mean, one logistic output). A long candidate is seen in overlapping windows to its end, each with what stands
 around it, and has the highest of their probabilities. The network is trained in numpy on labelled findings: made ones of common shapes, and a
 bounded sample of the corpus' candidates that a pattern found. What no pattern found has no label and isn't
-learned from. A held-out part calibrates the output (Platt) and sets the highest threshold that keeps the
-wanted recall of findings; made secrets without a candidate count as missed. The text is read once; candidates and pattern spans are kept in a table, and the trained network judges those.
+learned from. A second part of the made ones calibrates the output (Platt) and sets the highest threshold that keeps
+the wanted recall, a third measures it; made secrets without a candidate count as missed. The text is read once; candidates and pattern spans are kept in a table, and the trained network judges those.
 
 Defined results: null counts as empty; spans are code points, end exclusive; rows are scanned one by one, so
-repeated rows give repeated results. Other columns are not read.
+repeated rows give repeated results; an empty table gives no rows; texts and candidates are seen to their end.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,6 +60,8 @@ class Network(NamedTuple):
     slope: float = 1.0
     shift: float = 0.0
     threshold: float = 1.1
+    #: Share of secrets found among made findings that neither training, calibration nor the threshold have seen.
+    recall: float = 0.0
 
 
 CHANNELS, SPAN, FILTERS = 8, 5, 24
@@ -197,38 +200,47 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [d_embedding, np.einsum("npc,npf->cf", cols, d_z), d_z.sum((0, 1)), pooled.T @ d, d.sum(keepdims=True)[0:1]]
 
 
-def trained(windows: list[bytes], labels: list[bool], recall: float = RECALL, epochs: int = 12, missed: int = 0, of: list[int] | None = None) -> Network:
-    """Fits the network on four fifths and calibrates it and its threshold on the last. missed: secrets without
-    a window, of which as large a part counts for the threshold. of: the finding (0, 1, ...) of each window, if
-    findings have several: they stay together, and a secret is found by its best window."""
+def trained(windows: list[bytes], labels: list[bool], recall: float = RECALL, epochs: int = 12, missed: int = 0, of: list[int] | None = None, more: list[bytes] | None = None) -> Network:
+    """Fits the network on three fifths of the findings, calibrates it and its threshold on the fourth, and measures
+    its recall on the last. missed: secrets without a window, of which as large a part counts for the threshold and
+    the recall. of: the finding (0, 1, ...) of each window, if findings have several: they stay together, and a
+    secret is found by its best window. more: windows of further secrets, to fit on alone."""
     r = np.random.Generator(np.random.PCG64(SEED))
     x, y, of = _inputs(windows), np.array(labels, float), np.arange(len(labels)) if of is None else np.array(of)
     n = int(of.max()) + 1 if len(of) else 0
     place = np.argsort(r.permutation(n))[of]
     order = np.argsort(place, kind="stable")
     x, y, of, place = x[order], y[order], of[order], place[order]
-    cut = int(np.searchsorted(place, n * 4 // 5))
+    cut, end = np.searchsorted(place, [n * 3 // 5, n * 4 // 5]).tolist()
+    fit_x, fit_y = (np.concatenate([x[:cut], _inputs(more)]), np.concatenate([y[:cut], np.ones(len(more))])) if more else (x[:cut], y[:cut])
     net = [r.normal(0, 0.3, (256, CHANNELS)), r.normal(0, 0.2, ((CHANNELS + 1) * SPAN, FILTERS)), np.zeros(FILTERS), r.normal(0, 0.2, 2 * FILTERS), np.zeros(1)]
     first, second, step = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net], 0
-    for _ in range(max(epochs, -(-LEAST_STEPS // max(1, -(-cut // 64))))):
-        mixed = r.permutation(cut)
-        for i in range(0, cut, 64):
+    for _ in range(max(epochs, -(-LEAST_STEPS // max(1, -(-len(fit_y) // 64))))):
+        mixed = r.permutation(len(fit_y))
+        for i in range(0, len(fit_y), 64):
             step += 1
-            for p, g, m, v in zip(net, _gradients(Network(*net), x[mixed[i : i + 64]], y[mixed[i : i + 64]]), first, second, strict=True):
+            for p, g, m, v in zip(net, _gradients(Network(*net), fit_x[mixed[i : i + 64]], fit_y[mixed[i : i + 64]]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.004 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     logit = np.concatenate([_forward(Network(*net), x[i : i + 512])[-1] for i in range(cut, len(y), 512)] or [np.zeros(0)])
-    a, b, held = 1.0, 0.0, y[cut:]
+    a, b, own = 1.0, 0.0, logit[: end - cut]
     for _ in range(300):
-        e = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))) - held
-        a, b = a - 0.1 * float((e * logit).mean() if len(e) else 0), b - 0.1 * float(e.mean() if len(e) else 0)
-    fitted = Network(*net, slope=a, shift=b)
+        e = 1 / (1 + np.exp(-np.clip(a * own + b, -30, 30))) - y[cut:end]
+        a, b = a - 0.1 * float((e * own).mean() if len(e) else 0), b - 0.1 * float(e.mean() if len(e) else 0)
     best = np.full(n, -1.0)
     np.maximum.at(best, of[cut:], 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30))))
-    good = np.sort(best[np.unique(of[cut:][held == 1])])
-    good = np.concatenate([np.zeros(round(missed * len(good) / max(1, len(np.unique(of[y == 1]))))), good])
-    return fitted._replace(threshold=float(good[int((1 - recall) * len(good))]) if len(good) else 1.1)
+
+    def found(part: slice) -> np.ndarray:
+        """Ascending probabilities of the secrets of a part; missed ones have none."""
+        good = np.sort(best[np.unique(of[part][y[part] == 1])])
+        return np.concatenate([np.zeros(round(missed * len(good) / max(1, len(np.unique(of[y == 1]))))), good])
+
+    good, last = found(slice(cut, end)), found(slice(end, None))
+    if not len(good):
+        return Network(*net, slope=a, shift=b)
+    threshold = float(good[int((1 - recall) * len(good))])
+    return Network(*net, slope=a, shift=b, threshold=threshold, recall=float((last >= threshold).mean()) if len(last) else 0.0)
 
 
 STEMS = "inter trans over under contra multi auto electro photo micro hydro geo psycho respons possib character commun govern environ develop present represent organ admin temper constitu instru inform circum philo techno verant gesell wissen schaft bundes haupt arbeit geschwind versicher unter zusammen recht staat verwalt entwick gouverne etabl develop conse particul carac recono respons desarr conoc estable".split()
@@ -294,14 +306,14 @@ def made_findings(n: int = MADE, seed: int = SEED) -> tuple[list[bytes], list[bo
 
 def fitted_network(candidates: DataFrame, sample: int = SAMPLE) -> Network:
     """candidates: window, known, within. At most ``sample`` distinct windows that a pattern found join the made
-    findings: those of the smallest hashes, so the choice doesn't depend on how rows are dealt out."""
+    findings in training alone: those of the smallest hashes, so the choice doesn't depend on how rows are dealt out.
+    Calibration, threshold and recall rest on made findings, whose labels no pattern gave."""
     windows, labels, of, missed = _made(MADE, SEED)
     at = F.explode(F.sequence(F.lit(1), F.length("within"))).alias("at")
     rows = candidates.where("known").select("window", "within", at).where(F.substring("within", F.col("at"), 1) == F.lit(b"\1"))
     rows = rows.select(F.substring("window", (F.col("at") - 1) * WIDTH + 1, F.lit(WIDTH)).alias("window")).distinct()
     rows = rows.orderBy(F.xxhash64("window"), "window").limit(sample).collect()
-    more = range(of[-1] + 1, of[-1] + 1 + len(rows))
-    return trained(windows + [bytes(r.window) for r in rows], labels + [True] * len(rows), missed=missed, of=[*of, *more])
+    return trained(windows, labels, missed=missed, of=of, more=[bytes(r.window) for r in rows])
 
 
 def _joined_spans(net: Network, spans: list, candidates: list) -> list[tuple[int, int, int]]:

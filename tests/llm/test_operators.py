@@ -14,10 +14,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from slideqa.llm import bpe, class_lm, decontaminate, licenses, near_dup, quality, secrets, token_file, url_filter, warc
-from slideqa.llm.tables import new_path, shared_folder
-from slideqa.llm.text import Words
+from slideqa.llm.tables import Saved, new_path, shared_folder
+from slideqa.llm.text import Words, flat, words
 from slideqa.llm.word_cache import WordCache
 from tests.llm.test_dedup import LOWER, shingle_tuples, thue_morse
 
@@ -107,12 +108,34 @@ def test_quality(edge_docs, edge_rows, no_docs):
             ids = [i for w in re.findall(WORD, t or "") for i in sp.encode(w)]
             p = [c / len(ids) for c in collections.Counter(ids).values()]
             assert r.n_tokens == len(ids) and r.entropy == pytest.approx(-sum(x * math.log2(x) for x in p), abs=1e-9)
+    without = quality.good_documents(edge_docs.drop("lang"))
+    assert "lang" not in without.columns and without.count() > 3
     kept = quality.good_documents(edge_docs)
     assert kept.columns == edge_docs.columns
     assert kept.count() == sum(r.kept for rs in got.values() for r in rs)
     assert quality.judged(no_docs).count() == 0 and quality.good_documents(no_docs).count() == 0
 
 
+def test_other_vocabulary(spark, edge_docs, edge_rows):
+    """The same measures by a tiktoken vocabulary."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encode, single = quality._encoder(path)
+    got = by_id(quality.judged(edge_docs, path=path).collect())
+    for d, t, *_ in edge_rows[:30]:
+        ids = [i for w in encode(re.findall(WORD, t or "")) for i in w]
+        assert got[d][0].n_tokens == len(ids) and got[d][0].byte_share == pytest.approx(single[ids].mean() if ids else 0)
+    assert quality._encoder(quality.vocabulary_path())[1].nonzero()[0].tolist() == list(range(3, 259))
+
+
+def test_fitted_curves(spark):
+    r = random.Random(3)
+    rows = [(lang, n, a * math.log2(n) ** 2 + b * math.log2(n) + c) for lang, (a, b, c) in {"en": (-0.05, 1.1, 0.2), "xx": (-0.02, 0.9, 0.5)}.items() for n in r.sample(range(60, 5000), 50)]
+    got = quality.fitted_curves(spark.createDataFrame([*rows, ("one", 100, 5.0), ("en", 10, 99.0)], "lang string, n_tokens long, entropy double"))
+    assert got["en"] == pytest.approx((-0.05, 1.1, 0.2), abs=1e-6) and got["xx"] == pytest.approx((-0.02, 0.9, 0.5), abs=1e-6) and set(got) == {"en", "xx"}
+
+
 def brute_spans(text):
     out = [(*m.span(), 0) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [(*m.span(), 1) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
@@ -150,6 +173,7 @@ def test_network_learns():
     taken = secrets.probabilities(net, more) >= net.threshold
     known = np.array(known)
     assert taken[known].mean() > 0.9 and taken[~known].mean() < 0.1
+    assert net.recall > 0.9
 
 
 def test_secrets_that_patterns_lack(spark):
@@ -266,7 +290,7 @@ def test_warc_of_very_long_pages(spark):
 
 
 def test_class_model(edge_docs, edge_rows, no_docs):
-    got = class_lm.scores(edge_docs, clustered_words=40, lookup=25, rounds=3).collect()
+    got = class_lm.scores(edge_docs, clustered_words=40, lookup=25).collect()
     assert len(got) == len(edge_rows)
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
     sets = [(d, [*re.findall(WORD, (t or "").translate(LOWER)), "\n"]) for d, t, *_ in edge_rows]
@@ -304,6 +328,48 @@ def test_exchange_gain():
         assert gain == pytest.approx(class_lm.likelihood(matrix(moved)) - class_lm.likelihood(m), abs=1e-6)
 
 
+def test_exchange_converges(spark):
+    """The likelihood never falls, and where it ended no further turn would raise it by the stated share."""
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["a", "b", "c"]) + str(r.randrange(60)) for _ in range(80)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text")
+    counts = Saved(docs.mapInArrow(class_lm._counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    model = class_lm.trained(docs, counts.df, clustered_words=100, lookup=50)
+    v = model.likelihoods
+    assert len(model.vocabulary.hashes) == 100 and all(b >= a for a, b in zip(v, v[1:], strict=False)) and len(v) > 3
+    assert v[-1] - v[-1 - class_lm.PARTS] < class_lm.SHARE * abs(v[-1])
+
+
+def test_class_score_against_plain_version(spark):
+    """Score of each text from the model's classes and plain counts, token by token."""
+    r = random.Random(13)
+    texts = [" ".join(f"w{int(r.expovariate(0.1))}" for _ in range(r.randrange(0, 40))) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in class_lm.scores(rows, clustered_words=12, lookup=8).collect()}
+    train = [t for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 5 != 1]
+    docs = rows.where(~class_lm.held_out(F.col("doc_id"))).select("text")
+    counts = Saved(docs.mapInArrow(class_lm._counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    model = class_lm.trained(docs, counts.df, clustered_words=12, lookup=8)
+    number = lambda w: model.vocabulary.end if w is None else int(model.vocabulary.numbers(words_of(w))[0])
+    words_of = lambda w: words(*flat(pa.array([w]))).hash
+    every = collections.Counter(w for t in train for w in [*t.split(), None])
+    of = {w: int(model.classes[number(w)]) for t in texts for w in [*t.split(), None]}
+    k = class_lm.CLASSES + class_lm.RARE + 1
+    m, tokens, kinds = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in train:
+        seq = [None, *t.split(), None]
+        for a, b in zip(seq, seq[1:], strict=False):
+            m[of[a], of[b]] += 1
+    for w, n in every.items():
+        tokens[of[w]] += n
+        kinds[of[w]] += 1
+    prior = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * k)
+    for d, t in enumerate(texts):
+        seq = [None, *t.split(), None]
+        want = sum(math.log10((m[of[a], of[b]] + class_lm.PRIOR * k * prior[of[b]]) / (m[of[a]].sum() + class_lm.PRIOR * k)) + math.log10((every[b] + 0.5) / (tokens[of[b]] + 0.5 * (kinds[of[b]] + 1))) for a, b in zip(seq, seq[1:], strict=False))
+        assert got[d] == pytest.approx(want, abs=1e-6)
+
+
 def test_class_model_beats_unigrams(spark):
     """Held-out texts of a made language with classes score better than by word frequencies."""
     r = random.Random(2)

@@ -13,7 +13,8 @@ pre-token a BPE result is characterised by its adjacent pairs, and sharing a tok
 Leaves go to tiktoken, which holds the same vocabulary and is several times faster; texts with characters
 beyond Latin letters and printed ASCII go to the tokenizers library, in one piece or in leaves likewise.
 
-Defined results: null counts as empty; repeated rows give repeated results. Other columns are not read.
+Defined results: null counts as empty, and an empty text has no ids; repeated rows give repeated results; an empty
+table gives an empty one; texts of any length are encoded whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slideqa.llm.tables import table
-from slideqa.llm.text import slices
+from slideqa.llm.text import lean, slices
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END, END_ID = "<|endoftext|>", 50256
@@ -154,28 +155,33 @@ def coder(vocabulary: str, ranks: str) -> Coder:
     return Coder(vocabulary, ranks)
 
 
-def _encoded(where: tuple[str, str], leaf: int):
-    """The text in column 1 becomes its ids, little-endian unsigned 32-bit; the other columns stay."""
+def _encoded(where: tuple[str, str], leaf: int, back: bool = False):
+    """The text in column 1 becomes its ids, little-endian unsigned 32-bit, and what they decode to if ``back``;
+    the other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(*where)
         for batch in batches:
             for part in slices(batch):
-                ids = [c.encode(t or "", leaf).astype("<u4").tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), *part.columns[2:]], ["doc_id", "ids", *part.schema.names[2:]])
+                ids = [c.encode(t or "", leaf) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *_columns(c, ids, back), *part.columns[2:]], ["doc_id", "ids", *["text"][: int(back)], *part.schema.names[2:]])
 
     return run
 
 
-def _joined(where: tuple[str, str]):
+def _columns(c: Coder, ids: list[np.ndarray], back: bool) -> list[pa.Array]:
+    out = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+    return [*out, pa.array([c.decode(x) for x in ids], pa.string())] if back else out
+
+
+def _joined(where: tuple[str, str], back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(*where)
         for batch in batches:
-            out = []
             for k in range(batch.num_rows):
                 segments = sorted(batch.column(1)[k].as_py(), key=lambda x: x["segment"])
-                out.append(c.tree([s["part"].encode() for s in segments], [np.frombuffer(s["ids"], "<u4") for s in segments]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "ids", "copies"])
+                ids = c.tree([s["part"].encode() for s in segments], [np.frombuffer(s["ids"], "<u4") for s in segments])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], *_columns(c, [ids], back), batch.column(2)[k : k + 1]], ["doc_id", "ids", *["text"][: int(back)], "copies"])
 
     return run
 
@@ -192,26 +198,28 @@ def _decoded(where: tuple[str, str]):
     return run
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", where: tuple[str, str] | None = None, leaf: int = LEAF, segment: int = SEGMENT) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers): a row per row of docs."""
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", where: tuple[str, str] | None = None, leaf: int = LEAF, segment: int = SEGMENT, back: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers): a row per row of docs. back: also text, what
+    the ids decode to, so that a task needs one Python worker for both."""
     where = where or paths()
+    text = ", text string" if back else ""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     is_long = F.length("text") > segment
-    short = rows.where(~is_long).mapInArrow(_encoded(where, leaf), "doc_id long, ids binary")
+    short = rows.where(~is_long).mapInArrow(lean(_encoded(where, leaf, back)), f"doc_id long, ids binary{text}")
     parts = rows.where(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text", F.explode(F.expr(f"sequence(0, (length(text) - 1) div {segment})")).alias("segment"))
     parts = parts.select("doc_id", F.substring("text", F.col("segment") * segment + 1, F.lit(segment)).alias("part"), "key", "segment")
     one = parts.groupBy("doc_id", "key", "segment", "part").agg(F.count("*").alias("copies"))
     one = one.select("doc_id", F.col("part").alias("text"), "part", "key", "segment", "copies")
-    done = one.mapInArrow(_encoded(where, leaf), "doc_id long, ids binary, part string, key string, segment long, copies long")
+    done = one.mapInArrow(lean(_encoded(where, leaf)), "doc_id long, ids binary, part string, key string, segment long, copies long")
     texts = done.groupBy("doc_id", "key").agg(F.collect_list(F.struct("segment", "part", "ids")).alias("segments"), F.max("copies").alias("copies"))
-    long = texts.select("doc_id", "segments", "copies").mapInArrow(_joined(where), "doc_id long, ids binary, copies long")
-    long = long.select("doc_id", "ids", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("doc_id", "ids")
+    long = texts.select("doc_id", "segments", "copies").mapInArrow(lean(_joined(where, back)), f"doc_id long, ids binary{text}, copies long")
+    long = long.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copies", "copy")
     return short.unionByName(long)
 
 
 def decoded(ids: DataFrame, where: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, ids, text: the text that the ids stand for."""
-    return ids.select("doc_id", "ids").mapInArrow(_decoded(where or paths()), "doc_id long, ids binary, text string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(_decoded(where or paths())), "doc_id long, ids binary, text string")
 
 
 def digests(ids: Column, text: Column) -> list[Column]:
@@ -219,5 +227,5 @@ def digests(ids: Column, text: Column) -> list[Column]:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decoded(encoded(table(spark, sf_dir, "documents")))
+    both = encoded(table(spark, sf_dir, "documents"), back=True)
     return both.select("doc_id", *digests(F.col("ids"), F.col("text")))

@@ -7,38 +7,50 @@ lacks (each lacking shingle can take away one signature member at most). So the
 and the long document side is only probed, never sketched. Candidates are verified by the exact shingles,
 as strings. All of it is DataFrame functions.
 
-Defined results: words are `[^\\x20\\x09-\\x0D]+` of the lower-cased text; with fewer than five words the
-whole sequence is the one shingle; null or word-less texts hold none and match nothing. Rows with the same
-doc_id (or item_id) are one document (item); rows without an id are not reported. Other columns are not read.
+Defined results: words are `[^\\x20\\x09-\\x0D]+` of the text with all letters in lower case, not A-Z alone; with
+fewer than five words the whole sequence is the one shingle, so such an item is found as a whole text only, not
+inside others; null or word-less texts hold none and match nothing. Rows with the same doc_id (or item_id) are one
+document (item); rows without an id are not reported, but clean_documents judges them by their text. Empty tables
+give no rows. Texts are never cut. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slideqa.llm.tables import Saved, table
 
-PERCENT = 75
+PERCENT, SHINGLE = 75, 5
 #: Signature members beyond the least number: more of them must be hit, so fewer false candidates arise.
 SPARE = 4
 #: Rows up to which a side is broadcast: about 40 MB of hashes or 200 MB of shingle strings at most.
 BROADCAST_ROWS = 1_000_000
 
 
-def _five(text: Column) -> Column:
-    """Array of (a, b, c, d, e): the words of each 5-word window; of a shorter text all words in a."""
-    w = F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
-    n = F.size(w)
-    parts = [F.slice(w, F.lit(i), F.greatest(n - 4, F.lit(0))).alias(c) for i, c in enumerate("abcde", 1)]
-    short = F.array(F.struct(F.array_join(w, " ").alias("a"), *[F.lit(None).cast("string").alias(c) for c in "bcde"]))
-    kind = "array<struct<a:string,b:string,c:string,d:string,e:string>>"
-    return F.when(n >= 5, F.arrays_zip(*parts).cast(kind)).when(n > 0, short.cast(kind))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text.cast("string")), r"[\x20\x09-\x0D]+"), "")
+
+
+def _windows(w: Column, of: Callable[[list[Column]], Column]) -> Column:
+    """``of`` the words of each 5-word window; of a shorter text all words in one string, then nulls."""
+    short = F.array(of([F.array_join(w, " "), *[F.lit(None).cast("string")] * (SHINGLE - 1)]))
+    every = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(0))), lambda x, i: of([x, *(F.get(w, i + k) for k in range(1, SHINGLE))]))
+    return F.when(F.size(w) >= SHINGLE, every).when(F.size(w) > 0, short)
+
+
+def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h: the hashes of a text's shingles, repeated ones included."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _words(F.col(text_col)).alias("w"))
+    return rows.select("id", F.explode(_windows(F.col("w"), lambda ws: F.xxhash64(*ws))).alias("h"))
 
 
-def _shingles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.inline(_five(F.col(text_col).cast("string"))))
-    return rows.select("id", F.xxhash64("a", "b", "c", "d", "e").alias("h"), *"abcde")
+def _grams(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h, gram: hashes and words of a text's shingles."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), _words(F.col(text_col)).alias("w"))
+    return rows.select("id", F.inline(_windows(F.col("w"), lambda ws: F.struct(F.xxhash64(*ws).alias("h"), F.concat_ws(" ", *ws).alias("gram")))))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -48,8 +60,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, n_item (the item's shingles), n_shared (those in the document), containment: a row
     for each pair with 100 * n_shared >= percent * n_item."""
-    words = F.concat_ws(" ", *"abcde")
-    grams = Saved(_shingles(items, item_id, item_text).select(F.col("id").alias("item_id"), "h", words.alias("gram")).distinct(), "items")
+    grams = Saved(_grams(items, item_id, item_text).withColumnRenamed("id", "item_id").distinct(), "items")
     sizes = grams.df.groupBy("item_id").agg(F.count("*").alias("n_item"))
     # size partitions: `upper` is the largest size of the item's partition
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("n_item"))).cast("long")
@@ -59,23 +70,34 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     signatures = Saved(members.select("item_id", "n_item", "hits", F.explode(F.slice("hs", F.lit(1), F.col("length").cast("int"))).alias("h")), "signatures")
     n_signatures, n_grams = signatures.df.count(), grams.df.count()
 
-    probes = _shingles(docs, doc_id, doc_text).select(F.col("id").alias("doc_id"), "h")
+    probes = _hashed(docs, doc_id, doc_text).withColumnRenamed("id", "doc_id")
     met = probes.join(_small(signatures.df, n_signatures), "h").groupBy("doc_id", "item_id", "n_item", "hits").agg(F.count_distinct("h").alias("found"))
     candidates = Saved(met.where("found >= hits").select("doc_id", "item_id", "n_item"), "candidates")
 
     n_candidates = candidates.df.count()
     ids = candidates.df.select(F.col("doc_id").alias("id")).distinct()
     some = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("text")).join(_small(ids, n_candidates), "id", "left_semi")
-    held = _shingles(some, "id", "text").select(F.col("id").alias("doc_id"), words.alias("gram"))
+    held = _grams(some, "id", "text").select(F.col("id").alias("doc_id"), "gram")
     shared = held.join(_small(grams.df.select("item_id", "gram").distinct(), n_grams), "gram").join(_small(candidates.df, n_candidates), ["doc_id", "item_id"])
     counted = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("gram").alias("n_shared"))
-    return counted.where(f"100 * n_shared >= {percent} * n_item").select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    shared = counted.where(f"100 * n_shared >= {percent} * n_item").select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    out = Saved(shared, "contained")
+    for x in (grams, signatures, candidates):
+        x.drop()
+    return out.df
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without those that contain an item; their columns and rows otherwise as they are."""
-    hit = Saved(contained_items(docs, items, percent=percent).select("doc_id").distinct(), "leaks")
-    return docs.join(_small(hit.df, hit.df.count()), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that contain an item; their columns and rows otherwise as they are. All rows of a doc_id
+    go if one of them does; rows without a doc_id are judged by their own text."""
+    hit = contained_items(docs, items, percent=percent).select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(_small(hit, hit.count()), "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return named
+    by_text = nameless.select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = contained_items(by_text, items, percent=percent).select(F.col("doc_id").alias("of_text")).distinct()
+    return named.unionByName(nameless.join(_small(hit, hit.count()), F.xxhash64("text") == F.col("of_text"), "left_anti").select(*docs.columns))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

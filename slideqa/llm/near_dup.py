@@ -48,7 +48,7 @@ EMPTY = 0xFFFF
 #: Standard errors that the estimate may fall below the threshold before a candidate is dropped.
 SLACK = 4.5
 #: Shingles of a block, on average; a single larger set is a block of its own. Small blocks keep tasks alike.
-BLOCK = 20_000
+BLOCK = 50_000
 #: What a small set counts at least, so a block has BLOCK / LEAST_WEIGHT of them on average.
 LEAST_WEIGHT = 100
 #: Ids up to which a list of them is broadcast: about 30 MB.

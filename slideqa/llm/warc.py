@@ -30,6 +30,8 @@ from slideqa.llm.text import lean
 LEAST = 1000
 #: Bytes of a file: it is read in one task, as one value.
 ARCHIVE = 16 << 20
+#: Bytes that a gzip member is fed at a time: what lies behind its end is copied.
+STEP = 1 << 15
 #: Bytes of payloads that leave a task at a time.
 BATCH = 1 << 23
 DATE = "2024-01-01T00:00:00Z"
@@ -126,7 +128,7 @@ def members(data: memoryview) -> Iterator[bytes]:
         while not part.eof:
             if at >= len(data):
                 raise ValueError("a gzip member is cut off")
-            step = data[at : at + BATCH]
+            step = data[at : at + STEP]
             out.append(part.decompress(step))
             at += len(step) - len(part.unused_data)
         yield b"".join(out)

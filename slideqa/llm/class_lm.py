@@ -4,16 +4,20 @@ log10 P(w | v) = log10 P(class(w) | class(v)) + log10 P(w | class(w)), over lowe
 token a text, which is also the context of the first word.
 
 - Word counts cover all training texts. Words are held as 64-bit hashes.
-- The ``CLUSTERED`` most frequent words (a parameter of the model) are clustered into CLASSES classes; every
-  other word belongs to one of RARE classes by its hash. No word is without a class or a count.
-- Bigrams of clustered words and rare classes are counted once over all training texts and gathered into one
-  row for each clustered word, which holds a number for each left and right neighbour at most. Exchange
-  rounds work on these rows: every word finds the class that raises the likelihood of the class bigrams most,
+- Exchange rounds cluster the ``CLUSTERED`` most frequent words into CLASSES classes; meanwhile every other word
+  counts as one of RARE contexts by its hash. Bigrams are counted once over all training texts and gathered into one
+  row for each clustered word, which holds a number for each left and right neighbour at most. In a round every word
+  finds the class that raises the likelihood of the class bigrams most,
   half of the words a round move; a round that doesn't help is undone, and fewer words move at once from then
   on. It ends when a turn of all words raises the likelihood by less than ``SHARE``. Rows are dealt to tasks; the
   driver holds the classes and the class-by-class counts.
-- Scoring looks words up in a table of the ``LOOKUP`` most frequent words, sent to the tasks, and joins all
-  other words with the counts.
+- Then every other training word goes to the class that gains the most by the counts of the classes around it, in all
+  training texts; the class counts stand still meanwhile, so words are placed apart from each other. The classes of
+  all words are a table, and class bigrams are counted anew with it.
+- A word that no training text has may be of any class: its probability is the sum over them, and what follows it
+  goes by class frequencies.
+- Scoring looks words up in a table of the ``LOOKUP`` most frequent words, sent to the tasks; pairs with another word
+  are joined with the table of classes and counts.
 
 Defined results: null counts as empty (one end token); null doc_ids count as empty text for the training
 split; repeated rows give repeated results; words of equal counts at the border of the clustered ones are taken by
@@ -34,6 +38,8 @@ from slideqa.llm.tables import Saved, table
 from slideqa.llm.text import flat, slices, words
 
 CLUSTERED, CLASSES, RARE = 8192, 48, 16
+#: The class of the end token and that of words that training doesn't know.
+END, UNSEEN = CLASSES, CLASSES + 1
 #: Words sent to the scoring tasks: 16 bytes each.
 LOOKUP = 400_000
 #: Exchange ends when a turn of all words raises the likelihood by less than this share of it.
@@ -193,11 +199,11 @@ def likelihood(m: np.ndarray) -> float:
 
 class Model(NamedTuple):
     vocabulary: Vocabulary
-    classes: np.ndarray  # of clustered words, rare classes, the end
-    transition: np.ndarray  # log10, before x after
-    denominator: np.ndarray  # log10 of a class' emission denominator
+    of: Saved  # h, n, class of every training word
     lookup: np.ndarray  # ascending hashes
     counts: np.ndarray
+    classes: np.ndarray  # of the words in lookup
+    pair: np.ndarray  # log10 of transition by emission denominator, class before x class; see END, UNSEEN
     least: int  # every word of at least this count is in lookup
     tokens: int
     distinct: int
@@ -237,6 +243,116 @@ def clustered(bigrams: DataFrame, order: np.ndarray, n_words: int, share: float
     return classes, m, values
 
 
+def _contexts(vocabulary: Vocabulary, classes: np.ndarray, k: int):
+    """Words that aren't clustered with the classes before (key) and after them (k + key), and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for part in slices(batch, 0):
+                w = words(*flat(part.column(0)))
+                seq, _ = _sequence(vocabulary.numbers(w.hash), w.doc, part.num_rows, vocabulary.end)
+                at = np.flatnonzero((seq >= len(vocabulary.hashes)) & (seq < vocabulary.end))
+                h = w.hash[vocabulary.numbers(w.hash) >= len(vocabulary.hashes)]
+                hashes += [h, h]
+                keys += [classes[_before(seq, vocabulary.end)[at]], k + classes[seq[at + 1]]]
+            u, own = np.unique(np.concatenate(hashes), return_inverse=True)
+            both, n = np.unique(own * (2 * k) + np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u[both // (2 * k)].view(np.int64)), pa.array(both % (2 * k)), pa.array(n.astype(np.int64))], ["h", "key", "n"])
+
+    return run
+
+
+def placed(around: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of the highest gain for each row of counts of classes before and after a word, at class bigrams m."""
+    k = len(m)
+    chance = np.log(m + 0.5)
+    left, right = around[:, :k], around[:, k:]
+    gain = left @ chance[:, :CLASSES] + right @ chance[:CLASSES].T
+    margins = np.log(m.sum(axis=0) + 0.5 * k) + np.log(m.sum(axis=1) + 0.5 * k)
+    return np.argmax(gain - left.sum(axis=1, keepdims=True) * margins[None, :CLASSES], axis=1)
+
+
+def _placed(m: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(m)
+        for batch in batches:
+            lists = batch.column(1)
+            found = lists.flatten()
+            around = np.zeros((batch.num_rows, 2 * k))
+            around[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), found.field("key").to_numpy()] = found.field("n").to_numpy()
+            n = around[:, :k].sum(axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(placed(around, m).astype(np.int64))], ["h", "n", "class"])
+
+    return run
+
+
+def _class_table(docs: DataFrame, vocabulary: Vocabulary, n: np.ndarray, classes: np.ndarray, m: np.ndarray) -> Saved:
+    """h, n, class of every word of docs."""
+    k = len(m)
+    around = docs.mapInArrow(_contexts(vocabulary, classes, k), "h long, key long, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
+    rest = around.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("around")).mapInArrow(_placed(m), "h long, n long, class long")
+    first = pa.table({"h": vocabulary.hashes.view(np.int64), "n": n.astype(np.int64), "class": classes[: len(n)]})
+    return Saved(docs.sparkSession.createDataFrame(first).unionByName(rest), "classes")
+
+
+def _coded(h: np.ndarray, lookup: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each word in lookup, else its hash; whether it is there; and where."""
+    out, found, at = h.view(np.int64).copy(), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    if len(lookup):
+        at = np.minimum(np.searchsorted(lookup, h), len(lookup) - 1)
+        found = lookup[at] == h
+        out[found] = classes[at[found]]
+    return out, found, at
+
+
+def _pairs(codes: np.ndarray, found: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes before and at each token, the end of each text included; whether both are classes; the text of each."""
+    seq, of = _sequence(codes, doc, n_docs, END)
+    known, _ = _sequence(found, doc, n_docs, True)
+    return _before(seq, END), seq, known & np.concatenate([[True], known[:-1]]), of
+
+
+def _class_pairs(lookup: np.ndarray, classes: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = END + 1
+        for batch in batches:
+            total, open_ = np.zeros(size * size, np.int64), [np.zeros((2, 0), np.int64)]
+            for part in slices(batch, 0):
+                w = words(*flat(part.column(0)))
+                codes, found, _ = _coded(w.hash, lookup, classes)
+                v, c, known, _ = _pairs(codes, found, w.doc, part.num_rows)
+                total += np.bincount(v[known] * size + c[known], minlength=size * size)
+                open_.append(np.stack([v[~known], c[~known]]))
+            at, more = np.flatnonzero(total), np.concatenate(open_, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([at // size, more[0]])), pa.array(np.concatenate([at % size, more[1]])), pa.array(np.concatenate([total[at], np.ones(more.shape[1], np.int64)]))], ["v", "w", "n"]
+            )
+
+    return run
+
+
+def _with_classes(pairs: DataFrame, table_: DataFrame) -> DataFrame:
+    """Adds class_v, class_w and n_w (of words that aren't classes already). A pair's class takes the other word's
+    place among the keys, so the few classes are no hot keys."""
+    for x, y in (("v", "w"), ("w", "v")):
+        word = ~F.col(x).between(0, END)
+        own = table_.select(F.col("h").alias("h"), F.col("class").alias("found"), F.col("n").alias(f"n_{x}"))
+        pairs = pairs.withColumn("key", F.when(word, F.col(x)).otherwise(F.col(y)))
+        pairs = pairs.join(own, (F.col("key") == F.col("h")) & word, "left")
+        pairs = pairs.withColumn(f"class_{x}", F.when(word, F.coalesce("found", F.lit(UNSEEN))).otherwise(F.col(x))).drop("key", "h", "found")
+    return pairs
+
+
+def _pair_values(m: np.ndarray, denominator: np.ndarray) -> np.ndarray:
+    """log10 of P(class | class before) / emission denominator; unseen words are summed over all classes of words."""
+    k = len(m)
+    after = m.sum(axis=0)
+    prior = (after + 0.5) / (after.sum() + 0.5 * k)
+    chance = np.concatenate([(m + PRIOR * k * prior[None, :]) / (m.sum(axis=1, keepdims=True) + PRIOR * k), prior[None, :]]) / denominator[None, :]
+    return np.log10(np.concatenate([chance, chance[:, :CLASSES].sum(axis=1, keepdims=True)], axis=1))
+
+
 def trained(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, share: float = SHARE) -> Model:
     """docs: text of the training texts; counts: their words (h, n)."""
     n_docs = docs.count()
@@ -246,52 +362,46 @@ def trained(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED
     bigrams = Saved(bigrams, "bigrams")
     classes, m, values = clustered(bigrams.df, np.lexsort((hashes, -n)), len(hashes), share)
     bigrams.drop()
-    k = len(m)
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # what each class emits: clustered words by their classes, rare classes by the hashes of the other words
-    tokens, kinds = np.bincount(classes[: len(hashes)], n, k), np.bincount(classes[: len(hashes)], minlength=k).astype(float)
-    rest = counts.groupBy(F.expr(f"pmod(pmod(h, {RARE}) + {RARE}, {RARE})").alias("r")).agg(F.sum("n").alias("n"), F.count("*").alias("c")).toArrow().to_pylist()
-    own_n, own_c = np.bincount((hashes % np.uint64(RARE)).astype(np.int64), n, RARE), np.bincount((hashes % np.uint64(RARE)).astype(np.int64), minlength=RARE)
-    for x in rest:
-        tokens[CLASSES + x["r"]] = x["n"] - own_n[x["r"]]
-        kinds[CLASSES + x["r"]] = x["c"] - own_c[x["r"]]
-    tokens[-1], kinds[-1] = n_docs, 1
-    after = m.sum(axis=0)
-    prior = (after + 0.5) / (after.sum() + 0.5 * k)
-    transition = np.log10((m + PRIOR * k * prior[None, :]) / (m.sum(axis=1, keepdims=True) + PRIOR * k))
+    of = _class_table(docs, vocabulary, n[: len(hashes)], classes, m)
     table_h, table_n, least = most_frequent(counts, lookup)
-    return Model(vocabulary, classes, transition, np.log10(tokens + 0.5 * (kinds + 1)), table_h, table_n, least, int(total) + n_docs, int(distinct) + (n_docs > 0), n_docs, values)
+    got = of.df.where(F.col("n") >= least).select("h", "class").toArrow()
+    table_c = got["class"].to_numpy()[np.argsort(got["h"].to_numpy().view(np.uint64))]
+    pairs = docs.mapInArrow(_class_pairs(table_h, table_c), "v long, w long, n long").withColumn("known", F.col("v").between(0, END) & F.col("w").between(0, END))
+    closed = pairs.where("known").select(F.col("v").alias("class_v"), F.col("w").alias("class_w"), "n")
+    opened = _with_classes(pairs.where("not known"), of.df.where(F.col("n") < least)).select("class_v", "class_w", "n")
+    cells = closed.unionByName(opened).groupBy("class_v", "class_w").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros((END + 1, END + 1))
+    every[cells["class_v"].to_numpy(), cells["class_w"].to_numpy()] = cells["n"].to_numpy()
+    tokens, kinds = np.zeros(END + 1), np.zeros(END + 1)
+    for x in of.df.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect():
+        tokens[x["class"]], kinds[x["class"]] = x["n"], x["c"]
+    tokens[END], kinds[END] = n_docs, 1
+    pair = _pair_values(every, tokens + 0.5 * (kinds + 1))
+    return Model(vocabulary, of, table_h, table_n, table_c, pair, least, int(tokens.sum()), int(kinds.sum()) - (n_docs == 0), n_docs, values)
 
 
 def _scored(model: Model):
-    """A row per text with what the lookup table tells; ``others``: its words outside the table, with counts."""
-    word = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
-    names = ["doc_id", "n_tokens", "n_known", "plain", "model", "others"]
+    """A row per text with what the lookup table tells; ``pairs``: words before and at a token where one is outside."""
+    word = pa.struct([("v", pa.int64()), ("w", pa.int64())])
+    names = ["doc_id", "n_tokens", "n_known", "plain", "model", "pairs"]
+    lookup, counts, classes, value_of = model.lookup, model.counts, model.classes, model.pair
+    ends, base = model.ends, np.log10(model.tokens + 0.5 * (model.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = model.vocabulary.end
-        base = np.log10(model.tokens + 0.5 * (model.distinct + 1))
         for batch in batches:
             for part in slices(batch):
                 n_docs = part.num_rows
                 w = words(*flat(part.column(1)))
-                seq, doc = _sequence(model.vocabulary.numbers(w.hash), w.doc, n_docs, end)
-                k = model.classes[seq]
-                fixed = model.transition[model.classes[_before(seq, end)], k] - model.denominator[k]
+                codes, found, at = _coded(w.hash, lookup, classes)
+                v, c, closed, doc = _pairs(codes, found, w.doc, n_docs)
                 n_tokens = np.bincount(doc, minlength=n_docs)
-                at = np.minimum(np.searchsorted(model.lookup, w.hash), max(0, len(model.lookup) - 1))
-                found = model.lookup[at] == w.hash if len(model.lookup) else np.zeros(len(w.hash), bool)
-                value = np.log10(model.counts[at[found]] + 0.5)
-                sums = np.bincount(w.doc[found], value, n_docs) + np.log10(model.ends + 0.5)
-                known = np.bincount(w.doc[found], minlength=n_docs) + (model.ends > 0)
-                rest_h, rest_d = w.hash[~found].view(np.int64), w.doc[~found]
-                bounds = np.searchsorted(rest_d, np.arange(n_docs + 1))
-                others = []
-                for i in range(n_docs):
-                    u, n = np.unique(rest_h[bounds[i] : bounds[i + 1]], return_counts=True)
-                    others.append([{"h": h, "k": c} for h, c in zip(u.tolist(), n.tolist(), strict=True)])
-                plain, scores = sums - n_tokens * base, sums + np.bincount(doc, fixed, n_docs)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(scores), pa.array(others, word)], names)
+                value = np.log10(counts[at[found]] + 0.5)
+                sums = np.bincount(w.doc[found], value, n_docs) + np.log10(ends + 0.5)
+                known = np.bincount(w.doc[found], minlength=n_docs) + (ends > 0)
+                plain, scores = sums - n_tokens * base, sums + np.bincount(doc[closed], value_of[v[closed], c[closed]], n_docs)
+                bounds = np.searchsorted(doc[~closed], np.arange(n_docs + 1)).astype(np.int32)
+                pairs = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(v[~closed]), pa.array(c[~closed])], fields=list(word)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(scores), pairs], names)
 
     return run
 
@@ -303,17 +413,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     train = rows.where(~held_out(F.col("doc_id"))).select("text")
     counts = Saved(train.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     model = trained(train, counts.df, **options)
-    seen = rows.mapInArrow(_scored(model), "doc_id long, n_tokens long, n_known long, plain double, model double, others array<struct<h:long,k:long>>")
+    counts.drop()
+    seen = rows.mapInArrow(_scored(model), "doc_id long, n_tokens long, n_known long, plain double, model double, pairs array<struct<v:long,w:long>>")
     seen = Saved(seen.withColumn("row", F.monotonically_increasing_id()), "seen")
-    others = seen.df.select("row", F.inline("others"))
-    rare = counts.df.where(F.col("n") < model.least)
-    value = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    more = others.join(rare, "h", "left").groupBy("row").agg(F.sum(F.col("k") * value).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"))
-    out = seen.df.drop("others").join(more, "row", "left")
+    pairs = _with_classes(seen.df.select("row", F.inline("pairs")), model.of.df.where(F.col("n") < model.least))
+    v, w = np.indices(model.pair.shape).reshape(2, -1)
+    # a row for each two classes
+    values = docs.sparkSession.createDataFrame(pa.table({"class_v": v, "class_w": w, "value": model.pair.reshape(-1)}))
+    word = ~F.col("w").between(0, END)
+    own = F.when(word, F.log10(F.coalesce("n_w", F.lit(0)) + 0.5)).otherwise(0.0)
+    more = pairs.join(F.broadcast(values), ["class_v", "class_w"]).groupBy("row").agg(
+        F.sum(own).alias("more"), F.sum(F.when(word & (F.col("n_w") > 0), 1).otherwise(0)).alias("more_known"), F.sum("value").alias("more_pairs")
+    )
+    out = seen.df.drop("pairs").join(more, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("plain") + zero("more")).alias("base_score"), (F.col("model") + zero("more")).alias("score"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("plain") + zero("more")).alias("base_score"), (F.col("model") + zero("more") + zero("more_pairs")).alias("score"),
     )
 
 

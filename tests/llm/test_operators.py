@@ -350,11 +350,12 @@ def test_class_score_against_plain_version(spark):
     docs = rows.where(~class_lm.held_out(F.col("doc_id"))).select("text")
     counts = Saved(docs.mapInArrow(class_lm._counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     model = class_lm.trained(docs, counts.df, clustered_words=12, lookup=8)
-    number = lambda w: model.vocabulary.end if w is None else int(model.vocabulary.numbers(words_of(w))[0])
-    words_of = lambda w: words(*flat(pa.array([w]))).hash
+    words_of = lambda w: int(words(*flat(pa.array([w]))).hash.view(np.int64)[0])
     every = collections.Counter(w for t in train for w in [*t.split(), None])
-    of = {w: int(model.classes[number(w)]) for t in texts for w in [*t.split(), None]}
-    k = class_lm.CLASSES + class_lm.RARE + 1
+    table = {x["h"]: (x["n"], x["class"]) for x in model.of.df.collect()}
+    assert {words_of(w): n for w, n in every.items() if w} == {h: n for h, (n, _) in table.items()}
+    of = {w: class_lm.END if w is None else table[words_of(w)][1] for w in every}
+    k = class_lm.CLASSES + 1
     m, tokens, kinds = np.zeros((k, k)), np.zeros(k), np.zeros(k)
     for t in train:
         seq = [None, *t.split(), None]
@@ -364,10 +365,37 @@ def test_class_score_against_plain_version(spark):
         tokens[of[w]] += n
         kinds[of[w]] += 1
     prior = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * k)
+    emitted = lambda c, n: (n + 0.5) / (tokens[c] + 0.5 * (kinds[c] + 1))
+
+    def chance(a, b):
+        follows = lambda c: (m[of[a], c] + class_lm.PRIOR * k * prior[c]) / (m[of[a]].sum() + class_lm.PRIOR * k) if a in of else prior[c]
+        return follows(of[b]) * emitted(of[b], every[b]) if b in of else sum(follows(c) * emitted(c, 0) for c in range(class_lm.CLASSES))
+
+    assert any(w not in of for t in texts for w in t.split())
     for d, t in enumerate(texts):
         seq = [None, *t.split(), None]
-        want = sum(math.log10((m[of[a], of[b]] + class_lm.PRIOR * k * prior[of[b]]) / (m[of[a]].sum() + class_lm.PRIOR * k)) + math.log10((every[b] + 0.5) / (tokens[of[b]] + 0.5 * (kinds[of[b]] + 1))) for a, b in zip(seq, seq[1:], strict=False))
-        assert got[d] == pytest.approx(want, abs=1e-6)
+        assert got[d] == pytest.approx(sum(math.log10(chance(a, b)) for a, b in zip(seq, seq[1:], strict=False)), abs=1e-6)
+
+
+def test_words_outside_the_exchange_are_placed(spark):
+    """Words go to the class of those that stand where they stand, by a plain count of the gains."""
+    r = np.random.default_rng(4)
+    k = class_lm.CLASSES + class_lm.RARE + 1
+    m = r.integers(0, 50, (k, k)).astype(float)
+    around = r.integers(0, 4, (20, 2 * k)).astype(float)
+    around[:, k:] *= (around[:, :k].sum(axis=1) / around[:, k:].sum(axis=1))[:, None]
+    for row, got in zip(around, class_lm.placed(around, m), strict=True):
+        gains = [
+            sum(row[x] * math.log((m[x, c] + 0.5) / (m[:, c].sum() + 0.5 * k)) + row[k + x] * math.log((m[c, x] + 0.5) / (m[c].sum() + 0.5 * k)) for x in range(k))
+            for c in range(class_lm.CLASSES)
+        ]
+        assert gains[got] == pytest.approx(max(gains))
+    rng = random.Random(2)
+    classes = [[f"{c}{i}" for i in range(8)] for c in "abc"]
+    texts = [" ".join(rng.choice(classes[(s + i) % 3]) for i in range(60)) for s in (rng.randrange(3) for _ in range(200))]
+    out = class_lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), clustered_words=12, lookup=15).where("held_out")
+    base, score = out.selectExpr("sum(base_score)", "sum(score)").first()
+    assert score > 0.85 * base
 
 
 def test_class_model_beats_unigrams(spark):

@@ -16,8 +16,9 @@ token a text, which is also the context of the first word.
   all words are a table, and class bigrams are counted anew with it.
 - A word that no training text has may be of any class: its probability is the sum over them, and what follows it
   goes by class frequencies.
-- Scoring looks words up in a table of the ``LOOKUP`` most frequent words, sent to the tasks; pairs with another word
-  are joined with the table of classes and counts.
+- Texts are then coded as a class, one byte, a token: by a table of the ``LOOKUP`` most frequent words, sent to the
+  tasks; every other word is joined with the table of classes and counts. Class bigrams are counted and texts are
+  scored on the codes.
 
 Defined results: null counts as empty (one end token); null doc_ids count as empty text for the training
 split; repeated rows give repeated results; words of equal counts at the border of the clustered ones are taken by
@@ -31,15 +32,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slideqa.llm.tables import Saved, table
-from slideqa.llm.text import flat, slices, words
+from slideqa.llm.text import flat, lean, slices, words
 
 CLUSTERED, CLASSES, RARE = 8192, 48, 16
 #: The class of the end token and that of words that training doesn't know.
 END, UNSEEN = CLASSES, CLASSES + 1
+#: A key below 256 of a class before or after a word, and how often.
+AROUND = np.dtype([("key", "u1"), ("n", "<u4")])
 #: Words sent to the scoring tasks: 16 bytes each.
 LOOKUP = 400_000
 #: Exchange ends when a turn of all words raises the likelihood by less than this share of it.
@@ -158,15 +162,16 @@ def _exchange(classes: np.ndarray, m: np.ndarray, part: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                w = row["word"]
-                if w % parts == part:
-                    left = class_counts(np.array(row["left_n"], float), np.array(row["left"], np.int64), classes, len(m))
-                    right = class_counts(np.array(row["right_n"], float), np.array(row["right"], np.int64), classes, len(m))
-                    itself = float(dict(zip(row["right"], row["right_n"], strict=True)).get(w, 0))
-                    to, gain = best_class(int(classes[w]), left, right, itself, m, CLASSES)
-                    if gain > 1e-6:
-                        out.append((w, to))
+            word = batch.column(0).to_numpy()
+            (left, right), (left_n, right_n) = ([batch.column(i).flatten().to_numpy() for i in at] for at in ((1, 3), (2, 4)))
+            of_left, of_right = (batch.column(i).offsets.to_numpy() - batch.column(i).offsets[0].as_py() for i in (1, 3))
+            for i in np.flatnonzero(word % parts == part).tolist():
+                w, l, r = int(word[i]), slice(of_left[i], of_left[i + 1]), slice(of_right[i], of_right[i + 1])
+                before = class_counts(left_n[l], left[l], classes, len(m))
+                after = class_counts(right_n[r], right[r], classes, len(m))
+                to, gain = best_class(int(classes[w]), before, after, float(right_n[r][right[r] == w].sum()), m, CLASSES)
+                if gain > 1e-6:
+                    out.append((w, to))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["word", "class"])
 
     return run
@@ -197,20 +202,6 @@ def likelihood(m: np.ndarray) -> float:
     return float(_phi(m).sum() - _phi(m.sum(axis=0)).sum() - _phi(m.sum(axis=1)).sum())
 
 
-class Model(NamedTuple):
-    vocabulary: Vocabulary
-    of: Saved  # h, n, class of every training word
-    lookup: np.ndarray  # ascending hashes
-    counts: np.ndarray
-    classes: np.ndarray  # of the words in lookup
-    pair: np.ndarray  # log10 of transition by emission denominator, class before x class; see END, UNSEEN
-    least: int  # every word of at least this count is in lookup
-    tokens: int
-    distinct: int
-    ends: int
-    likelihoods: list[float]
-
-
 def clustered(bigrams: DataFrame, order: np.ndarray, n_words: int, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Classes by exchange, from frequency ranks; the class bigram counts; the likelihood after each round."""
     k = CLASSES + RARE + 1
@@ -244,25 +235,36 @@ def clustered(bigrams: DataFrame, order: np.ndarray, n_words: int, share: float
 
 
 def _contexts(vocabulary: Vocabulary, classes: np.ndarray, k: int):
-    """Words that aren't clustered with the classes before (key) and after them (k + key), and how often."""
+    """A row for each word that isn't clustered: the classes before (key) and after it (k + key) and how often, packed
+    as AROUND."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_clustered = len(vocabulary.hashes)
         for batch in batches:
-            hashes, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            hashes, before, after = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in slices(batch, 0):
                 w = words(*flat(part.column(0)))
-                seq, _ = _sequence(vocabulary.numbers(w.hash), w.doc, part.num_rows, vocabulary.end)
-                at = np.flatnonzero((seq >= len(vocabulary.hashes)) & (seq < vocabulary.end))
-                h = w.hash[vocabulary.numbers(w.hash) >= len(vocabulary.hashes)]
-                hashes += [h, h]
-                keys += [classes[_before(seq, vocabulary.end)[at]], k + classes[seq[at + 1]]]
+                numbers = vocabulary.numbers(w.hash)
+                seq, _ = _sequence(numbers, w.doc, part.num_rows, vocabulary.end)
+                at = np.flatnonzero((seq >= n_clustered) & (seq < vocabulary.end))
+                hashes.append(w.hash[numbers >= n_clustered])
+                before.append(classes[_before(seq, vocabulary.end)[at]])
+                after.append(k + classes[seq[at + 1]])
             u, own = np.unique(np.concatenate(hashes), return_inverse=True)
-            both, n = np.unique(own * (2 * k) + np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u[both // (2 * k)].view(np.int64)), pa.array(both % (2 * k)), pa.array(n.astype(np.int64))], ["h", "key", "n"])
+            own *= 2 * k
+            cells, n = np.unique(np.concatenate([own + np.concatenate(before), own + np.concatenate(after)]), return_counts=True)
+            packed = np.empty(len(cells), AROUND)
+            packed["key"], packed["n"] = cells % (2 * k), n
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), _binary(packed, np.searchsorted(cells, np.arange(len(u) + 1) * (2 * k)))], ["h", "around"])
 
     return run
 
 
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values between each two bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
 def placed(around: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The class of the highest gain for each row of counts of classes before and after a word, at class bigrams m."""
     k = len(m)
@@ -274,15 +276,35 @@ def placed(around: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _placed(m: np.ndarray):
+    """Rows of _contexts, in order of words, to each word's count and class. The last word of a batch may go on in the
+    next one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(m)
-        for batch in batches:
-            lists = batch.column(1)
-            found = lists.flatten()
-            around = np.zeros((batch.num_rows, 2 * k))
-            around[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), found.field("key").to_numpy()] = found.field("n").to_numpy()
+
+        def rows(h: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
             n = around[:, :k].sum(axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(placed(around, m).astype(np.int64))], ["h", "n", "class"])
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(placed(around, m).astype(np.int64))], ["h", "n", "class"])
+
+        open_h, open_around = np.zeros(0, np.int64), np.zeros((0, 2 * k))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            data, offsets = flat(batch.column(1))
+            found, each = data.view(AROUND), np.diff(offsets) // AROUND.itemsize
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            own = np.repeat(np.cumsum(new) - 1, each)
+            names = h[new]
+            around = np.bincount(own * (2 * k) + found["key"], found["n"], len(names) * 2 * k).reshape(-1, 2 * k)
+            if len(open_h) and names[0] == open_h[0]:
+                around[0] += open_around[0]
+            elif len(open_h):
+                names, around = np.concatenate([open_h, names]), np.concatenate([open_around, around])
+            open_h, open_around = names[-1:], around[-1:]
+            yield rows(names[:-1], around[:-1])
+        if len(open_h):
+            yield rows(open_h, open_around)
 
     return run
 
@@ -290,58 +312,97 @@ def _placed(m: np.ndarray):
 def _class_table(docs: DataFrame, vocabulary: Vocabulary, n: np.ndarray, classes: np.ndarray, m: np.ndarray) -> Saved:
     """h, n, class of every word of docs."""
     k = len(m)
-    around = docs.mapInArrow(_contexts(vocabulary, classes, k), "h long, key long, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
-    rest = around.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("around")).mapInArrow(_placed(m), "h long, n long, class long")
+    around = docs.mapInArrow(_contexts(vocabulary, classes, k), "h long, around binary")
+    rest = around.repartition("h").sortWithinPartitions("h").mapInArrow(_placed(m), "h long, n long, class long")
     first = pa.table({"h": vocabulary.hashes.view(np.int64), "n": n.astype(np.int64), "class": classes[: len(n)]})
     return Saved(docs.sparkSession.createDataFrame(first).unionByName(rest), "classes")
 
 
-def _coded(h: np.ndarray, lookup: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of each word in lookup, else its hash; whether it is there; and where."""
-    out, found, at = h.view(np.int64).copy(), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    if len(lookup):
-        at = np.minimum(np.searchsorted(lookup, h), len(lookup) - 1)
-        found = lookup[at] == h
-        out[found] = classes[at[found]]
-    return out, found, at
-
+class Classes(NamedTuple):
+    vocabulary: Vocabulary
+    of: Saved  # h, n, class of every training word
+    lookup: np.ndarray  # ascending hashes
+    counts: np.ndarray
+    classes: np.ndarray  # of the words in lookup
+    least: int  # every word of at least this count is in lookup
+    likelihoods: list[float]
 
-def _pairs(codes: np.ndarray, found: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes before and at each token, the end of each text included; whether both are classes; the text of each."""
-    seq, of = _sequence(codes, doc, n_docs, END)
-    known, _ = _sequence(found, doc, n_docs, True)
-    return _before(seq, END), seq, known & np.concatenate([[True], known[:-1]]), of
 
+def _coded(known: Classes):
+    """Each text as its codes: a byte a token, the end included. logs and n_known: what lookup tells of its counts;
+    outside: the words that aren't there, in their order, which have the code UNSEEN until they are joined."""
+    lookup, counts, classes = known.lookup, known.counts, known.classes.astype(np.uint8)
 
-def _class_pairs(lookup: np.ndarray, classes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = END + 1
         for batch in batches:
-            total, open_ = np.zeros(size * size, np.int64), [np.zeros((2, 0), np.int64)]
-            for part in slices(batch, 0):
-                w = words(*flat(part.column(0)))
-                codes, found, _ = _coded(w.hash, lookup, classes)
-                v, c, known, _ = _pairs(codes, found, w.doc, part.num_rows)
-                total += np.bincount(v[known] * size + c[known], minlength=size * size)
-                open_.append(np.stack([v[~known], c[~known]]))
-            at, more = np.flatnonzero(total), np.concatenate(open_, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([at // size, more[0]])), pa.array(np.concatenate([at % size, more[1]])), pa.array(np.concatenate([total[at], np.ones(more.shape[1], np.int64)]))], ["v", "w", "n"]
-            )
+            for part in slices(batch):
+                n_docs = part.num_rows
+                w = words(*flat(part.column(1)))
+                codes, found, at = np.full(len(w.hash), UNSEEN, np.uint8), np.zeros(len(w.hash), bool), np.zeros(0, np.int64)
+                if len(lookup):
+                    at = np.minimum(np.searchsorted(lookup, w.hash), len(lookup) - 1)
+                    found = lookup[at] == w.hash
+                    at = at[found]
+                    codes[found] = classes[at]
+                seq, doc = _sequence(codes, w.doc, n_docs, END)
+                every, outside = np.arange(n_docs + 1), w.doc[~found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        _binary(seq, np.searchsorted(doc, every)),
+                        pa.array(np.bincount(w.doc[found], np.log10(counts[at] + 0.5), n_docs)),
+                        pa.array(np.bincount(w.doc[found], minlength=n_docs)),
+                        pa.ListArray.from_arrays(np.searchsorted(outside, every).astype(np.int32), w.hash[~found].view(np.int64)),
+                    ],
+                    ["doc_id", "codes", "logs", "n_known", "outside"],
+                )
 
     return run
 
 
-def _with_classes(pairs: DataFrame, table_: DataFrame) -> DataFrame:
-    """Adds class_v, class_w and n_w (of words that aren't classes already). A pair's class takes the other word's
-    place among the keys, so the few classes are no hot keys."""
-    for x, y in (("v", "w"), ("w", "v")):
-        word = ~F.col(x).between(0, END)
-        own = table_.select(F.col("h").alias("h"), F.col("class").alias("found"), F.col("n").alias(f"n_{x}"))
-        pairs = pairs.withColumn("key", F.when(word, F.col(x)).otherwise(F.col(y)))
-        pairs = pairs.join(own, (F.col("key") == F.col("h")) & word, "left")
-        pairs = pairs.withColumn(f"class_{x}", F.when(word, F.coalesce("found", F.lit(UNSEEN))).otherwise(F.col(x))).drop("key", "h", "found")
-    return pairs
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _coded with ``more``: place among the words outside, class and count of those that training knows."""
+    for batch in batches:
+        n_docs = batch.num_rows
+        doc_id, codes, logs, n_known, n_outside, more = batch.columns
+        data, offsets = flat(codes)
+        data, found = data.copy(), more.flatten()
+        doc = np.repeat(np.arange(n_docs), pc.fill_null(pc.list_value_length(more), 0).to_numpy())
+        n = n_outside.to_numpy()
+        # the words outside of all texts of the batch, one after another
+        place = (np.cumsum(n) - n)[doc] + found.field("at").to_numpy()
+        data[np.flatnonzero(data == UNSEEN)[place]] = found.field("class").to_numpy()
+        matched = np.bincount(doc, minlength=n_docs)
+        value = np.bincount(doc, np.log10(found.field("n").to_numpy() + 0.5), n_docs) + (n - matched) * np.log10(0.5)
+        yield pa.RecordBatch.from_arrays(
+            [doc_id, _binary(data, offsets), pa.array(logs.to_numpy() + value), pa.array(n_known.to_numpy() + matched)], ["doc_id", "codes", "logs", "n_known"]
+        )
+
+
+def class_codes(docs: DataFrame, known: Classes) -> Saved:
+    """doc_id, codes (the class of each token), logs (the sum of log10(count + 0.5) over words) and n_known, of docs
+    (doc_id, text)."""
+    seen = docs.mapInArrow(lean(_coded(known)), "doc_id long, codes binary, logs double, n_known long, outside array<long>")
+    seen = Saved(seen.withColumn("row", F.monotonically_increasing_id()), "seen")
+    words_ = known.of.df.where(F.col("n") < known.least).select("h", "n", F.col("class").cast("tinyint").alias("class"))
+    found = seen.df.select("row", F.posexplode("outside").alias("at", "h")).join(words_, "h").groupBy("row").agg(F.collect_list(F.struct("at", "class", "n")).alias("more"))
+    both = seen.df.withColumn("outside", F.size("outside").cast("long")).join(found, "row", "left").select("doc_id", "codes", "logs", "n_known", "outside", "more")
+    out = Saved(both.mapInArrow(_filled, "doc_id long, codes binary, logs double, n_known long"), "codes")
+    seen.drop()
+    return out
+
+
+def _class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes to the counts of their bigrams."""
+    size = END + 1
+    total = np.zeros(size * size, np.int64)
+    for batch in batches:
+        for part in slices(batch, 0):
+            seq = flat(part.column(0))[0].astype(np.int64)
+            if len(seq):
+                total += np.bincount(_before(seq, END) * size + seq, minlength=size * size)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
 
 def _pair_values(m: np.ndarray, denominator: np.ndarray) -> np.ndarray:
@@ -353,9 +414,18 @@ def _pair_values(m: np.ndarray, denominator: np.ndarray) -> np.ndarray:
     return np.log10(np.concatenate([chance, chance[:, :CLASSES].sum(axis=1, keepdims=True)], axis=1))
 
 
-def trained(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, share: float = SHARE) -> Model:
+class Model(NamedTuple):
+    vocabulary: Vocabulary
+    of: Saved  # h, n, class of every training word
+    pair: np.ndarray  # log10 of transition by emission denominator, class before x class; see END, UNSEEN
+    tokens: int
+    distinct: int
+    ends: int
+    likelihoods: list[float]
+
+
+def word_classes(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, share: float = SHARE) -> Classes:
     """docs: text of the training texts; counts: their words (h, n)."""
-    n_docs = docs.count()
     hashes, n, _ = most_frequent(counts, clustered_words, ties=True)
     vocabulary = Vocabulary(hashes)
     bigrams = docs.mapInArrow(_bigrams(vocabulary), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
@@ -366,42 +436,46 @@ def trained(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED
     table_h, table_n, least = most_frequent(counts, lookup)
     got = of.df.where(F.col("n") >= least).select("h", "class").toArrow()
     table_c = got["class"].to_numpy()[np.argsort(got["h"].to_numpy().view(np.uint64))]
-    pairs = docs.mapInArrow(_class_pairs(table_h, table_c), "v long, w long, n long").withColumn("known", F.col("v").between(0, END) & F.col("w").between(0, END))
-    closed = pairs.where("known").select(F.col("v").alias("class_v"), F.col("w").alias("class_w"), "n")
-    opened = _with_classes(pairs.where("not known"), of.df.where(F.col("n") < least)).select("class_v", "class_w", "n")
-    cells = closed.unionByName(opened).groupBy("class_v", "class_w").agg(F.sum("n").alias("n")).toArrow()
-    every = np.zeros((END + 1, END + 1))
-    every[cells["class_v"].to_numpy(), cells["class_w"].to_numpy()] = cells["n"].to_numpy()
-    tokens, kinds = np.zeros(END + 1), np.zeros(END + 1)
-    for x in of.df.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect():
+    return Classes(vocabulary, of, table_h, table_n, table_c, least, values)
+
+
+def fitted(known: Classes, codes: DataFrame) -> Model:
+    """The model of the training texts, given as codes."""
+    size = END + 1
+    cells = codes.select("codes").mapInArrow(_class_pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros(size * size)
+    every[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    every = every.reshape(size, size)
+    n_docs = int(every[:, END].sum())
+    tokens, kinds = np.zeros(size), np.zeros(size)
+    for x in known.of.df.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect():
         tokens[x["class"]], kinds[x["class"]] = x["n"], x["c"]
     tokens[END], kinds[END] = n_docs, 1
     pair = _pair_values(every, tokens + 0.5 * (kinds + 1))
-    return Model(vocabulary, of, table_h, table_n, table_c, pair, least, int(tokens.sum()), int(kinds.sum()) - (n_docs == 0), n_docs, values)
+    return Model(known.vocabulary, known.of, pair, int(tokens.sum()), int(kinds.sum()) - (n_docs == 0), n_docs, known.likelihoods)
+
+
+def trained(docs: DataFrame, counts: DataFrame, **options: float) -> Model:
+    """docs: text of the training texts; counts: their words (h, n)."""
+    known = word_classes(docs, counts, **options)
+    return fitted(known, class_codes(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), known).df)
 
 
 def _scored(model: Model):
-    """A row per text with what the lookup table tells; ``pairs``: words before and at a token where one is outside."""
-    word = pa.struct([("v", pa.int64()), ("w", pa.int64())])
-    names = ["doc_id", "n_tokens", "n_known", "plain", "model", "pairs"]
-    lookup, counts, classes, value_of = model.lookup, model.counts, model.classes, model.pair
-    ends, base = model.ends, np.log10(model.tokens + 0.5 * (model.distinct + 1))
+    """Codes to sums over their tokens."""
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    value_of, ends, base = model.pair, model.ends, np.log10(model.tokens + 0.5 * (model.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                n_docs = part.num_rows
-                w = words(*flat(part.column(1)))
-                codes, found, at = _coded(w.hash, lookup, classes)
-                v, c, closed, doc = _pairs(codes, found, w.doc, n_docs)
-                n_tokens = np.bincount(doc, minlength=n_docs)
-                value = np.log10(counts[at[found]] + 0.5)
-                sums = np.bincount(w.doc[found], value, n_docs) + np.log10(ends + 0.5)
-                known = np.bincount(w.doc[found], minlength=n_docs) + (ends > 0)
-                plain, scores = sums - n_tokens * base, sums + np.bincount(doc[closed], value_of[v[closed], c[closed]], n_docs)
-                bounds = np.searchsorted(doc[~closed], np.arange(n_docs + 1)).astype(np.int32)
-                pairs = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(v[~closed]), pa.array(c[~closed])], fields=list(word)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(scores), pairs], names)
+                doc_id, codes, logs, n_known = part.columns
+                seq, offsets = flat(codes)
+                n_tokens = np.diff(offsets)
+                doc = np.repeat(np.arange(part.num_rows), n_tokens)
+                sums = logs.to_numpy() + np.log10(ends + 0.5)
+                score = sums + np.bincount(doc, value_of[_before(seq, END), seq], part.num_rows)
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(n_tokens), pa.array(n_known.to_numpy() + int(ends > 0)), pa.array(sums - n_tokens * base), pa.array(score)], names)
 
     return run
 
@@ -412,24 +486,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     train = rows.where(~held_out(F.col("doc_id"))).select("text")
     counts = Saved(train.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    model = trained(train, counts.df, **options)
+    known = word_classes(train, counts.df, **options)
     counts.drop()
-    seen = rows.mapInArrow(_scored(model), "doc_id long, n_tokens long, n_known long, plain double, model double, pairs array<struct<v:long,w:long>>")
-    seen = Saved(seen.withColumn("row", F.monotonically_increasing_id()), "seen")
-    pairs = _with_classes(seen.df.select("row", F.inline("pairs")), model.of.df.where(F.col("n") < model.least))
-    v, w = np.indices(model.pair.shape).reshape(2, -1)
-    # a row for each two classes
-    values = docs.sparkSession.createDataFrame(pa.table({"class_v": v, "class_w": w, "value": model.pair.reshape(-1)}))
-    word = ~F.col("w").between(0, END)
-    own = F.when(word, F.log10(F.coalesce("n_w", F.lit(0)) + 0.5)).otherwise(0.0)
-    more = pairs.join(F.broadcast(values), ["class_v", "class_w"]).groupBy("row").agg(
-        F.sum(own).alias("more"), F.sum(F.when(word & (F.col("n_w") > 0), 1).otherwise(0)).alias("more_known"), F.sum("value").alias("more_pairs")
-    )
-    out = seen.df.drop("pairs").join(more, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    codes = class_codes(rows, known).df
+    model = fitted(known, codes.where(~held_out(F.col("doc_id"))))
+    out = codes.mapInArrow(_scored(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("plain") + zero("more")).alias("base_score"), (F.col("model") + zero("more") + zero("more_pairs")).alias("score"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from slideqa.llm.bpe import op6_bpe
 from slideqa.llm.class_lm import op8_class_lm
 from slideqa.llm.decontaminate import OP1_SQL, op1_decontaminate
+from slideqa.llm.filter_audit import OP11_SQL, op11_filter_audit
 from slideqa.llm.licenses import OP10_SQL, op10_licenses
 from slideqa.llm.near_dup import OP2_SQL, op2_near_dup
 from slideqa.llm.quality import op4_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_class_lm": op8_class_lm,
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op3_url_filter": OP3_SQL,
     "op7_warc": OP7_SQL,
     "op10_licenses": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }

@@ -6,7 +6,7 @@ from slideqa.llm import queries
 from tests.compare import database, rows
 from tests.conftest import SMALL
 
-TABLE = {"op3_url_filter": "pages", "op7_warc": "pages", "op1_decontaminate": None}
+TABLE = {"op3_url_filter": "pages", "op7_warc": "pages", "op1_decontaminate": None, "op11_filter_audit": None, "op13_prefix_trie": None}
 
 
 @pytest.fixture(scope="module")

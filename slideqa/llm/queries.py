@@ -8,6 +8,7 @@ from slideqa.llm.decontaminate import OP1_SQL, op1_decontaminate
 from slideqa.llm.filter_audit import OP11_SQL, op11_filter_audit
 from slideqa.llm.licenses import OP10_SQL, op10_licenses
 from slideqa.llm.near_dup import OP2_SQL, op2_near_dup
+from slideqa.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from slideqa.llm.quality import op4_quality
 from slideqa.llm.secrets import op5_secrets
 from slideqa.llm.token_file import op9_token_file
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
     "op11_filter_audit": op11_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op7_warc": OP7_SQL,
     "op10_licenses": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

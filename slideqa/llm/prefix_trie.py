@@ -51,8 +51,8 @@ _DONE, _ORPHAN, _OPEN, _IDS = range(4)
 
 
 def sequences(turns: DataFrame) -> DataFrame:
-    """conv_id, key (the turns' digests, one after the other), sizes (code points of each text): a row a
-    conversation, in turn order, null first."""
+    """conv_id, t (array of d, the turn's digest in hex, and n, the code points of its text): a row a conversation, in
+    turn order, null first."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     digest = F.substring(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256), 1, 2 * WIDTH)
     rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", digest.alias("d"), F.length(text).cast("long").alias("n")).alias("t"))

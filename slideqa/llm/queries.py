@@ -10,6 +10,7 @@ from slideqa.llm.licenses import OP10_SQL, op10_licenses
 from slideqa.llm.near_dup import OP2_SQL, op2_near_dup
 from slideqa.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from slideqa.llm.quality import op4_quality
+from slideqa.llm.quality_net import op12_quality_net
 from slideqa.llm.secrets import op5_secrets
 from slideqa.llm.token_file import op9_token_file
 from slideqa.llm.url_filter import OP3_SQL, op3_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_file": op9_token_file,
     "op10_licenses": op10_licenses,
     "op11_filter_audit": op11_filter_audit,
+    "op12_quality_net": op12_quality_net,
     "op13_prefix_trie": op13_prefix_trie,
 }
 

@@ -16,7 +16,7 @@ crc32(doc_id) mod 4 is not 2; labels, languages, sources and ids are no inputs o
 
 Defined results: null and empty texts are documents without tokens, and get a score like others. Rows are scored one by
 one: repeated rows get repeated scores. A row without doc_id is scored and not held out. Labels that are neither 0 nor 1
-are not used; several of one document all count. Without labels of both kinds the score is the share of good labels,
+are not used; equal ones of one document count once, and of several texts of one doc_id the least vector is used. Without labels of both kinds the score is the share of good labels,
 (good + 1) / (all + 2). An empty table gives no rows. Other columns are not read.
 """
 
@@ -210,8 +210,9 @@ def held_out() -> F.Column:
 def fitted(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """From the labelled rows (doc_id, quality) that are not held out, ``sample`` at most."""
     marks = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    some = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    got = features.join(some, "doc_id").select("doc_id", "quality", "features").toArrow()
+    some = marks.where(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    # a row a label, however often its doc_id occurs
+    got = features.join(some, "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features")).toArrow()
     if not got.num_rows:
         return constant_network(0.5)
     x = np.stack(got["features"].to_pylist()).astype(np.float64)

@@ -406,12 +406,54 @@ def geometry_json(spark: SparkSession, d: str) -> DataFrame:
     return geometry.flattened_geometry(rows.select(F.concat(F.lit('{"'), "slide_id", F.lit('":'), inner, F.lit("}")).alias("value"))).select("slide_id", "cluster_id", "center_x", "count")
 
 
-@query()
+#: Growth of regions step by step: {PATCHES} in, grown (slide_id, patch_idx, cluster, size) out. A step takes the open patch of the best frozen similarity.
+_SIM = "CASE WHEN nf[{i}] * sqrt(list_inner_product(means[{k}], means[{k}])) = 0 THEN 0.0 ELSE list_inner_product(f[{i}], means[{k}]) / (nf[{i}] * sqrt(list_inner_product(means[{k}], means[{k}]))) END"
+_GROWN = """
+p AS (SELECT slide_id, patch_idx, x, y, list_transform(feature, lambda v: v::DOUBLE) AS feature FROM {PATCHES} p),
+s0 AS (SELECT slide_id, count(*) AS n, min(x) AS x0, min(y) AS y0, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, max(x) - min(x) AS w, max(y) - min(y) AS h,
+        list(feature ORDER BY patch_idx) AS f, list(sqrt(list_inner_product(feature, feature)) ORDER BY patch_idx) AS nf FROM p GROUP BY slide_id HAVING count(*) > 3),
+near AS (SELECT a.slide_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM p a JOIN p b ON a.slide_id = b.slide_id AND a.patch_idx < b.patch_idx GROUP BY a.slide_id),
+size AS (SELECT slide_id, CASE WHEN d > 1e-6 THEN d ELSE 512.0 END AS size FROM near),
+adj AS (SELECT slide_id, list(js ORDER BY i) AS adj FROM (SELECT a.slide_id, a.patch_idx AS i, coalesce(list(b.patch_idx + 1) FILTER (b.patch_idx <> a.patch_idx), []) AS js
+        FROM p a JOIN size USING (slide_id) JOIN p b ON a.slide_id = b.slide_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= (1.42 * size) ** 2 GROUP BY ALL) GROUP BY slide_id),
+seed AS (SELECT slide_id, list(i ORDER BY k) AS seeds FROM (SELECT slide_id, k, patch_idx + 1 AS i, row_number() OVER (PARTITION BY slide_id, k ORDER BY (x - tx) ** 2 + (y - ty) ** 2, patch_idx) AS r
+        FROM p JOIN (SELECT slide_id, 1 AS k, cx AS tx, cy + h * 0.25 AS ty FROM s0 UNION ALL SELECT slide_id, 2, cx - w * 0.25, cy - h * 0.25 FROM s0 UNION ALL SELECT slide_id, 3, cx + w * 0.25, cy - h * 0.25 FROM s0) USING (slide_id)) WHERE r = 1 GROUP BY slide_id),
+fixed AS (SELECT * FROM s0 JOIN adj USING (slide_id) JOIN seed USING (slide_id)),
+t0 AS (SELECT *, [f[seeds[1]], f[seeds[2]], f[seeds[3]]] AS means, list_transform(range(1, n + 1), lambda i: CASE WHEN i = seeds[3] THEN 3 WHEN i = seeds[2] THEN 2 WHEN i = seeds[1] THEN 1 ELSE 0 END) AS lab FROM fixed),
+g AS (SELECT slide_id, 0 AS step, lab, [1, 1, 1] AS members, means,
+        list_transform(range(1, n + 1), lambda i: CASE WHEN lab[i] = 0 THEN list_sort(list_transform(list_filter([1, 2, 3], lambda k: list_contains(adj[seeds[k]], i)), lambda k: {'s': -({INITIAL}), 'k': k}))[1] END) AS best FROM t0
+    UNION ALL
+    SELECT slide_id, step, lab, members, means, list_transform(range(1, n + 1), lambda j: CASE WHEN lab[j] = 0 AND list_contains(adj[i], j) THEN
+            list_sort(list_filter(list_append(list_transform(list_filter([1, 2, 3], lambda k: list_contains(list_transform(adj[j], lambda m: lab[m]), k)), lambda k: {'s': -({LATER}), 'k': k}) [1:3], best[j]), lambda b: b IS NOT NULL))[1] ELSE best[j] END) AS best
+    FROM (SELECT slide_id, step + 1 AS step, n, adj, f, nf, best, i, list_transform(range(1, n + 1), lambda j: CASE WHEN j = i THEN k ELSE lab[j] END) AS lab,
+            list_transform([1, 2, 3], lambda q: members[q] + CASE WHEN q = k THEN 1 ELSE 0 END) AS members,
+            list_transform([1, 2, 3], lambda q: CASE WHEN q = k THEN list_transform(list_zip(means[q], f[i]), lambda z: z[1] + (z[2] - z[1]) / (members[q] + 1)) ELSE means[q] END) AS means
+        FROM (SELECT *, pick.i AS i, pick.k AS k FROM (SELECT g.*, n, adj, f, nf, list_sort(list_transform(list_filter(range(1, n + 1), lambda i: lab[i] = 0 AND best[i] IS NOT NULL), lambda i: {'s': best[i].s, 'i': i, 'k': best[i].k}))[1] AS pick
+            FROM g JOIN fixed USING (slide_id)) WHERE pick IS NOT NULL))),
+last AS (SELECT arg_max(g, step) AS g FROM g GROUP BY slide_id),
+grown AS (SELECT slide_id, unnest(range(0, n))::INTEGER AS patch_idx, unnest(list_transform(range(1, n + 1), lambda i: CASE WHEN lab[i] > 0 THEN lab[i] ELSE list_sort(list_transform([1, 2, 3], lambda k: {'s': -({LATER_I}), 'k': k}))[1].k END))::INTEGER - 1 AS cluster
+    FROM (SELECT g.lab AS lab, g.means AS means, fixed.* FROM last JOIN fixed ON fixed.slide_id = g.slide_id))
+"""
+_GROWN = "WITH RECURSIVE " + _GROWN.strip().replace("{INITIAL}", _SIM.format(i="i", k="k")).replace("{LATER}", _SIM.format(i="j", k="k")).replace("{LATER_I}", _SIM.format(i="i", k="k"))
+#: The largest circle of each cluster: every cell against every cell of the grid that isn't of the cluster.
+_CIRCLED = _GROWN + """,
+cell AS (SELECT DISTINCT slide_id, k, CASE WHEN cluster = k THEN round((y - y0) / size)::BIGINT END AS r, CASE WHEN cluster = k THEN round((x - x0) / size)::BIGINT END AS c
+    FROM grown JOIN p USING (slide_id, patch_idx) JOIN s0 USING (slide_id) JOIN size USING (slide_id), range(0, 3) t(k)),
+counts AS (SELECT slide_id, k, count(*) FILTER (cluster = k) AS count, max(round((y - y0) / size))::BIGINT + 1 AS h, max(round((x - x0) / size))::BIGINT + 1 AS w
+    FROM grown JOIN p USING (slide_id, patch_idx) JOIN s0 USING (slide_id) JOIN size USING (slide_id), range(0, 3) t(k) GROUP BY ALL),
+clear AS (SELECT slide_id, k, r, c FROM (SELECT slide_id, k, r, unnest(range(0, w)) AS c FROM (SELECT slide_id, k, w, unnest(range(0, h)) AS r FROM counts)) ANTI JOIN cell USING (slide_id, k, r, c)),
+dist AS (SELECT a.slide_id, a.k, a.r, a.c, coalesce(min((a.r - b.r) ** 2 + (a.c - b.c) ** 2), any_value(greatest(h, w) ** 2)) AS d FROM (SELECT * FROM cell WHERE r IS NOT NULL) a JOIN counts USING (slide_id, k) LEFT JOIN clear b ON a.slide_id = b.slide_id AND a.k = b.k GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY slide_id, k ORDER BY d DESC, r, c) AS place FROM dist)
+SELECT counts.slide_id, 'cluster_' || counts.k AS cluster_id, coalesce(top.c * size + x0, 0.0) AS center_x, coalesce(top.r * size + y0, 0.0) AS center_y, coalesce(sqrt(d), 0.0) * size AS radius, count
+FROM counts JOIN s0 USING (slide_id) JOIN size USING (slide_id) LEFT JOIN top ON top.slide_id = counts.slide_id AND top.k = counts.k AND place = 1"""
+
+
+@query(_GROWN + " SELECT slide_id, patch_idx, cluster FROM grown")
 def region_growing(spark: SparkSession, d: str) -> DataFrame:
     return regions.grow_regions(v.view(spark, d, v.PATCHES))
 
 
-@query()
+@query(_CIRCLED)
 def region_circles(spark: SparkSession, d: str) -> DataFrame:
     patches = v.view(spark, d, v.PATCHES)
     return regions.circles(patches, regions.grow_regions(patches))

@@ -28,6 +28,9 @@ FOCUS = {
 LEAST_BYTES = {"inference_results.json": 100, "vqa.jsonl": 50}
 QA_KINDS = ["qa_single_choice", "qa_multiple_choice", "caption_qa"]
 
+#: Values from which the bounds of ranges are taken, and bounds a task, at most: a range holds a thousandth of a task's values.
+RANK_SAMPLE, RANK_RANGES = 20_000, 1000
+
 
 def _literal(rows: list[dict]):
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
@@ -154,15 +157,39 @@ def long_labels(labels: DataFrame, tasks: list[str]) -> DataFrame:
     return labels.select("id", *[F.col(t).cast("string").alias(t) for t in tasks]).unpivot(["id"], tasks, "task", "value").where("value is not null")
 
 
-def label_ids(long: DataFrame) -> DataFrame:
-    """Adds label: the value's place among its task's sorted values. Only distinct values are ranked."""
-    values = long.select("task", "value").distinct().withColumn("label", F.dense_rank().over(Window.partitionBy("task").orderBy("value")) - 1)
-    return long.join(F.broadcast(values) if values.limit(100_001).count() <= 100_000 else values, ["task", "value"])
+def value_ranges(values: DataFrame, sample: int = RANK_SAMPLE, ranges: int = RANK_RANGES) -> DataFrame:
+    """Adds range, a number that grows with value inside its task. Bounds are taken from the ``sample`` values of the
+    smallest hashes, which are the same whenever the plan runs; a task has ``ranges`` bounds at most."""
+    some = values.orderBy(F.xxhash64("task", "value"), "task", "value").limit(sample).collect()
+    by_task: dict[str, list] = {}
+    for r in sorted(some):
+        by_task.setdefault(r.task, []).append(r.value)
+    bounds = [(t, x[:: -(-len(x) // ranges)]) for t, x in by_task.items()]
+    table = values.sparkSession.createDataFrame(bounds, values.select("task", F.array("value").alias("bounds")).schema)
+    below = F.size(F.filter(F.coalesce("bounds", F.array().cast(table.schema["bounds"].dataType)), lambda b: b <= F.col("value")))
+    return values.join(F.broadcast(table), "task", "left").select(*values.columns, below.alias("range"))
+
+
+def label_ids(long: DataFrame, sample: int = RANK_SAMPLE, ranges: int = RANK_RANGES) -> DataFrame:
+    """Adds label: the value's place among its task's sorted values. Distinct values are dealt to ranges, numbered in
+    their range, and moved up by the counts of the ranges before it; no task's values meet in one place."""
+    values = value_ranges(long.select("task", "value").distinct(), sample, ranges)
+    counts = sorted(map(tuple, values.groupBy("task", "range").agg(F.count("*").alias("n")).collect()))
+    before, offsets = {}, []
+    for task, place, n in counts:
+        offsets.append((task, place, before.get(task, 0)))
+        before[task] = before.get(task, 0) + n
+    offsets = values.sparkSession.createDataFrame(offsets, values.select("task", "range", F.lit(0).cast("long").alias("offset")).schema)
+    inside = F.row_number().over(Window.partitionBy("task", "range").orderBy("value"))
+    labels = values.withColumn("inside", inside).join(F.broadcast(offsets), ["task", "range"]).select("task", "value", (F.col("offset") + F.col("inside") - 1).cast("int").alias("label"))
+    return long.join(F.broadcast(labels) if sum(before.values()) <= 100_000 else labels, ["task", "value"])
 
 
 def class_inventory(long: DataFrame) -> DataFrame:
-    """task, classes (sorted), n_classes, task_type (binary or multi), width (1 or n)."""
-    out = long.groupBy("task").agg(F.array_sort(F.collect_set("value")).alias("classes")).withColumn("n_classes", F.size("classes"))
+    """task, classes (sorted), n_classes, task_type (binary or multi), width (1 or n). Classes are sorted range by
+    range; a task's row, which lists them all, is joined together from the sorted pieces."""
+    pieces = value_ranges(long.select("task", "value").distinct()).groupBy("task", "range").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    out = pieces.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("range", "values"))).alias("p")).select("task", F.flatten(F.transform("p", lambda x: x["values"])).alias("classes")).withColumn("n_classes", F.size("classes"))
     return out.withColumns({"task_type": F.when(F.col("n_classes") == 2, "binary").otherwise("multi"), "width": F.when(F.col("n_classes") == 2, 1).otherwise(F.col("n_classes"))})
 
 

@@ -1,10 +1,15 @@
 """Token sequences of slides: one global token, then packs of patch tokens and a summary token.
 
-Random choices are orders by a hash of (seed, slide, number), so they don't depend on partitions, and repeat.
+Random choices are orders by a hash of (seed, slide, number), so they don't depend on partitions, and repeat. The k
+first of a slide are found without sorting it: a histogram of the hashes tells in which bucket the k-th stands, only
+that bucket is ordered, and the k-th's place is then a threshold a slide, held against each row where it is. Embeddings
+pass no window. A choice takes any ``draw`` of a long from a seed and columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +17,53 @@ from pyspark.sql import functions as F
 
 PACK = 9
 LONGEST = 200_000
+#: Groups whose thresholds, some 50 bytes each, are sent to all tasks.
+CUTS = 100_000
 
 
 def seeded(seed: int, *parts: str) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
+def portable(seed: int, *parts: str) -> Column:
+    """A draw that other systems can repeat: the first 60 bits of the MD5 of seed and parts, joined by |."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+Draw = Callable[..., Column]
+
+
+def thresholds(rows: DataFrame, keep: Callable[[Column], Column], by: str = "slide_id") -> DataFrame:
+    """by, n and cut: the keep(n)-th smallest order of each group's n rows (by, order: a struct that begins with a
+    long, no two alike). A group without any to keep has no row, one that keeps all has a null cut."""
+    bucket = F.shiftright(F.col("order")[rows.schema["order"].dataType.names[0]], 52)
+    rows = rows.select(by, "order", bucket.alias("_bucket"))
+    counts = rows.groupBy(by, "_bucket").agg(F.count("*").alias("c")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_bucket", "c"))).alias("h"), F.sum("c").alias("n"))
+    state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("rank"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = s["bucket"].isNull() & (s["seen"] + x["c"] >= F.col("k"))
+        return F.struct((s["seen"] + x["c"]).alias("seen"), F.when(here, x["_bucket"]).otherwise(s["bucket"]).alias("bucket"), F.when(here, F.col("k") - s["seen"]).otherwise(s["rank"]).alias("rank"))
+
+    found = counts.withColumn("k", keep(F.col("n")).cast("long")).where("k > 0").withColumn("s", F.aggregate("h", state, step))
+    found = found.select(by, "n", F.when(F.col("k") < F.col("n"), F.col("s.bucket")).alias("_bucket"), F.col("s.rank").alias("rank"))
+    ordered = rows.join(found.where("_bucket is not null"), [by, "_bucket"]).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("order")))
+    cut = ordered.where("r = rank").select(by, "n", F.col("order").alias("cut"))
+    return cut.unionByName(found.where("_bucket is null").select(by, "n", F.lit(None).cast(rows.schema["order"].dataType).alias("cut")))
+
+
+def _within(rows: DataFrame, cuts: DataFrame, order: Column, by: str = "slide_id") -> DataFrame:
+    """Adds within: whether the order is at or before its group's cut; null for groups without one."""
+    cuts = cuts.select(by, "cut", F.lit(True).alias("_known"))
+    cuts = F.broadcast(cuts) if cuts.limit(CUTS + 1).count() <= CUTS else cuts
+    return rows.join(cuts, by, "left").withColumn("within", F.when(F.col("_known"), F.col("cut").isNull() | (order <= F.col("cut")))).drop("cut", "_known")
+
+
+def _order(draw: Draw, seed: int, *parts: str) -> Column:
+    return F.struct(draw(seed, "slide_id", *parts).alias("h"), *parts)
+
+
 def with_roles(tokens: DataFrame, pack: int = PACK) -> DataFrame:
     """Adds seq_len, token_type (global, patch, summary), pack_idx (-1 for global), position. The last token
     of a short last pack is its summary."""
@@ -57,53 +103,51 @@ def _kept(n: Column, ratio: float, most: int | None = None) -> Column:
     return keep if most is None else F.least(keep, F.lit(most))
 
 
-def drop_packs(tokens: DataFrame, ratio: float, most: int = 800, seed: int = 0, pack: int = PACK) -> DataFrame:
+def _packs(roles: DataFrame, pack: int) -> DataFrame:
+    """slide_id, pack_idx of every pack, from the sequences' lengths."""
+    lengths = roles.select("slide_id", "seq_len").distinct().where("seq_len > 1")
+    return lengths.select("slide_id", F.explode(F.sequence(F.lit(0), F.expr(f"cast((seq_len - 2) div {pack + 1} as int)"))).alias("pack_idx"))
+
+
+def drop_packs(tokens: DataFrame, ratio: float, most: int = 800, seed: int = 0, pack: int = PACK, draw: Draw = seeded) -> DataFrame:
     """Keeps a random choice of each slide's packs in order, and the global token; slides of one pack or
     none stay whole."""
-    roles = with_roles(tokens, pack)
-    numbers = roles.where("pack_idx >= 0").select("slide_id", "pack_idx").distinct()
-    w = Window.partitionBy("slide_id")
-    numbers = numbers.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(seeded(seed, "slide_id", "pack_idx"), "pack_idx")))
-    keep = numbers.where((F.col("n") <= 1) | (F.col("r") <= _kept(F.col("n"), ratio, most))).select("slide_id", "pack_idx")
-    first = roles.where("pack_idx < 0")
-    return first.unionByName(roles.where("pack_idx >= 0").join(keep, ["slide_id", "pack_idx"], "left_semi")).select(*tokens.columns)
+    roles, order = with_roles(tokens, pack), _order(draw, seed, "pack_idx")
+    cuts = thresholds(_packs(with_roles(tokens.select("slide_id", "token_idx"), pack), pack).select("slide_id", order.alias("order")), lambda n: F.when(n <= 1, n).otherwise(_kept(n, ratio, most)))
+    return _within(roles, cuts, order).where("pack_idx < 0 or within").select(*tokens.columns)
 
 
-def mask_patches(tokens: DataFrame, ratio: float = 0.75, seed: int = 0, pack: int = PACK) -> DataFrame:
+def mask_patches(tokens: DataFrame, ratio: float = 0.75, seed: int = 0, pack: int = PACK, draw: Draw = seeded) -> DataFrame:
     """Adds masked: all but a random choice of the patch tokens of each slide."""
-    roles = with_roles(tokens, pack)
-    patch = F.col("token_type") == "patch"
-    w = Window.partitionBy("slide_id", "token_type")
-    r = F.row_number().over(w.orderBy(seeded(seed, "slide_id", "token_idx"), "token_idx"))
-    out = roles.withColumn("n", F.count("*").over(w)).withColumn("r", r)
-    return out.withColumn("masked", patch & (F.col("r") > _kept(F.col("n"), ratio))).drop("n", "r")
+    roles, order = with_roles(tokens, pack), _order(draw, seed, "token_idx")
+    patches = with_roles(tokens.select("slide_id", "token_idx"), pack).where("token_type = 'patch'").select("slide_id", order.alias("order"))
+    out = _within(roles, thresholds(patches, lambda n: _kept(n, ratio)), order)
+    return out.withColumn("masked", (F.col("token_type") == "patch") & ~F.col("within")).drop("within")
 
 
-def mask_packs(tokens: DataFrame, ratio: float = 0.75, seed: int = 0, pack: int = PACK) -> DataFrame:
+def mask_packs(tokens: DataFrame, ratio: float = 0.75, seed: int = 0, pack: int = PACK, draw: Draw = seeded) -> DataFrame:
     """Adds masked: whole packs, but for a random choice; the global token stays visible."""
-    roles = with_roles(tokens, pack)
-    w = Window.partitionBy("slide_id")
-    numbers = roles.where("pack_idx >= 0").select("slide_id", "pack_idx").distinct()
-    numbers = numbers.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(seeded(seed, "slide_id", "pack_idx"), "pack_idx")))
-    numbers = numbers.select("slide_id", "pack_idx", (F.col("r") > _kept(F.col("n"), ratio)).alias("masked"))
-    return roles.join(numbers, ["slide_id", "pack_idx"], "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
+    roles, order = with_roles(tokens, pack), _order(draw, seed, "pack_idx")
+    packs = _packs(with_roles(tokens.select("slide_id", "token_idx"), pack), pack).select("slide_id", order.alias("order"))
+    out = _within(roles, thresholds(packs, lambda n: _kept(n, ratio)), order)
+    return out.withColumn("masked", (F.col("pack_idx") >= 0) & F.coalesce(~F.col("within"), F.lit(False))).drop("within")
 
 
 def _usable(summaries: DataFrame, lengths: DataFrame | None, longest: int) -> DataFrame:
     return summaries if lengths is None else summaries.join(lengths.where(F.col("seq_len") <= longest).select("slide_id"), "slide_id", "left_semi")
 
 
-def adjacent_pairs(summaries: DataFrame, most: int | None = None, seed: int = 0, lengths: DataFrame | None = None, longest: int = LONGEST) -> DataFrame:
+def adjacent_pairs(summaries: DataFrame, most: int | None = None, seed: int = 0, lengths: DataFrame | None = None, longest: int = LONGEST, draw: Draw = seeded) -> DataFrame:
     """slide_id, a, b of neighbouring summaries, both directions; ``most`` random ones per slide. summaries:
     slide_id, n (count of the slide's summaries). Slides longer than ``longest`` are left out."""
     rows = _usable(summaries, lengths, longest).where("n >= 2").select("slide_id", F.explode(F.expr("sequence(0, cast(n as int) - 2)")).alias("i"))
     pairs = rows.select("slide_id", F.inline(F.array(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b")), F.struct((F.col("i") + 1).alias("a"), F.col("i").alias("b")))))
-    return _capped(pairs, most, seed)
+    return _capped(pairs, most, seed, draw)
 
 
-def self_pairs(summaries: DataFrame, most: int | None = None, seed: int = 0, lengths: DataFrame | None = None, longest: int = LONGEST) -> DataFrame:
+def self_pairs(summaries: DataFrame, most: int | None = None, seed: int = 0, lengths: DataFrame | None = None, longest: int = LONGEST, draw: Draw = seeded) -> DataFrame:
     rows = _usable(summaries, lengths, longest).where("n >= 2").select("slide_id", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("a"))
-    return _capped(rows.withColumn("b", F.col("a")), most, seed)
+    return _capped(rows.withColumn("b", F.col("a")), most, seed, draw)
 
 
 def mixed_pairs(summaries: DataFrame, most: int | None = None, seed: int = 0) -> DataFrame:
@@ -112,11 +156,12 @@ def mixed_pairs(summaries: DataFrame, most: int | None = None, seed: int = 0) ->
     return adjacent_pairs(summaries.where(coin == 0), most, seed).withColumn("kind", F.lit("adjacent")).unionByName(self_pairs(summaries.where(coin == 1), most, seed).withColumn("kind", F.lit("noise")))
 
 
-def _capped(pairs: DataFrame, most: int | None, seed: int) -> DataFrame:
+def _capped(pairs: DataFrame, most: int | None, seed: int, draw: Draw = seeded) -> DataFrame:
     if most is None:
         return pairs
-    w = Window.partitionBy("slide_id").orderBy(seeded(seed, "slide_id", "a", "b"), "a", "b")
-    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    order = _order(draw, seed, "a", "b")
+    cuts = thresholds(pairs.select("slide_id", order.alias("order")), lambda n: F.least(n, F.lit(most)))
+    return _within(pairs, cuts, order).where("within").drop("within")
 
 
 def add_noise(rows: DataFrame, std: float = 0.1, seed: int = 0, key: tuple[str, str] = ("slide_id", "token_idx")) -> DataFrame:

@@ -481,22 +481,28 @@ def pack_ranges(spark: SparkSession, d: str) -> DataFrame:
     return tokens.pack_ranges(tokens.with_roles(v.view(spark, d, v.TOKENS)))
 
 
-@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(DISTINCT pack_idx) AS packs FROM r WHERE pack_idx >= 0 GROUP BY 1) SELECT slide_id, CASE WHEN packs <= 1 THEN packs ELSE least(greatest(1, trunc(packs * (1 - 0.2::double))::bigint), 5) END AS kept FROM n")
+#: The portable draw of a row's ids in plain SQL.
+_DRAW = "('0x' || substr(md5('{seed}|' || slide_id || '|' || {ids}), 1, 15))::BIGINT"
+_PACK_RANKS = "q AS (SELECT DISTINCT slide_id, pack_idx FROM r WHERE pack_idx >= 0), k AS (SELECT *, count(*) OVER (PARTITION BY slide_id) AS n, row_number() OVER (PARTITION BY slide_id ORDER BY " + _DRAW.format(seed=5, ids="pack_idx") + ", pack_idx) AS place FROM q)"
+
+
+@query("WITH " + _ROLES + ", " + _PACK_RANKS + """ SELECT r.slide_id, r.token_idx, len(embedding) AS dim FROM r LEFT JOIN k ON k.slide_id = r.slide_id AND k.pack_idx = r.pack_idx
+WHERE r.pack_idx < 0 OR n <= 1 OR place <= least(greatest(1, trunc(n * (1 - 0.2::double))::bigint), 5)""")
 def dropped_packs(spark: SparkSession, d: str) -> DataFrame:
-    kept = tokens.with_roles(tokens.drop_packs(v.view(spark, d, v.TOKENS), 0.2, 5).withColumnRenamed("token_idx", "old").withColumn("token_idx", F.col("old")))
-    return kept.where("pack_idx >= 0").groupBy("slide_id").agg(F.count_distinct("pack_idx").alias("kept"))
+    kept = tokens.drop_packs(v.view(spark, d, v.TOKENS), 0.2, 5, seed=5, draw=tokens.portable)
+    return kept.select("slide_id", "token_idx", F.size("embedding").cast("long").alias("dim"))
 
 
-@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(*) FILTER (token_type = 'patch') AS p FROM r GROUP BY 1) SELECT slide_id, p - greatest(1, trunc(p * (1 - 0.75::double))::bigint) AS masked FROM n")
+@query("WITH " + _ROLES + ", k AS (SELECT *, token_type = 'patch' AS p, count(*) OVER (PARTITION BY slide_id, token_type) AS n, row_number() OVER (PARTITION BY slide_id, token_type ORDER BY " + _DRAW.format(seed=3, ids="token_idx") + """, token_idx) AS place FROM r)
+SELECT slide_id, token_idx, p AND place > greatest(1, trunc(n * (1 - 0.75::double))::bigint) AS masked, len(embedding) AS dim FROM k""")
 def masked_patches(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.mask_patches(v.view(spark, d, v.TOKENS)).groupBy("slide_id").agg(F.count_if("masked").alias("masked"))
+    return tokens.mask_patches(v.view(spark, d, v.TOKENS), seed=3, draw=tokens.portable).select("slide_id", "token_idx", "masked", F.size("embedding").cast("long").alias("dim"))
 
 
-@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(DISTINCT pack_idx) FILTER (pack_idx >= 0) AS p FROM r GROUP BY 1) SELECT slide_id, p - greatest(1, trunc(p * (1 - 0.75::double))::bigint) AS masked FROM n")
+@query("WITH " + _ROLES + ", " + _PACK_RANKS + """ SELECT r.slide_id, r.token_idx, r.pack_idx, coalesce(place > greatest(1, trunc(n * (1 - 0.75::double))::bigint), false) AS masked
+FROM r LEFT JOIN k ON k.slide_id = r.slide_id AND k.pack_idx = r.pack_idx""")
 def masked_packs(spark: SparkSession, d: str) -> DataFrame:
-    out = tokens.mask_packs(v.view(spark, d, v.TOKENS)).where("masked")
-    every = v.view(spark, d, v.TOKENS).select("slide_id").distinct()
-    return every.join(out.groupBy("slide_id").agg(F.count_distinct("pack_idx").alias("m")), "slide_id", "left").select("slide_id", F.coalesce("m", F.lit(0)).alias("masked"))
+    return tokens.mask_packs(v.view(spark, d, v.TOKENS), seed=5, draw=tokens.portable).select("slide_id", "token_idx", "pack_idx", "masked")
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -508,9 +514,9 @@ def adjacent_pairs(spark: SparkSession, d: str) -> DataFrame:
     return tokens.adjacent_pairs(_summaries(spark, d))
 
 
-@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(*) AS n FROM r WHERE token_type = 'summary' GROUP BY 1) SELECT slide_id, least(n, 3) AS pairs FROM n WHERE n >= 2")
+@query("WITH " + _ROLES + ", n AS (SELECT slide_id, count(*) AS n FROM r WHERE token_type = 'summary' GROUP BY 1), p AS (SELECT slide_id, unnest(range(n))::int AS a FROM n WHERE n >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY " + _DRAW.format(seed=1, ids="a || '|' || a") + ", a) AS place FROM p) SELECT slide_id, a, a AS b FROM k WHERE place <= 3")
 def capped_self_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.self_pairs(_summaries(spark, d), 3).groupBy("slide_id").agg(F.count("*").alias("pairs"))
+    return tokens.self_pairs(_summaries(spark, d), 3, seed=1, draw=tokens.portable)
 
 
 @query()

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ def _block(rows: pa.Table) -> pa.Table:
     keys, lists = rows["key"].combine_chunks(), rows["sizes"].combine_chunks()
     raw = keys.buffers()[2]
     first = int(np.frombuffer(keys.buffers()[1], np.int32 if keys.type == pa.binary() else np.int64)[keys.offset])
-    turns = pa.compute.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
+    turns = pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64) // WIDTH
     starts = np.cumsum(turns) - turns
     data = (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[first : first + int(turns.sum()) * WIDTH]
     shared = common_turns(data.view(np.uint64).reshape(-1, 2), starts, turns)

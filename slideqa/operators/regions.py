@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,8 +250,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[
         while more():
             ids = state["batch"].column("slide_id")
             here = ids.slice(state["at"])
-            same = pa.compute.is_null(here) if slide is None else pa.compute.fill_null(pa.compute.equal(here, slide), False)
-            n = pa.compute.index(same, False).as_py()
+            same = pc.is_null(here) if slide is None else pc.fill_null(pc.equal(here, slide), False)
+            n = pc.index(same, False).as_py()
             n = len(here) if n < 0 else n
             if n:
                 yield state["batch"].slice(state["at"], n)

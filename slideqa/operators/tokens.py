@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +20,13 @@ LONGEST = 200_000
 CUTS = 100_000
 
 
-def seeded(seed: int, *parts: str) -> Column:
+def seeded(seed: int, *parts: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
-def portable(seed: int, *parts: str) -> Column:
+def portable(seed: int, *parts: str | Column) -> Column:
     """A draw that other systems can repeat: the first 60 bits of the MD5 of seed and parts, joined by |."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -164,14 +163,12 @@ def _capped(pairs: DataFrame, most: int | None, seed: int, draw: Draw = seeded)
     return _within(pairs, cuts, order).where("within").drop("within")
 
 
-def add_noise(rows: DataFrame, std: float = 0.1, seed: int = 0, key: tuple[str, str] = ("slide_id", "token_idx")) -> DataFrame:
-    """Gaussian noise on each embedding, drawn from a generator that its own key seeds."""
-
-    @F.pandas_udf("array<float>")
-    def noisy(embedding: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(e, float) + std * np.random.Generator(np.random.PCG64(k & 0xFFFFFFFFFFFFFFFF)).standard_normal(len(e))).astype(np.float32) for e, k in zip(embedding, h, strict=True)])
-
-    return rows.withColumn("embedding", noisy("embedding", seeded(seed, *key)))
+def add_noise(rows: DataFrame, std: float = 0.1, seed: int = 0, key: tuple[str, str] = ("slide_id", "token_idx"), draw: Draw = seeded) -> DataFrame:
+    """Gaussian noise on each embedding, from two uniform draws an element (Box-Muller) by its key and place."""
+    bits = (1 << 52) - 1
+    uniform = lambda i, which: (draw(seed, *key, i, F.lit(which)).bitwiseAND(F.lit(bits)) + 0.5) / float(1 << 52)
+    noise = lambda i: F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * np.pi * uniform(i, 1))
+    return rows.withColumn("embedding", F.transform("embedding", lambda x, i: (x + std * noise(i)).cast("float")))
 
 
 def distant_partner(slides: DataFrame, gap: int, seed: int = 0) -> DataFrame:

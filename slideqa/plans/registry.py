@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slideqa.functions import llm_text, options
 from slideqa.operators import cases, corpus, geometry, regions, scoring, tasks, tokens
 from slideqa.plans import views as v
-from slideqa.sources import readers
+from slideqa.sources import readers, shared, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -519,10 +519,14 @@ def capped_self_pairs(spark: SparkSession, d: str) -> DataFrame:
     return tokens.self_pairs(_summaries(spark, d), 3, seed=1, draw=tokens.portable)
 
 
-@query()
+_UNIFORM = "((" + _DRAW.format(seed=2, ids="token_idx || '|' || (i - 1) || '|{which}'") + " & 4503599627370495) + 0.5) / 4503599627370496.0"
+
+
+@query("WITH e AS (SELECT slide_id, token_idx, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM {TOKENS} t) SELECT slide_id, token_idx, i::int AS place, round((x + 0.1 * sqrt(-2 * ln(" + _UNIFORM.replace("{which}", "0") + ")) * cos(2 * pi() * " + _UNIFORM.replace("{which}", "1") + "))::float::double, 5) AS value FROM e")
 def noisy_tokens(spark: SparkSession, d: str) -> DataFrame:
-    out = tokens.add_noise(v.view(spark, d, v.TOKENS))
-    return out.select("slide_id", "token_idx", F.size("embedding").alias("dim"), "embedding")
+    out = tokens.add_noise(v.view(spark, d, v.TOKENS), seed=2, draw=tokens.portable)
+    flat = out.select("slide_id", "token_idx", F.posexplode("embedding").alias("i", "x"))
+    return flat.select("slide_id", "token_idx", (F.col("i") + 1).alias("place"), F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 @query("SELECT c_name AS slide_id, c_custkey - (SELECT min(c_custkey) FROM customer) AS idx, true AS far FROM customer")
@@ -624,7 +628,7 @@ def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT image, code, format, copy, 'q of ' || image AS question FROM " + _TASKS + " WHERE length(image) % 2 = 0 UNION ALL SELECT image, code, format, copy, 'second' FROM " + _TASKS + " WHERE length(image) % 3 = 0 AND length(image) % 2 = 0")
 def attached_outputs(spark: SparkSession, d: str) -> DataFrame:
-    rows = tasks.expand_tasks(_images(spark, d))
+    rows = tasks.expand_tasks(shared.spread(_images(spark, d)))
     one = "'{\"question\":\"q of ' || image || '\"}'"
     outputs = rows.selectExpr("task_id", f"CASE WHEN length(image) % 6 = 0 THEN 'Here: [' || {one} || ',{{\"question\":\"second\"}}]' WHEN length(image) % 2 = 0 THEN 'Here: ' || {one} ELSE 'failed' END as text")
     return tasks.attach_outputs(rows, outputs).select("image", "code", "format", "copy", F.get_json_object("item", "$.question").alias("question"))
@@ -649,6 +653,15 @@ def gathered_texts(spark: SparkSession, d: str) -> DataFrame:
     return tasks.gathered_texts(_levels(spark, d)[2])
 
 
+@query("""WITH c AS (SELECT slide_id, cluster_id, count, row_number() OVER (PARTITION BY slide_id ORDER BY cluster_id) AS k, count(*) OVER (PARTITION BY slide_id) AS n FROM {GEOMETRY} g)
+SELECT slide_id, 1 AS place, '{"slide_id":"' || slide_id || '","summary":"' || S.summary || '","clusters":[' AS line FROM (SELECT DISTINCT slide_id, 'slide ' || slide_id AS summary FROM {GEOMETRY} g) S
+UNION ALL SELECT slide_id, (4 * k - 2 + i)::int, CASE i WHEN 0 THEN CASE WHEN k > 1 THEN ',' ELSE '' END || '{"cluster_id":"' || cluster_id || '","cluster_summary":"' || 'cluster ' || count || '","rois":['
+    WHEN 3 THEN ']}' ELSE CASE i WHEN 2 THEN ',' ELSE '' END || '{"magnification":' || (10 * i) || ',"text":"' || 't' || (10 * i) || '"}' END FROM c, range(0, 4) t(i)
+UNION ALL SELECT DISTINCT slide_id, (4 * n + 2)::int, ']}' FROM c""")
+def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    return writers.nested_lines(*_levels(spark, d))
+
+
 @query("SELECT slide_id, count(*) AS clusters, 2 * count(*) AS rois, string_agg(cluster_id, ',' ORDER BY cluster_id) AS names FROM {GEOMETRY} g GROUP BY 1")
 def nested_slides(spark: SparkSession, d: str) -> DataFrame:
     out = tasks.nested(*_levels(spark, d))
@@ -793,3 +806,92 @@ def session_items(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/events.parquet").selectExpr("CASE event_id % 2 WHEN 0 THEN '{\"wsi_id\": \"a\"}' ELSE '[{\"wsi_id\": \"b\"}, 3, {\"wsi_id\": \"b\"}]' END as value")
     items = readers.document_items(docs)
     return items.groupBy(F.get_json_object("item", "$.wsi_id").alias("kind")).agg(F.count("*").alias("rows"))
+
+
+# Files written from the tables and read again: sources and sinks end to end.
+
+
+@query("WITH " + _RECORDS + "SELECT p_partkey, CASE WHEN reject_reason IS NULL THEN 'accepted' ELSE 'rejected' END AS kind, answer_text, reject_reason FROM r")
+def split_lines(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.shared_path(spark, "split")
+    writers.write_split(_records(spark, d).select("p_partkey", "answer_text", "reject_reason"), path)
+    fields = "p_partkey long, answer_text string, reject_reason string"
+    read = [writers.read_split(spark, path, k).select(F.from_json("value", fields).alias("r")).select("r.*", F.lit(k).alias("kind")) for k in ("accepted", "rejected")]
+    return read[0].unionByName(read[1])
+
+
+@query("WITH " + _RECORDS + "SELECT count(*) AS total, count(*) FILTER (reject_reason IS NULL) AS success, count(*) FILTER (reject_reason IS NOT NULL) AS filtered, 100 * count(*) FILTER (reject_reason IS NULL) / count(*) AS success_rate FROM r")
+def split_stats(spark: SparkSession, d: str) -> DataFrame:
+    found = writers.write_split(_records(spark, d).select("p_partkey", "reject_reason"), shared.shared_path(spark, "split"))
+    return spark.createDataFrame([tuple(found.values())], "total long, success long, filtered long, success_rate double")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def written_lines(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.shared_path(spark, "lines")
+    writers.write_jsonl(spark.read.parquet(f"{d}/conversations.parquet"), path)
+    return readers.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")[0]
+
+
+@query("SELECT 'session_' || (conv_id % 4) AS session, conv_id, turn FROM conversations UNION ALL SELECT NULL, conv_id, turn FROM conversations")
+def question_layouts(spark: SparkSession, d: str) -> DataFrame:
+    root = shared.shared_path(spark, "questions")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn")
+    writers.write_jsonl(rows, f"{root}/vqa.jsonl")
+    for k in range(4):
+        writers.write_jsonl(rows.where(F.col("conv_id") % 4 == k), f"{root}/session_{k}/vqa.jsonl")
+    both = readers.read_question_lines(spark, root, False).unionByName(readers.read_question_lines(spark, root, True))
+    return both.select("session", F.from_json("value", "conv_id long, turn long").alias("r")).select("session", "r.*")
+
+
+@query("SELECT s_name || '.svs' AS filename, s_suppkey::varchar AS size, s_nationkey::varchar AS checksum FROM supplier")
+def manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.shared_path(spark, "manifest")
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat("s_name", F.lit(".svs")).alias("filename"), F.col("s_suppkey").alias("size"), F.col("s_nationkey").alias("checksum"))
+    rows.write.csv(path, sep="\t", header=True)
+    return readers.read_manifest(spark, path)
+
+
+@query("SELECT lpad(id, 9, '0') AS id, quality::varchar AS quality, lang FROM {LABELS} l")
+def label_files(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.shared_path(spark, "labels")
+    v.view(spark, d, v.LABELS).select(F.lpad("id", 9, "0").alias("id"), "quality", "lang").write.csv(path, header=True)
+    return readers.read_labels(spark, path)
+
+
+@query("SELECT img, diagnosis FROM {CASES} c")
+def case_files(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.shared_path(spark, "cases")
+    # every seventh case is a document of its own, the others are lists
+    lists = v.view(spark, d, v.CASES).withColumn("block", F.expr("position div 50")).withColumn("alone", F.col("position") % 7 == 0)
+    value = F.to_json(F.struct("img", "diagnosis"))
+    docs = lists.where("alone").select(value.alias("value")).unionByName(lists.where("not alone").groupBy("block").agg(F.to_json(F.collect_list(F.struct("img", "diagnosis"))).alias("value")).select("value"))
+    docs.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_cases(spark, path).select("img", "diagnosis")
+
+
+@query("SELECT 'status' AS group_type, o_orderstatus AS group_key, metric, CASE metric WHEN 'n' THEN n ELSE mean END AS value FROM (SELECT o_orderstatus, count(*)::double AS n, round(avg(o_custkey), 4) AS mean FROM orders GROUP BY 1), (VALUES ('n'), ('mean')) m(metric)")
+def summary_document(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.shared_path(spark, "summary")
+    rows = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderstatus").alias("group_key")).agg(F.count("*").cast("double").alias("n"), F.round(F.avg("o_custkey"), 4).alias("mean"))
+    writers.write_summary(rows.select(F.lit("status").alias("group_type"), "*").unpivot(["group_type", "group_key"], ["n", "mean"], "metric", "value"), path)
+    doc = spark.read.text(path).select(F.from_json("value", "map<string, map<string, map<string, double>>>").alias("m"))
+    return doc.select(F.explode("m").alias("group_type", "g")).select("group_type", F.explode("g").alias("group_key", "k")).select("group_type", "group_key", F.explode("k").alias("metric", "value"))
+
+
+@query("""WITH p AS (SELECT *, substr(slide_id, 7, 1)::int % 5 AS layout FROM {PATCHES} p)
+SELECT slide_id, patch_idx, CASE WHEN layout IN (1, 2) THEN x END AS x, CASE WHEN layout IN (1, 2) THEN y END AS y, len(feature) AS dim, round(feature[1]::double, 6) AS first, NULL AS reject_reason FROM p WHERE layout < 3
+UNION ALL SELECT DISTINCT slide_id, NULL::int, NULL::double, NULL::double, NULL::bigint, NULL::double, CASE layout WHEN 3 THEN 'no features' ELSE 'rows of unlike lengths' END FROM p WHERE layout >= 3""")
+def feature_documents(spark: SparkSession, d: str) -> DataFrame:
+    root, rows = shared.shared_path(spark, "features"), v.view(spark, d, v.PATCHES)
+    layout = F.substring("slide_id", 7, 1).cast("int") % 5  # bare, keyed with coords, summary tokens, without a matrix, ragged
+    sorted_ = rows.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("patch_idx", "feature", F.array("x", "y").alias("xy")))).alias("p"))
+    f, xy = F.transform("p", lambda r: r["feature"]), F.transform("p", lambda r: r["xy"])
+    ragged = F.transform("p", lambda r: F.slice(r["feature"], F.lit(1), 1 + r["patch_idx"]))
+    value = F.when(layout == 0, F.to_json(f)).when(layout == 1, F.to_json(F.struct(f.alias("features"), xy.alias("coords")))).when(layout == 2, F.to_json(F.struct(f.alias("summary_tokens"), xy.alias("coords"))))
+    value = value.when(layout == 3, F.to_json(F.struct(xy.alias("coords")))).otherwise(F.to_json(ragged))
+    sorted_.select("slide_id", value.alias("value")).write.partitionBy("slide_id").text(root)
+    good, bad = readers.read_features(spark, root)
+    none = lambda kind: F.lit(None).cast(kind)
+    good = good.select("slide_id", "patch_idx", "x", "y", F.size("feature").cast("long").alias("dim"), F.round(F.get("feature", F.lit(0)).cast("double"), 6).alias("first"), none("string").alias("reject_reason"))
+    return good.unionByName(bad.select("slide_id", none("int").alias("patch_idx"), none("double").alias("x"), none("double").alias("y"), none("long").alias("dim"), none("double").alias("first"), "reject_reason"))

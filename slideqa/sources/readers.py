@@ -71,6 +71,34 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("position", F.from_json("item", "img string, diagnosis string, ihc string, ptnm string").alias("c")).select("position", "c.*")
 
 
+def parsed_features(documents: DataFrame, value: str = "value") -> DataFrame:
+    """Adds features (matrix of floats), coords and reject_reason to feature documents: a bare matrix, or an object that
+    holds one under features or summary_tokens, and coords perhaps. A flat list is a matrix of one row. Rejected are
+    texts that aren't JSON, objects without a matrix, rows of unlike lengths, what isn't a number, and coords that
+    aren't a pair a row."""
+    text, first = F.col(value), F.substring(F.ltrim(F.col(value)), 1, 1)
+    keyed = F.coalesce(F.get_json_object(text, "$.features"), F.get_json_object(text, "$.summary_tokens"))
+    matrix = F.when(first == "[", F.trim(text)).when(first == "{", keyed)
+    matrix = F.when(F.rlike(matrix, F.lit(r"^\[\s*[^\s\[\]]")), F.concat(F.lit("["), matrix, F.lit("]"))).otherwise(matrix)
+    rows = documents.withColumns({"_json": json_or_null(text).isNotNull(), "_matrix": matrix, "_coords": F.when(first == "{", F.get_json_object(text, "$.coords"))})
+    rows = rows.withColumns({"features": F.from_json("_matrix", "array<array<float>>"), "coords": F.from_json("_coords", "array<array<double>>")})
+    bad = lambda m: F.coalesce(F.exists(m, lambda r: r.isNull() | F.exists(r, lambda x: x.isNull() | F.isnan(x))), F.lit(True))
+    uneven = F.exists("features", lambda r: F.size(r) != F.size(F.get("features", F.lit(0))))
+    pairs = F.coalesce((F.size("coords") == F.size("features")) & F.forall("coords", lambda c: (F.size(c) == 2) & ~F.exists(c, lambda x: x.isNull())), F.lit(False))
+    why = F.when(~F.col("_json"), "not JSON").when(F.col("_matrix").isNull(), "no features").when(F.col("features").isNull() | bad(F.col("features")), "not numbers").when(uneven, "rows of unlike lengths")
+    why = why.when(F.col("_coords").isNotNull() & ~pairs, "coords don't match")
+    return rows.withColumn("reject_reason", why).drop(value, "_json", "_matrix", "_coords")
+
+
+def read_features(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Feature documents in root/slide_id=.../, one a file, as a row a patch (slide_id, patch_idx, x, y, feature) and as
+    rejects (slide_id, reject_reason). Without coords x and y are null. A document must fit a row."""
+    rows = parsed_features(spark.read.schema("value string, slide_id string").option("wholetext", True).text(root))
+    good = rows.where("reject_reason is null").select("slide_id", F.posexplode("features").alias("patch_idx", "feature"), "coords")
+    at = lambda i: F.get(F.get("coords", F.col("patch_idx")), F.lit(i))
+    return good.select("slide_id", "patch_idx", at(0).alias("x"), at(1).alias("y"), "feature"), rows.where("reject_reason is not null").select("slide_id", "reject_reason")
+
+
 def exploded_features(slides: DataFrame) -> DataFrame:
     """slide_id, patch_idx, x, y, feature from one matrix per slide (features, coords: arrays of arrays)."""
     rows = slides.select("slide_id", F.posexplode(F.arrays_zip("features", "coords")).alias("patch_idx", "p"))

@@ -220,9 +220,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "l.csv").write_text("id,t\n01,a\n")
     assert readers.read_labels(spark, str(tmp_path / "l.csv")).first().id == "01"
     rows = spark.createDataFrame([("é", None), ("b", "why")], "q string, reject_reason string")
-    writers.write_split(rows, str(tmp_path / "ok"), str(tmp_path / "no"))
-    assert spark.read.text(str(tmp_path / "ok")).first().value == '{"q":"é"}'
-    assert spark.read.json(str(tmp_path / "no")).first().reject_reason == "why"
+    assert writers.write_split(rows, str(tmp_path / "both")) == {"total": 2, "success": 1, "filtered": 1, "success_rate": 50.0}
+    assert spark.read.text(str(tmp_path / "both" / "kind=accepted")).first().value == '{"q":"é"}'
+    assert spark.read.json(str(tmp_path / "both" / "kind=rejected")).first().reject_reason == "why"
+    assert writers.write_split(rows.where("false"), str(tmp_path / "none"))["success_rate"] == 0 and writers.read_split(spark, str(tmp_path / "none"), "accepted").isEmpty()
     summary = spark.createDataFrame([("overall", "all", "n", 2.0)], "group_type string, group_key string, metric string, value double")
     writers.write_summary(summary, str(tmp_path / "sum"))
     assert spark.read.text(str(tmp_path / "sum")).first().value == '{"overall":{"all":{"n":2.0}}}'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +24,29 @@ def score_choices(results: DataFrame, fold: bool = False, ordered: bool = False)
     return out.withColumn("score", graded_score(F.col("format"), F.col("pred_letters"), F.col("ref_letters"), F.col("exact_match")))
 
 
+def evenly_dealt(rows: DataFrame, cost: Column, tasks: int, key: str = "question_id") -> DataFrame:
+    """The rows in ``tasks`` partitions of about the same cost. Rows of more than an eighth of a task's share, eight a
+    task at most, are placed one by one, the costliest first, where least is; the many others go by a hash of the key."""
+    costs = rows.select(F.col(key).alias("key"), cost.alias("cost"))
+    total = costs.agg(F.sum("cost")).first()[0] or 0
+    heavy = costs.where(F.col("cost") > total / (8 * tasks)).groupBy("key").agg(F.sum("cost").alias("cost")).collect()
+    filled = [((total - sum(r.cost for r in heavy)) / tasks, i) for i in range(tasks)]
+    placed = []
+    for r in sorted(heavy, key=lambda r: (-r.cost, str(r.key))):
+        load, i = heapq.heappop(filled)
+        heapq.heappush(filled, (load + r.cost, i))
+        placed.append((r.key, i))
+    bins = F.broadcast(rows.sparkSession.createDataFrame(placed, rows.select(F.col(key).alias(key), F.lit(0).alias("_bin")).schema))
+    out = rows.join(bins, key, "left").withColumn("_bin", F.coalesce("_bin", F.pmod(F.xxhash64(key), F.lit(tasks)).cast("int")))
+    return out.select(*rows.columns, "_bin").repartitionById(tasks, F.col("_bin")).drop("_bin")
+
+
 def score_texts(results: DataFrame, chunk: int | None = None) -> DataFrame:
-    """Adds ROUGE-L and METEOR columns. Few rows of long text can be dealt to ``chunk`` partitions first."""
-    rows = results.repartition(chunk) if chunk else results
+    """Adds ROUGE-L and METEOR columns. Rows whose texts differ much in length can be dealt to ``chunk`` tasks first,
+    by cost: linear in the characters, and their product where texts are long."""
     p, r = F.col("prediction"), F.col("ground_truth")
+    n, m = (F.coalesce(F.length(c), F.lit(0)) for c in (p, r))
+    rows = evenly_dealt(results, n + m + n * m.cast("double") / 50_000 + 1, chunk) if chunk else results
     return rows.withColumn("_r", rouge_l(p, r)).withColumn("_m", meteor(p, r)).select("*", "_r.*", "_m.*").drop("_r", "_m")
 
 

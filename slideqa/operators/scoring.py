@@ -25,11 +25,11 @@ def score_choices(results: DataFrame, fold: bool = False, ordered: bool = False)
 
 
 def evenly_dealt(rows: DataFrame, cost: Column, tasks: int, key: str = "question_id") -> DataFrame:
-    """The rows in ``tasks`` partitions of about the same cost. Rows of more than an eighth of a task's share, eight a
+    """The rows in ``tasks`` partitions of about the same cost. Rows of more than a fortieth of a task's share, forty a
     task at most, are placed one by one, the costliest first, where least is; the many others go by a hash of the key."""
     costs = rows.select(F.col(key).alias("key"), cost.alias("cost"))
     total = costs.agg(F.sum("cost")).first()[0] or 0
-    heavy = costs.where(F.col("cost") > total / (8 * tasks)).groupBy("key").agg(F.sum("cost").alias("cost")).collect()
+    heavy = costs.where(F.col("cost") > total / (40 * tasks)).groupBy("key").agg(F.sum("cost").alias("cost")).collect()
     filled = [((total - sum(r.cost for r in heavy)) / tasks, i) for i in range(tasks)]
     placed = []
     for r in sorted(heavy, key=lambda r: (-r.cost, str(r.key))):

@@ -80,14 +80,17 @@ def parsed_features(documents: DataFrame, value: str = "value") -> DataFrame:
     keyed = F.coalesce(F.get_json_object(text, "$.features"), F.get_json_object(text, "$.summary_tokens"))
     matrix = F.when(first == "[", F.trim(text)).when(first == "{", keyed)
     matrix = F.when(F.rlike(matrix, F.lit(r"^\[\s*[^\s\[\]]")), F.concat(F.lit("["), matrix, F.lit("]"))).otherwise(matrix)
-    rows = documents.withColumns({"_json": json_or_null(text).isNotNull(), "_matrix": matrix, "_coords": F.when(first == "{", F.get_json_object(text, "$.coords"))})
-    rows = rows.withColumns({"features": F.from_json("_matrix", "array<array<float>>"), "coords": F.from_json("_coords", "array<array<double>>")})
+    # generators keep the optimizer from repeating these large expressions wherever they are used
+    texts = F.struct(json_or_null(text).isNotNull().alias("_json"), matrix.alias("_matrix"), F.when(first == "{", F.get_json_object(text, "$.coords")).alias("_coords"))
+    rows = documents.select("*", F.inline(F.array(texts)))
+    parsed = F.struct(F.from_json("_matrix", "array<array<float>>").alias("features"), F.from_json("_coords", "array<array<double>>").alias("coords"))
+    rows = rows.select("*", F.inline(F.array(parsed)))
     bad = lambda m: F.coalesce(F.exists(m, lambda r: r.isNull() | F.exists(r, lambda x: x.isNull() | F.isnan(x))), F.lit(True))
     uneven = F.exists("features", lambda r: F.size(r) != F.size(F.get("features", F.lit(0))))
     pairs = F.coalesce((F.size("coords") == F.size("features")) & F.forall("coords", lambda c: (F.size(c) == 2) & ~F.exists(c, lambda x: x.isNull())), F.lit(False))
     why = F.when(~F.col("_json"), "not JSON").when(F.col("_matrix").isNull(), "no features").when(F.col("features").isNull() | bad(F.col("features")), "not numbers").when(uneven, "rows of unlike lengths")
     why = why.when(F.col("_coords").isNotNull() & ~pairs, "coords don't match")
-    return rows.withColumn("reject_reason", why).drop(value, "_json", "_matrix", "_coords")
+    return rows.select("*", F.inline(F.array(F.struct(why.alias("reject_reason"))))).drop(value, "_json", "_matrix", "_coords")
 
 
 def read_features(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slideqa.llm.tables import table
-from slideqa.llm.text import ALNUM, Words, flat, slices, words
+from slideqa.llm.text import ALNUM, Words, flat, lean, slices, words
 
 #: Phrases that the query fixes, and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -61,7 +61,7 @@ class Template(NamedTuple):
 
 def hashes(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
-    return words(data, np.array([0, len(data)]), ALNUM).hash
+    return words(data, np.array([0, len(data)]), ALNUM, keyed=True).hash
 
 
 def blocks(data: np.ndarray, w: Words, at: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def _counted(vocabulary: np.ndarray):
         for batch in batches:
             for part in slices(batch, 0):
                 data, offsets = flat(part.column(0))
-                w = words(data, offsets, ALNUM)
+                w = words(data, offsets, ALNUM, keyed=True)
                 at = np.flatnonzero(np.isin(w.hash, vocabulary))
                 if len(at):
                     place = np.searchsorted(vocabulary, w.hash[at])
@@ -91,7 +91,7 @@ def _counted(vocabulary: np.ndarray):
 def word_order(docs: DataFrame, text_col: str, templates: list[tuple[str, str]]) -> np.ndarray:
     """The hashes of the templates' words, rarest first. What comes back is a count for each of them."""
     vocabulary = np.unique(np.concatenate([hashes(t) for t, _ in templates]))
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted(vocabulary), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_counted(vocabulary)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     n = np.zeros(len(vocabulary), np.int64)
     for r in counts.collect():
         n[r.place] = r.n
@@ -172,7 +172,7 @@ def _scanned(order: np.ndarray, templates: list[tuple[str, str]], phrases: list[
         for batch in batches:
             for part in slices(batch):
                 data, offsets = flat(part.column(1))
-                w = words(data, offsets, ALNUM)
+                w = words(data, offsets, ALNUM, keyed=True)
                 n_docs = part.num_rows
                 bounds = np.searchsorted(w.doc, np.arange(n_docs + 1))
                 places = [[] for _ in range(n_docs)]
@@ -217,7 +217,7 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     templates = TEMPLATES if templates is None else templates
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = word_order(rows, "text", templates)
-    return rows.mapInArrow(_scanned(order, templates, PHRASES if phrases is None else phrases, threshold, wrapped), _FIELDS)
+    return rows.mapInArrow(lean(_scanned(order, templates, PHRASES if phrases is None else phrases, threshold, wrapped)), _FIELDS)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             data, offsets = flat(part.column(1))
-            sets = list(shingles(words(data, offsets), part.num_rows))
+            sets = list(shingles(words(data, offsets, keyed=True), part.num_rows))
             digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             whole = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             codes = registers(sets)
@@ -206,7 +206,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            sets = list(shingles(words(*flat(part.column(1))), part.num_rows))
+            sets = list(shingles(words(*flat(part.column(1)), keyed=True), part.num_rows))
             ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids)], ["h", "id"])
 
@@ -301,7 +301,7 @@ def _same_documents(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            sets = list(shingles(words(*flat(part.column(1))), part.num_rows))
+            sets = list(shingles(words(*flat(part.column(1)), keyed=True), part.num_rows))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
 

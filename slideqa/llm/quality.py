@@ -161,7 +161,7 @@ def _judged(path: str, bands: dict[str, Band]):
                 n_docs = part.num_rows
                 data, offsets = flat(part.column(1))
                 raw = data.tobytes()
-                w = words(data, offsets, SPACED, lower=False)
+                w = words(data, offsets, SPACED, lower=False, keyed=True)
                 bounds = np.searchsorted(w.doc, np.arange(n_docs + 1))
                 sums = np.zeros(len(data) + 1, np.int64)
                 np.cumsum(((data & 0xC0) != 0x80) & SPACED[data], out=sums[1:])

@@ -4,13 +4,15 @@ A word is a maximal run of bytes outside a separator set; all separators are ASC
 points agree on where words stand. Texts are never cut: a long text is hashed in sections that end at
 separators, so memory stays at a small multiple of the section and of the word count.
 
-A word's hash is mixed from its bytes eight at a time, not a polynomial, so it has no families of words that
-collide by construction. Where a word's identity decides alone, the second hash or the bytes are compared too.
+A word's hash is mixed from its bytes eight at a time. Its constants are public, so words that collide can be made on
+purpose; where a hash decides alone, ``keyed`` mixes in a secret that the driver draws anew, which no text can have been
+made for. Elsewhere the bytes are compared, or words may share a place.
 """
 
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from hashlib import blake2b
@@ -18,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of a section of a text, and of the texts that are worked on at a time.
 SECTION = 1 << 19
@@ -94,31 +97,47 @@ def _section_end(data: np.ndarray, at: int, word: np.ndarray) -> int:
     return len(data)
 
 
-def _hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word: eight bytes a step are mixed in, so no form of words collides by rule."""
+_secret: bytes | None = None
+
+
+def secret() -> bytes:
+    """The key of keyed hashes: drawn by the driver, brought to tasks by ``lean``."""
+    global _secret
+    if _secret is None:
+        if TaskContext.get() is not None:
+            raise RuntimeError("keyed hashes need a batch function that lean has wrapped")
+        _secret = os.urandom(16)
+    return _secret
+
+
+def _hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes = bytes(16)) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word: eight bytes a step are mixed in."""
+    first, second = np.frombuffer(key, np.uint64)
+    by_one, by_two = _SECOND ^ (first << np.uint64(1)), _FIRST ^ (second << np.uint64(1))
     padded = np.concatenate([part, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(part) + 1,), np.dtype("<u8"), buffer=padded.data, strides=(1,))
     left = end - start
-    one = left.astype(np.uint64) * _FIRST
-    two = one ^ _SECOND
+    one = left.astype(np.uint64) * _FIRST ^ first
+    two = one ^ _SECOND ^ second
     at, own = start, np.arange(len(start))
     long = np.flatnonzero(left > _LONG)
     for i in long.tolist():
-        one[i], two[i] = np.frombuffer(blake2b(part[start[i] : end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+        one[i], two[i] = np.frombuffer(blake2b(part[start[i] : end[i]].tobytes(), digest_size=16, key=key if any(key) else b"").digest(), np.uint64)
     if len(long):
         own = np.flatnonzero(left <= _LONG)
         at, left = at[own], left[own]
     while len(own):
         c = eight[at] & _KEEP[np.minimum(left, 8)]
-        one[own], two[own] = mixed(one[own] ^ (c * _SECOND)), mixed(two[own] + c * _FIRST)
+        one[own], two[own] = mixed(one[own] ^ (c * by_one)), mixed(two[own] + c * by_two)
         more = np.flatnonzero(left > 8)
         own, at, left = own[more], at[more] + 8, left[more] - 8
     return one, two
 
 
-def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = True) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = True, keyed: bool = False) -> Words:
     """Every word (of the text in lower case, if wanted): 64-bit hash, index of its text, first byte and end byte
-    in ``data``, and a second hash."""
+    in ``data``, and a second hash. keyed: hashes that differ from run to run."""
+    key = secret() if keyed else bytes(16)
     if lower:
         word = word[LOWER]
     hashes, checks, starts, ends = [], [], [], []
@@ -137,7 +156,7 @@ def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lowe
         before[1:], after[:-1] = inside[:-1], inside[1:]
         s = np.flatnonzero(inside & (~before | edge[:-1]))
         e = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        one, two = _hashes(LOWER[part] if lower else part, s, e)
+        one, two = _hashes(LOWER[part] if lower else part, s, e, key)
         hashes.append(one)
         checks.append(two)
         starts.append(s + at)
@@ -177,9 +196,13 @@ def shingles(w: Words, n_docs: int, size: int = SHINGLE) -> Iterator[np.ndarray]
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The batch function, giving free memory back to the system when it ends: Python workers live on for later
-    stages, beside a full heap of the executor."""
+    stages, beside a full heap of the executor. Brings the key of keyed hashes along."""
+    key = secret()
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from slideqa.llm import text
+
+        text._secret = key
         try:
             yield from run(batches)
         finally:

@@ -174,6 +174,21 @@ def _columns(c: Coder, ids: list[np.ndarray], back: bool) -> list[pa.Array]:
     return [*out, pa.array([c.decode(x) for x in ids], pa.string())] if back else out
 
 
+def _cut(size: int):
+    """doc_id, key, text -> a row for each ``size`` characters of a text, which is gone through once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc, key, text = (batch.column(i)[k].as_py() for i in range(3))
+                for at in range(0, len(text), 16 * size):
+                    parts = [text[i : i + size] for i in range(at, min(len(text), at + 16 * size), size)]
+                    first = at // size
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.int64()), pa.array(parts), pa.array([key] * len(parts)), pa.array(range(first, first + len(parts)), pa.int64())], ["doc_id", "part", "key", "segment"])
+
+    return run
+
+
 def _joined(where: tuple[str, str], back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(*where)
@@ -206,8 +221,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whe
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     is_long = F.length("text") > segment
     short = rows.where(~is_long).mapInArrow(lean(_encoded(where, leaf, back)), f"doc_id long, ids binary{text}")
-    parts = rows.where(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text", F.explode(F.expr(f"sequence(0, (length(text) - 1) div {segment})")).alias("segment"))
-    parts = parts.select("doc_id", F.substring("text", F.col("segment") * segment + 1, F.lit(segment)).alias("part"), "key", "segment")
+    parts = rows.where(is_long).select("doc_id", F.sha2("text", 256).alias("key"), "text").mapInArrow(lean(_cut(segment)), "doc_id long, part string, key string, segment long")
     one = parts.groupBy("doc_id", "key", "segment", "part").agg(F.count("*").alias("copies"))
     one = one.select("doc_id", F.col("part").alias("text"), "part", "key", "segment", "copies")
     done = one.mapInArrow(lean(_encoded(where, leaf)), "doc_id long, ids binary, part string, key string, segment long, copies long")

@@ -7,11 +7,14 @@ range, sorted, and swept once with a stack of the rules that are open: at any ke
 the longest rule of that suffix. A rule that spans several ranges goes to each of them, so ranges are
 independent. Among suffixes the longest rule (host + path, then host) wins.
 
-Only distinct (host, path) pairs are swept; a url that many rows share costs one key a suffix.
+Only distinct (host, path) pairs are swept; a url that many rows share costs one key a suffix. Pages without a
+host meet no rule and are not joined. Urls of a ``HOT``-th of all rows or more, of which there are HOT at most,
+are broadcast with their verdicts; all other pages are joined by (host, path).
 
 Defined results: a null url, or one without `://`, has an empty host and path and meets no rule; where
 rules of the same host and path disagree, block wins; urls without a rule get the default action. Repeated
-rows give repeated results. Other columns are not read.
+rows give repeated results; an empty table gives no rows, an empty table of rules the default action for all.
+Urls of any length are judged whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 ALLOW, BLOCK = "allow", "block"
 #: Key ranges for each shuffle partition, and sampled keys for each range.
 RANGES, SAMPLES = 4, 20
+#: A url that this part of all rows share is not joined by its key.
+HOT = 1000
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _KEYS = "range int, key string, is_rule int, host string, path string, rule_host string, rule_path string, action string"
 
@@ -88,13 +93,13 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(5)], ["host", "path", "rule_host", "rule_path", "action"])
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW, hot: int = HOT) -> DataFrame:
     """page_id, host, path, rule (host + path, or null), verdict: a row per row of pages.
     rules: host, path, action (allow or block)."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     named = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = named.where("host <> ''").select("host", "path").distinct()
+    urls = named.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     rules = rules.where("host is not null and path is not null and action is not null")
     rules = Saved(rules.select(F.translate("host", *_AZ).alias("host"), "path", "action").groupBy("host", "path").agg(F.max("action").alias("action")), "rules")
     depth = rules.df.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
@@ -105,13 +110,24 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     keys = sorted(key for r in sample for key in suffix_keys(r.host, r.path, depth))
     bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)} if keys else ())
 
-    both = urls.df.withColumn("action", F.lit(None).cast("string")).unionByName(rules.df)
+    both = urls.df.select("host", "path", F.lit(None).cast("string").alias("action")).unionByName(rules.df)
     dealt = both.mapInArrow(_keyed(depth, bounds), _KEYS).repartition("range").sortWithinPartitions("range", "key", "is_rule")
     hits = dealt.mapInArrow(_swept, "host string, path string, rule_host string, rule_path string, action string")
     rule = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("m"), rule.alias("rule"), "action")).alias("best"))
-    out = named.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    total = urls.df.agg(F.sum("n")).first()[0] or 0
+    none = F.lit(None).cast("string")
+    often = urls.df.where(F.col("n") * hot >= total).select("host", "path", none.alias("rule_host"), none.alias("rule_path"), none.alias("action"), F.lit(True).alias("often"))
+    every = hits.withColumn("often", F.lit(False)).unionByName(often)
+    longest = F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("m"), rule.alias("rule"), "action")).alias("best")
+    best = every.groupBy("host", "path").agg(longest, F.max("often").alias("often")).select("host", "path", "best.rule", "best.action", "often")
+    best = Saved(best, "verdicts").df
+    rules.drop()
+    urls.drop()
+
+    known = named.join(F.broadcast(best.where("often")), ["host", "path"], "left")
+    rest = known.where("host <> '' and often is null").select("page_id", "host", "path").join(best.where("not often"), ["host", "path"], "left")
+    out = known.where("host = '' or often").unionByName(rest)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,9 +95,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
     few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = _numbered(rows).join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    rows = _numbered(rows)
+    # where the winner's page_id is repeated, revisits name the record of its first copy
+    copies = rows.where("copy > 0").select("digest", F.col("page_id").alias("original"), "copy").join(repeated, ["digest", "original"]).groupBy("digest").agg(F.min("copy").alias("first"))
+    repeated = repeated.join(copies, "digest", "left").withColumn("first", F.coalesce("first", F.lit(0)))
+    rows = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    # copies of the winner are responses like it; a revisit refers to the first of them
+    # copies of the winner are responses like it
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     main = _urn("response", page, F.col("copy").cast("string"))
     target, digest = F.col("url"), F.concat(F.lit("sha1:"), F.col("digest"))
@@ -106,7 +110,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     response = _record(
         F.when(revisit, "revisit").otherwise("response"), main,
-        [("WARC-Target-URI", target), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("original").cast("string"), F.lit(">")))), ("Content-Type", F.lit("application/http;msgtype=response"))],
+        [("WARC-Target-URI", target), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("original").cast("string"), F.col("first").cast("string")))), ("Content-Type", F.lit("application/http;msgtype=response"))],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
     )
     request = _record("request", _urn("request", page, F.col("copy").cast("string")), [("WARC-Target-URI", target), concurrent, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")))
@@ -187,12 +191,11 @@ def captures(records: DataFrame, payload: bool = True) -> DataFrame:
     request = records.where("kind = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "target").alias("request"))
     about = records.where("kind = 'metadata'").select(F.col("concurrent_to").alias("record_id"), "page_id", F.struct("record_id", "page_id").alias("metadata"))
     joined = main.join(request, "record_id", "left").join(about, "record_id", "left")
-    joined = joined.withColumn("to_page", F.regexp_extract("refers_to", "<urn:page:(-?[0-9]+)>", 1).try_cast("long"))
-    # a revisit's payload is that of the response it refers to: one row for each such page
-    wanted = joined.where("kind = 'revisit'").select("to_page").distinct()
-    answers = joined.where("kind = 'response'").select(F.col("page_id").alias("to_page"), F.col("digest"), F.col("payload_bytes").alias("bytes"), F.col("payload_sha1").alias("sha1"))
-    originals = wanted.join(answers, "to_page").groupBy("to_page", "digest").agg(F.max("bytes").alias("bytes"), F.max("sha1").alias("sha1"))
-    full = joined.join(originals, ["to_page", "digest"], "left")
+    # a revisit's payload is that of the record it refers to
+    wanted = joined.where("kind = 'revisit'").select("refers_to").distinct()
+    answers = joined.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), "digest", F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("bytes"), F.col("payload_sha1").alias("sha1"))
+    originals = wanted.join(answers, "refers_to").groupBy("refers_to", "digest").agg(F.max("to_page").alias("to_page"), F.max("bytes").alias("bytes"), F.max("sha1").alias("sha1"))
+    full = joined.join(originals, ["refers_to", "digest"], "left")
     response = F.struct("record_id", "kind", "digest", "payload_bytes", *["payload"][: int(payload)]).alias("response")
     return full.select("page_id", "target", "request", "metadata", response, F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), F.coalesce("payload_sha1", "sha1").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("to_page").alias("refers_to"))
 

@@ -80,10 +80,26 @@ def test_urls(spark):
         met = {(h, p, "block" if (h, p, "block") in rules else a) for h, p, a in rules if h is not None and fits(x.host, x.path, (h, p, a))}
         best = max(met, key=lambda m: (len(m[0] + m[1]), len(m[0])), default=(None, None, "allow"))
         assert (x.rule, x.verdict) == (best[0] + best[1] if met else None, best[2])
+    rule_rows = spark.createDataFrame(rules, "host string, path string, action string")
+    for hot in (1, 40):  # no url is broadcast, some are
+        assert sorted(url_filter.url_verdicts(pages, rule_rows, hot=hot).collect(), key=str) == sorted(out, key=str)
     assert url_filter.url_verdicts(pages.where("false"), spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
     assert {x.verdict for x in url_filter.url_verdicts(pages, spark.createDataFrame([], "host string, path string, action string")).collect()} == {"allow"}
 
 
+def test_shared_and_very_long_urls(spark):
+    """Front pages that most rows share, pages without a host, and a url of a megabyte."""
+    long = "http://WWW.example.com/en/" + "a/" * 500_000
+    urls = ["http://a.net/"] * 60 + ["http://b.com/"] * 50 + [None, "no"] * 40 + [long, "http://x.net/fr/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
+    want = {"http://a.net/": (None, "allow"), "http://b.com/": ("com/", "allow"), None: (None, "allow"), "no": (None, "allow"), long: ("www.example.com/en/", "allow"), "http://x.net/fr/1": ("net/fr/", "block")}
+    for hot in (1, 10, url_filter.HOT):
+        got = {x.page_id: x for x in url_filter.url_verdicts(pages, rules, hot=hot).collect()}
+        assert {i: (x.rule, x.verdict) for i, x in got.items()} == {i: want[u] for i, u in enumerate(urls)}
+        assert got[len(urls) - 2].path == long[len("http://www.example.com") :]
+
+
 def brute_quality(text):
     t = text or ""
     w = re.findall(WORD, t)
@@ -250,6 +266,9 @@ def test_warc(spark):
     warc.write_warc(pages, path)
     records = warc.read_warc(spark, path)
     assert records.count() == 3 * len(rows)
+    kinds = {r.record_id: r.kind for r in records.collect()}
+    refers = [r.refers_to for r in records.where("kind = 'revisit'").collect()]
+    assert len(kinds) == 3 * len(rows) and len(refers) == 4 and {kinds[r] for r in refers} == {"response"}
     got = warc.captures(records).collect()
     assert len(got) == len(rows)
     for p, _, html in rows:

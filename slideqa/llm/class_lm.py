@@ -3,7 +3,9 @@
 log10 P(w | v) = log10 P(class(w) | class(v)) + log10 P(w | class(w)), over lower-cased words and one end
 token a text, which is also the context of the first word.
 
-- Word counts cover all training texts. Words are held as 64-bit hashes.
+- Word counts cover all training texts. Words are held as 64-bit hashes; with ``keyed``, as the query has it, a
+  digest of all training texts is their key: scores repeat on the same texts, and who doesn't know each of them can't
+  make words that collide.
 - Exchange rounds cluster the ``CLUSTERED`` most frequent words into CLASSES classes; meanwhile every other word
   counts as one of RARE contexts by its hash. Bigrams are counted once over all training texts and gathered into one
   row for each clustered word, which holds a number for each left and right neighbour at most. In a round every word
@@ -28,6 +30,7 @@ their hashes; an empty table gives no rows; texts are counted and scored whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -50,6 +53,8 @@ LOOKUP = 400_000
 SHARE = 0.001
 #: Parts that words are moved in at first, and at most: parts are halved where a move of one doesn't help.
 PARTS, MOST_PARTS = 2, 8
+#: The key of words that no texts' key is asked for.
+PUBLIC = bytes(16)
 #: Weight of class frequencies against class transitions.
 PRIOR = 1.0
 
@@ -58,11 +63,24 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        every = [words(*flat(part.column(0))).hash for part in slices(batch, 0)]
-        u, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+def text_key(docs: DataFrame) -> bytes:
+    """A key for the hashes of words: from the sums of four parts of the SHA-256 of each text, in any order of rows."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"part{i}") for i in range(4)]
+    return blake2b(repr([int(x or 0) for x in docs.agg(*parts).first()]).encode(), digest_size=16).digest()
+
+
+def _counter(key: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [words(*flat(part.column(0)), key=key).hash for part in slices(batch, 0)]
+            u, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return run
+
+
+_counted = _counter(PUBLIC)
 
 
 def most_frequent(counts: DataFrame, limit: int, ties: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
@@ -82,9 +100,10 @@ def most_frequent(counts: DataFrame, limit: int, ties: bool = False) -> tuple[np
 
 
 class Vocabulary(NamedTuple):
-    """Clustered words: ascending hashes. A word's number is its place, or that of its rare class."""
+    """Clustered words: ascending hashes, and their key. A word's number is its place, or that of its rare class."""
 
     hashes: np.ndarray
+    key: bytes = PUBLIC
 
     @property
     def end(self) -> int:
@@ -116,7 +135,7 @@ def _bigrams(vocabulary: Vocabulary):
         for batch in batches:
             keys = []
             for part in slices(batch, 0):
-                w = words(*flat(part.column(0)))
+                w = words(*flat(part.column(0)), key=vocabulary.key)
                 seq, _ = _sequence(vocabulary.numbers(w.hash), w.doc, part.num_rows, vocabulary.end)
                 keys.append(_before(seq, vocabulary.end) * size + seq)
             u, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -243,7 +262,7 @@ def _contexts(vocabulary: Vocabulary, classes: np.ndarray, k: int):
         for batch in batches:
             hashes, before, after = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in slices(batch, 0):
-                w = words(*flat(part.column(0)))
+                w = words(*flat(part.column(0)), key=vocabulary.key)
                 numbers = vocabulary.numbers(w.hash)
                 seq, _ = _sequence(numbers, w.doc, part.num_rows, vocabulary.end)
                 at = np.flatnonzero((seq >= n_clustered) & (seq < vocabulary.end))
@@ -331,13 +350,13 @@ class Classes(NamedTuple):
 def _coded(known: Classes):
     """Each text as its codes: a byte a token, the end included. logs and n_known: what lookup tells of its counts;
     outside: the words that aren't there, in their order, which have the code UNSEEN until they are joined."""
-    lookup, counts, classes = known.lookup, known.counts, known.classes.astype(np.uint8)
+    lookup, counts, classes, key = known.lookup, known.counts, known.classes.astype(np.uint8), known.vocabulary.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 n_docs = part.num_rows
-                w = words(*flat(part.column(1)))
+                w = words(*flat(part.column(1)), key=key)
                 codes, found, at = np.full(len(w.hash), UNSEEN, np.uint8), np.zeros(len(w.hash), bool), np.zeros(0, np.int64)
                 if len(lookup):
                     at = np.minimum(np.searchsorted(lookup, w.hash), len(lookup) - 1)
@@ -350,7 +369,7 @@ def _coded(known: Classes):
                     [
                         part.column(0),
                         _binary(seq, np.searchsorted(doc, every)),
-                        pa.array(np.bincount(w.doc[found], np.log10(counts[at] + 0.5), n_docs)),
+                        pa.array(np.bincount(w.doc[found], np.log10(counts[at] + 0.5), n_docs).astype(float)),  # without words bincount gives integers
                         pa.array(np.bincount(w.doc[found], minlength=n_docs)),
                         pa.ListArray.from_arrays(np.searchsorted(outside, every).astype(np.int32), w.hash[~found].view(np.int64)),
                     ],
@@ -424,10 +443,10 @@ class Model(NamedTuple):
     likelihoods: list[float]
 
 
-def word_classes(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, share: float = SHARE) -> Classes:
-    """docs: text of the training texts; counts: their words (h, n)."""
+def word_classes(docs: DataFrame, counts: DataFrame, clustered_words: int = CLUSTERED, lookup: int = LOOKUP, share: float = SHARE, key: bytes = PUBLIC) -> Classes:
+    """docs: text of the training texts; counts: their words (h, n), hashed with key."""
     hashes, n, _ = most_frequent(counts, clustered_words, ties=True)
-    vocabulary = Vocabulary(hashes)
+    vocabulary = Vocabulary(hashes, key)
     bigrams = docs.mapInArrow(_bigrams(vocabulary), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
     bigrams = Saved(bigrams, "bigrams")
     classes, m, values = clustered(bigrams.df, np.lexsort((hashes, -n)), len(hashes), share)
@@ -480,16 +499,18 @@ def _scored(model: Model):
     return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, **options: float) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of docs. The model
-    learns from the texts that are not held out."""
+    learns from the texts that are not held out. keyed: their digest is the key of word hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     train = rows.where(~held_out(F.col("doc_id"))).select("text")
-    counts = Saved(train.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    known = word_classes(train, counts.df, **options)
+    key = text_key(train) if keyed else PUBLIC
+    counts = Saved(train.mapInArrow(_counter(key), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    known = word_classes(train, counts.df, key=key, **options)
     counts.drop()
     codes = class_codes(rows, known).df
     model = fitted(known, codes.where(~held_out(F.col("doc_id"))))
+    known.of.drop()
     out = codes.mapInArrow(_scored(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
@@ -497,4 +518,4 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents"), keyed=True)

@@ -134,10 +134,10 @@ def _hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes = b
     return one, two
 
 
-def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = True, keyed: bool = False) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED, lower: bool = True, keyed: bool = False, key: bytes = bytes(16)) -> Words:
     """Every word (of the text in lower case, if wanted): 64-bit hash, index of its text, first byte and end byte
-    in ``data``, and a second hash. keyed: hashes that differ from run to run."""
-    key = secret() if keyed else bytes(16)
+    in ``data``, and a second hash. keyed: hashes that differ from run to run; else ``key`` (16 bytes) is mixed in."""
+    key = secret() if keyed else key
     if lower:
         word = word[LOWER]
     hashes, checks, starts, ends = [], [], [], []

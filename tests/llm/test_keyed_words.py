@@ -1,10 +1,12 @@
-"""Words made to have equal public hashes are different words to operators 2, 4 and 10."""
+"""Words made to have equal public hashes are different words to operators 2, 4, 8 and 10."""
+
+import math
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from slideqa.llm import licenses, near_dup, quality, text
+from slideqa.llm import class_lm, licenses, near_dup, quality, text
 from slideqa.llm.text import flat, words
 
 ONE, TWO = "abcdefghijklmnop", "jymmjsjh5+lv*@]}"
@@ -29,6 +31,27 @@ def test_repeats(spark):
     assert got == {1: 0, 2: 10}
 
 
+def test_class_model(spark):
+    """Training holds only the first word; the key follows the training texts, not the order of rows or other texts."""
+    rows = [(i, ONE if i else f"{ONE} b") for i in range(20)] + [(20 + i, TWO) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where(f"{'text not like ' + repr(TWO[:8] + '%')} or crc32(cast(doc_id as string)) % 5 = 1")
+    got = class_lm.scores(docs, keyed=True).collect()
+    train = [r for r in got if not r.held_out]
+    assert all(r.n_known == 2 for r in train if r.doc_id) and any(r.doc_id >= 20 for r in got)
+    n, kinds = sum(r.n_tokens for r in train), 2 + any(r.doc_id == 0 for r in train)
+    for r in got:
+        if r.doc_id >= 20:
+            want = math.log10(0.5) + math.log10(len(train) + 0.5) - 2 * math.log10(n + 0.5 * (kinds + 1))
+            assert r.held_out and r.n_known == 1 and math.isclose(r.base_score, want, abs_tol=1e-9)
+    texts = docs.select("text")
+    key = class_lm.text_key(texts)
+    assert key == class_lm.text_key(texts.repartition(3).orderBy(texts.text.desc())) and len(key) == 16
+    assert len({key, class_lm.text_key(texts.limit(3)), class_lm.text_key(texts.where("false"))}) == 3
+    more = docs.unionByName(spark.createDataFrame([(i, "any other text") for i in range(200)], docs.schema).where("crc32(cast(doc_id as string)) % 5 = 1"))
+    again = {(r.doc_id, r.n_tokens): r.score for r in class_lm.scores(more, keyed=True).collect()}
+    assert all(math.isclose(again[r.doc_id, r.n_tokens], r.score, abs_tol=1e-9) for r in got)
+
+
 def test_phrases(spark):
     rows = [(1, "under the mit gsrmuogm3xkwf8yc"), (2, "under the mit license")]
     got = {r.doc_id: (r.n_base, r.labels) for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string"), wrapped=True).collect()}

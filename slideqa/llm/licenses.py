@@ -234,13 +234,17 @@ OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 p(q, label) AS (VALUES {_values(PHRASES)}), tpl(q, label) AS (VALUES {_values(TEMPLATES)}),
-x AS (SELECT list_distinct(q) AS q, label FROM tpl),
+x AS (SELECT row_number() OVER () AS t, list_distinct(q) AS q, label, ceil(len(q) / {THRESHOLD} - 1e-9)::int AS run, ceil({THRESHOLD} * len(list_distinct(q)) - 1e-9) AS need FROM tpl),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 hits AS (SELECT doc_id, i - 1 AS place, label FROM i, p WHERE w[i] = q[1] AND w[i:i + len(q) - 1] = q),
 h AS (SELECT doc_id, count(*) AS n, min(place) AS low, max(place) AS high FROM hits GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 own AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS own FROM lines),
-m AS (SELECT doc_id, label, len(list_intersect(own, q)) / len(q) AS s FROM own, x WHERE len(list_intersect(own, q)) >= ceil({THRESHOLD} * len(q) - 1e-9)),
+v AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+r AS (SELECT doc_id, label, count(DISTINCT word) OVER (PARTITION BY doc_id, t ORDER BY i RANGE BETWEEN run - 1 PRECEDING AND CURRENT ROW) AS n, len(q) AS size, need
+      FROM v JOIN (SELECT *, unnest(q) AS word FROM x) USING (word)),
+m AS (SELECT doc_id, label, len(list_intersect(own, q)) / len(q) AS s FROM own, x WHERE len(list_intersect(own, q)) >= need
+      UNION SELECT doc_id, label, n / size FROM r WHERE n >= need),
 b AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base FROM hits GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS every FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
 s AS (SELECT doc_id, max(s) AS s FROM m GROUP BY doc_id)

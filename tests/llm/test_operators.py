@@ -11,6 +11,7 @@ import string
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -20,6 +21,7 @@ from slideqa.llm import bpe, class_lm, decontaminate, licenses, near_dup, qualit
 from slideqa.llm.tables import Saved, new_path, shared_folder
 from slideqa.llm.text import Words, flat, words
 from slideqa.llm.word_cache import WordCache
+from tests import compare
 from tests.llm.test_dedup import LOWER, shingle_tuples, thue_morse
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,8 +47,10 @@ def test_decontaminate(spark, edge_docs, edge_rows, no_docs):
         if d is not None:
             own[d] |= shingle_tuples((t or "").lower())
     want = {(d, i): len(own[d] & s) for d in own for i, s in sets.items() if s and 100 * len(own[d] & s) >= 75 * len(s)}
-    got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contained_items(edge_docs, bench).collect()}
+    got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contained_items(edge_docs, bench, least_inside=decontaminate.SHINGLE).collect()}
     assert got == want and len(got) > 5
+    inside = {(d, 3): 1 for d, t, *_ in edge_rows if d is not None and re.search(r"(^|\s)a\s+b(\s|$)", t or "", re.I)}
+    assert inside and {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contained_items(edge_docs, bench).collect()} == want | inside
     clean = decontaminate.clean_documents(edge_docs, bench)
     hit, nameless = {d for d, _ in want}, lambda t: any(s and 100 * len(shingle_tuples((t or "").lower()) & s) >= 75 * len(s) for s in sets.values())
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, t, *_ in edge_rows if d not in hit and (d is not None or not nameless(t)))
@@ -56,8 +60,44 @@ def test_decontaminate(spark, edge_docs, edge_rows, no_docs):
     assert decontaminate.contained_items(no_docs, bench).count() == 0 and decontaminate.contained_items(edge_docs, bench.where("false")).count() == 0
 
 
-def test_decontaminate_is_native(spark, edge_docs):
-    bench = spark.createDataFrame([(0, "a b c d e f g")], "item_id long, text string")
+def test_items_of_few_words_inside_documents(spark, edge_rows, tmp_path):
+    """Items of one to four words, at either end, repeated, over line ends; against a plain search and the SQL."""
+    long = next(t for d, t, *_ in edge_rows if t and len(t.split()) > 5000).split()
+    items = [(i, " ".join(long[at : at + n])) for i, (at, n) in enumerate([(0, 4), (len(long) - 3, 3), (4000, 2), (77, 4)])]
+    items += [(10, "Only\tHere\n now"), (11, "zeta"), (12, "zeta zeta"), (13, "not there"), (14, ""), (15, None), (16, "a b c d e"), (17, "É d'été")]
+    texts = [" ".join(long), "x only here\n\nnow y z", "only here", "zeta", "zeta zeta zeta", "pre zeta post and more words", "a b c d", "a b c d e f", "été é D'ÉTÉ fin de la", None, "", "only there now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def plain(least):
+        found = set()
+        for d, t in enumerate(texts):
+            w = re.findall(WORD, (t or "").lower())
+            for i, q in items:
+                own = re.findall(WORD, (q or "").lower())
+                inside = len(own) >= least and any(w[k : k + len(own)] == own for k in range(len(w) - len(own) + 1))
+                if own and (inside or w == own):
+                    found.add((d, i))
+        return found
+
+    for least in (1, 3, 5):
+        got = decontaminate.contained_items(docs, bench, least_inside=least).collect()
+        pairs = {(r.doc_id, r.item_id) for r in got}
+        assert pairs == plain(least) | {(7, 16)} and len(got) == len(pairs) and all(r.n_item == r.n_shared == 1 for r in got)
+    assert {(0, 0), (0, 1), (0, 2), (0, 3), (1, 10), (3, 11), (4, 12), (5, 11), (8, 17)} <= plain(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare.rows(decontaminate.op1_decontaminate(spark, str(tmp_path)).toPandas()) == compare.rows(db.execute(decontaminate.OP1_SQL).df())
+    kept = {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in plain(decontaminate.LEAST_INSIDE)} - {7} and {5, 8} <= kept
+
+
+@pytest.mark.parametrize("item", ["a b c d e f g", "a b c"])
+def test_decontaminate_is_native(spark, edge_docs, item):
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     plan = decontaminate.contained_items(edge_docs, bench)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
 
@@ -531,7 +571,10 @@ def test_wrapped_licenses(spark, tmp_path):
         rows.append((100 + i, "".join(w + r.choice(" \n") for w in t)))
     rows += [(500, "released under the"), (501, "mit license"), (502, None)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    got = by_id(licenses.op10_licenses(spark, str(tmp_path)).collect())
+    found = licenses.op10_licenses(spark, str(tmp_path))
+    want = duckdb.sql(licenses.OP10_SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).df()
+    assert sorted(found.columns) == sorted(want.columns) and compare.rows(found.toPandas()) == compare.rows(want)
+    got = by_id(found.collect())
     for d, text in rows:
         *plain, labels, score = brute_licenses(text)
         w, labels = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)), set(labels)

@@ -62,8 +62,10 @@ def render_prompts(tasks: DataFrame, templates: DataFrame, fields: list[str]) ->
 
 def attach_outputs(tasks: DataFrame, outputs: DataFrame) -> DataFrame:
     """A row per question or caption of each task's output (task_id, text); failed tasks give none."""
+    # sizes are estimated as if generators made no rows, so expanded tasks look small enough to broadcast: they are sorted and merged
+    rows = tasks.join(outputs.hint("merge"), "task_id")
     # generators keep the optimizer from repeating these large expressions wherever they are used
-    rows = tasks.join(outputs, "task_id").select(*tasks.columns, F.inline(F.array(parsed_json(F.col("text")))))
+    rows = rows.select(*tasks.columns, F.inline(F.array(parsed_json(F.col("text")))))
     rows = rows.select(*tasks.columns, F.inline(F.array(F.struct(qa_items(F.col("json")).alias("_i")))))
     rows = rows.select(*tasks.columns, F.posexplode("_i").alias("position", "item"))
     return rows.withColumn("id", stable_id(F.col("task_id"), F.col("position").cast("string")))

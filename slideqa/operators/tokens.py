@@ -80,11 +80,12 @@ def pack_ranges(roles: DataFrame) -> DataFrame:
     return roles.where("pack_idx >= 0").groupBy("slide_id", "pack_idx").agg(F.min("token_idx").alias("start"), F.max("token_idx").alias("summary_idx"), F.count_if(F.col("token_type") == "patch").alias("patches"))
 
 
-def assembled(globals_: DataFrame, patches: DataFrame, summaries: DataFrame, pack: int = PACK) -> DataFrame:
-    """slide_id, token_idx, embedding. Packs are numbered by their order; slides without packs have no tokens.
+def assembled(globals_: DataFrame, patches: DataFrame, summaries: DataFrame, pack: int = PACK, lone: bool = False) -> DataFrame:
+    """slide_id, token_idx, embedding. Packs are numbered by their order; slides without packs have no tokens, or with
+    lone their global one.
     globals_: slide_id, embedding; patches: slide_id, pack_idx, position, embedding; summaries: slide_id, pack_idx, embedding."""
     rank = summaries.select("slide_id", "pack_idx", (F.row_number().over(Window.partitionBy("slide_id").orderBy("pack_idx")) - 1).alias("rank"))
-    first = globals_.join(rank.select("slide_id").distinct(), "slide_id", "left_semi").select("slide_id", F.lit(0).alias("token_idx"), "embedding")
+    first = (globals_ if lone else globals_.join(rank.select("slide_id").distinct(), "slide_id", "left_semi")).select("slide_id", F.lit(0).alias("token_idx"), "embedding")
     inner = patches.join(rank, ["slide_id", "pack_idx"]).select("slide_id", (1 + F.col("rank") * (pack + 1) + F.col("position")).alias("token_idx"), "embedding")
     last = summaries.join(rank, ["slide_id", "pack_idx"]).select("slide_id", (1 + F.col("rank") * (pack + 1) + pack).alias("token_idx"), "embedding")
     return first.unionByName(inner).unionByName(last)
